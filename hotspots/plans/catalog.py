@@ -30,4 +30,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from hotspots.plans import queries_core, queries_scoring  # noqa: F401
+    from hotspots.plans import queries_core, queries_scoring, queries_views  # noqa: F401

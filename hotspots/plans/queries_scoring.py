@@ -62,8 +62,8 @@ final AS (SELECT *, CASE WHEN significance_score_decay > 0 THEN 1 ELSE 0 END AS
 """
 
 
-def score_sql(body: str) -> str:
-    return W(["series", "snapped"], SCORE_CTES + body).replace("\n\n,", ",", 1)
+def score_sql(body: str, extra: tuple = ()) -> str:
+    return W(["series", "snapped", *extra], SCORE_CTES + body).replace("\n\n,", ",", 1)
 
 
 @register("w5_running_error_total", score_sql(
@@ -129,14 +129,14 @@ SCORED_FIRES_BODY = """
 """
 
 
-def sfires_sql(body: str) -> str:
-    return score_sql(SCORED_FIRES_BODY + body)
+def sfires_sql(body: str, extra: tuple = ()) -> str:
+    return score_sql(SCORED_FIRES_BODY + body, extra)
 
 
-def scored_fire_frame(spark, sf):
+def scored_fire_frame(spark, sf, keep_cell: bool = False):
     snapped, s = _series(spark, sf)
     scored, _ = score_series(s)
-    return scored_fires(snapped, scored)
+    return scored_fires(snapped, scored, keep_cell)
 
 
 def _r(df):

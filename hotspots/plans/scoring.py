@@ -29,7 +29,7 @@ def score_series(series: DataFrame, model: ThresholdModel | None = None,
     return decay_scores(scored), model
 
 
-def scored_fires(snapped_fires: DataFrame, scores: DataFrame) -> DataFrame:
+def scored_fires(snapped_fires: DataFrame, scores: DataFrame, keep_cell: bool = False) -> DataFrame:
     """Fires left-joined to their cell-day scores; original coordinates (J6 / SK1).
 
     Both sides are keyed by (grid_cell, acq_date) and the score side is unique
@@ -38,6 +38,7 @@ def scored_fires(snapped_fires: DataFrame, scores: DataFrame) -> DataFrame:
     s = scores.select("grid_cell", "acq_date", "abnormal_label", "significance_score",
                       "abnormal_label_decay", "significance_score_decay")
     return (snapped_fires.join(s, ["grid_cell", "acq_date"], "left")
-            .select("acq_date", F.col("longitude_original").alias("longitude"),
+            .select(*(["grid_cell"] if keep_cell else []),
+                    "acq_date", F.col("longitude_original").alias("longitude"),
                     F.col("latitude_original").alias("latitude"), "abnormal_label",
                     "significance_score", "abnormal_label_decay", "significance_score_decay"))
