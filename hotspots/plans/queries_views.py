@@ -104,10 +104,12 @@ def q_a9(spark, sf):
     s.longitude_original AS longitude, f.significance_score_decay, f.abnormal_label_decay
   FROM snapped s LEFT JOIN final f ON f.grid_cell = s.grid_cell AND f.acq_date = s.acq_date),
 cg AS (SELECT acq_date, CASE WHEN abnormal_label_decay = 1 THEN 'abnormal' ELSE 'normal' END AS label, cluster,
-    AVG(latitude) AS clat, AVG(longitude) AS clon, AVG(significance_score_decay) AS ms, COUNT(*) AS size
+    SUM(CAST(round_even(latitude * 1e6, 0) AS BIGINT)) / COUNT(*) / 1e6 AS clat,
+    SUM(CAST(round_even(longitude * 1e6, 0) AS BIGINT)) / COUNT(*) / 1e6 AS clon,
+    AVG(significance_score_decay) AS ms, COUNT(*) AS size
   FROM sfc GROUP BY ALL),
 cs AS (SELECT *, CASE WHEN label = 'normal' THEN -ms ELSE ms END AS sm FROM cg)
-SELECT acq_date, label, cluster, round(clat, 4) AS lat_text, round(clon, 4) AS lon_text,
+SELECT acq_date, label, cluster, clat AS center_lat, clon AS center_lon,
   round(sm * 100, 2) AS significance_pct, size, round(5 + ln(1 + CAST(size AS DOUBLE)) * 2, 6) AS marker_size,
   CASE WHEN label = 'abnormal' THEN 'War-related' ELSE 'Non war-related' END AS fire_type,
   CASE WHEN size > 1 THEN 'Cluster of ' || CAST(size AS VARCHAR) || ' fires' ELSE 'Single fire' END AS cluster_size
@@ -115,8 +117,8 @@ FROM cs""").replace("\n\n,", ",", 1))
 def q_a10(spark, sf):
     f = scored_fire_frame(spark, sf, keep_cell=True).withColumnRenamed("grid_cell", "cluster")
     c = V.cluster_summary(f)
-    # display precision of the map tooltips: position 4 places, score in percent 2 places
-    return c.select("acq_date", "label", "cluster", "lat_text", "lon_text", "significance_pct",
+    # score in percent with 2 places (display precision); centres are exact micro-degree means
+    return c.select("acq_date", "label", "cluster", "center_lat", "center_lon", "significance_pct",
                     "size", r6("marker_size").alias("marker_size"), "fire_type", "cluster_size")
 
 

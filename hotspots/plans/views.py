@@ -109,13 +109,21 @@ def score_histogram(scored: DataFrame, col: str = "significance_score_decay",
     return out
 
 
+def _exact_mean(col: str):
+    """Mean accumulated in integer micro-degrees: exact and independent of the
+    order in which partial sums are merged, so re-executed tasks and other
+    partitionings give the identical value."""
+    micro = F.rint(F.col(col) * F.lit(1e6)).cast("bigint")
+    return F.sum(micro) / F.count(micro) / F.lit(1e6)
+
+
 def cluster_summary(scored_with_cluster: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     """Per (day, class, cluster): centre, mean score (negated for normal fires),
     size, marker size and texts (A10, F10-F12)."""
     lab = F.when(F.col("abnormal_label_decay") == 1, F.lit("abnormal")).otherwise(F.lit("normal"))
     g = (scored_with_cluster.withColumn("label", lab)
          .groupBy("acq_date", "label", cluster_col)
-         .agg(F.avg("latitude").alias("center_lat"), F.avg("longitude").alias("center_lon"),
+         .agg(_exact_mean("latitude").alias("center_lat"), _exact_mean("longitude").alias("center_lon"),
               F.avg("significance_score_decay").alias("_s"), F.count(F.lit(1)).alias("size")))
     s = display.signed_for_label(F.col("_s"), F.col("label"))
     return g.select(
