@@ -19,14 +19,15 @@ from hotspots.operators.joins import broadcast_if_small
 def ring_edges(rings: DataFrame, id_col: str = "poly_id", ring_col: str = "ring") -> DataFrame:
     """(poly_id, ring array<struct<lat,lon>>) -> (poly_id, y1, x1, y2, x2).
 
-    The ring may be open or closed; a closing duplicate vertex yields a
-    zero-length edge, which never straddles a latitude.
+    The ring may be open or closed; zero-length edges (a closing duplicate
+    vertex) are dropped.
     """
     n = F.size(ring_col)
     exploded = rings.select(id_col, ring_col, F.posexplode(ring_col).alias("_i", "_v"))
     nxt = F.element_at(F.col(ring_col), ((F.col("_i") + 1) % n + 1).cast("int"))
-    return exploded.select(id_col, F.col("_v.lat").alias("y1"), F.col("_v.lon").alias("x1"),
-                           nxt["lat"].alias("y2"), nxt["lon"].alias("x2"))
+    edges = exploded.select(id_col, F.col("_v.lat").alias("y1"), F.col("_v.lon").alias("x1"),
+                            nxt["lat"].alias("y2"), nxt["lon"].alias("x2"))
+    return edges.filter((F.col("y1") != F.col("y2")) | (F.col("x1") != F.col("x2")))
 
 
 def vertex_edges(vertices: DataFrame, id_col: str = "poly_id", order_col: str = "i",

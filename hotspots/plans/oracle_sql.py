@@ -46,6 +46,10 @@ FROM verts a JOIN verts b ON a.k=b.k AND b.i=(a.i+1)%4""",
   CAST(DATE '2024-01-01'+(n_nationkey*2+n_nationkey%3) AS DATE) AS end_date
 FROM nation WHERE n_nationkey<12""",
     "hourly": "SELECT event_type AS oblast_id, ts, value AS cloud_cover FROM events",
+    "hourly_regions": "SELECT concat('UA', CAST(user_id % 25 AS VARCHAR)) AS oblast_id, ts, value AS cloud_cover FROM events",
+    "weather_locations": """SELECT concat('UA', CAST(n_nationkey AS VARCHAR)) AS oblast_id, n_name AS city,
+  CAST(46 + n_nationkey % 5 AS DOUBLE) AS latitude,
+  CAST(24 AS DOUBLE) + CAST(floor(n_nationkey/5) AS DOUBLE) * CAST(1.5 AS DOUBLE) AS longitude FROM nation""",
     "merc": """SELECT s_suppkey AS id, CAST(2500000+s_suppkey*15000 AS DOUBLE) AS x,
   CAST(5500000+(s_suppkey*7919)%1400000 AS DOUBLE) AS y FROM supplier""",
     "cal": """SELECT CAST(unnest(generate_series(DATE '2024-01-01',DATE '2024-01-30',INTERVAL 1 DAY)) AS DATE) AS d""",

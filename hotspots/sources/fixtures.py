@@ -121,6 +121,21 @@ def hourly(t: Tables) -> DataFrame:
                            F.col("value").alias("cloud_cover"))
 
 
+def hourly_regions(t: Tables) -> DataFrame:
+    """Hourly cloud readings keyed like the weather regions (UA0..UA24)."""
+    return t.events.select(F.concat(F.lit("UA"), (F.col("user_id") % 25).cast("string")).alias("oblast_id"),
+                           "ts", F.col("value").alias("cloud_cover"))
+
+
+def weather_locations(t: Tables) -> DataFrame:
+    """One weather location (city) per region, at the centre of its polygon."""
+    k = F.col("n_nationkey")
+    return t.nation.select(F.concat(F.lit("UA"), k.cast("string")).alias("oblast_id"),
+                           F.col("n_name").alias("city"),
+                           (F.lit(46) + k % 5).cast("double").alias("latitude"),
+                           (_d(24) + F.floor(k / 5).cast("double") * _d(1.5)).alias("longitude"))
+
+
 def mercator_vertices(t: Tables) -> DataFrame:
     """Control-zone vertices in Web Mercator metres."""
     k = F.col("s_suppkey")
