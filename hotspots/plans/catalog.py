@@ -30,4 +30,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from hotspots.plans import queries_core, queries_ingest, queries_scoring, queries_views  # noqa: F401
+    from hotspots.plans import (queries_core, queries_ingest, queries_model,  # noqa: F401
+                                queries_scoring, queries_views)
