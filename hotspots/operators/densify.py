@@ -21,43 +21,58 @@ def snap_points(points: DataFrame, resolution: str = "50km", lat_col: str = "lat
 
 
 def cell_day_counts(snapped: DataFrame) -> DataFrame:
-    """Fires per (cell, day); partial aggregation before the shuffle."""
+    """Fires per (cell, day) plus the day's first original position; one
+    partially aggregated pass over the detections (the only shuffle of the raw
+    points in the series)."""
     return (snapped.groupBy("grid_cell", "acq_date")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("fire_count")))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("fire_count"),
+                 F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"),
+                 F.min(F.struct("latitude_original", "longitude_original")).alias("_first")))
 
 
-def cell_constants(snapped: DataFrame) -> DataFrame:
+def constants_from_daily(daily: DataFrame) -> DataFrame:
     """Per cell: the snapped position and the original position of its first
-    fire by (date, latitude, longitude) (W2). ``min_by`` is an aggregate with a
-    map-side partial step, so a cell holding a third of all fires still spreads
-    over many tasks."""
-    first = F.min_by(F.struct("latitude_original", "longitude_original"),
-                     F.struct("acq_date", "latitude_original", "longitude_original"))
-    return (snapped.groupBy("grid_cell")
+    fire by (date, latitude, longitude) (W2), from the per-day table - a cell
+    holding a third of all fires is already reduced to one row per day."""
+    first = F.min(F.struct("acq_date", F.col("_first.latitude_original").alias("lat"),
+                           F.col("_first.longitude_original").alias("lon")))
+    return (daily.groupBy("grid_cell")
             .agg(F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"),
                  first.alias("_f"))
             .select("grid_cell", "latitude", "longitude",
-                    F.col("_f.latitude_original").alias("latitude_original"),
-                    F.col("_f.longitude_original").alias("longitude_original")))
+                    F.col("_f.lat").alias("latitude_original"),
+                    F.col("_f.lon").alias("longitude_original")))
+
+
+def cell_constants(snapped: DataFrame) -> DataFrame:
+    return constants_from_daily(cell_day_counts(snapped))
 
 
 def densify(snapped: DataFrame, start, end) -> DataFrame:
     """Every cell that burned in the window gets every day of [start, end];
     days without fires count 0 (TS1).
 
-    The calendar is generated per cell with ``explode(sequence(..))`` (a
-    narrow, per-row expansion), then the per-(cell, day) counts are left-joined
-    on the same keys the aggregation was partitioned by.
+    Two shuffles and no join: the detections are aggregated per (cell, day)
+    (partial aggregation), then per cell into its constants and a day -> count
+    map. The map holds at most one entry per calendar day of the window, so a
+    cell with a third of all fires is still a bounded row. The calendar is then
+    generated per cell with ``explode(sequence(..))`` and looked up in the map.
     """
-    cells = cell_constants(snapped)
-    skeleton = cells.select("*", F.explode(F.sequence(date_lit(start), date_lit(end),
-                                                      F.expr("INTERVAL 1 DAY"))).alias("acq_date"))
-    counts = cell_day_counts(snapped)
-    return (skeleton.join(counts, ["grid_cell", "acq_date"], "left")
+    daily = cell_day_counts(snapped)
+    first = F.min(F.struct("acq_date", F.col("_first.latitude_original").alias("lat"),
+                           F.col("_first.longitude_original").alias("lon")))
+    cells = daily.groupBy("grid_cell").agg(
+        F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"),
+        first.alias("_f"),
+        F.map_from_entries(F.collect_list(F.struct("acq_date", "fire_count"))).alias("_counts"))
+    days = F.explode(F.sequence(date_lit(start), date_lit(end), F.expr("INTERVAL 1 DAY")))
+    return (cells.select("*", days.alias("acq_date"))
             .select("grid_cell", "acq_date", "latitude", "longitude",
-                    "latitude_original", "longitude_original",
+                    F.col("_f.lat").alias("latitude_original"),
+                    F.col("_f.lon").alias("longitude_original"),
                     F.dayofyear("acq_date").alias("day_of_year"),
-                    F.coalesce("fire_count", F.lit(0).cast("bigint")).alias("fire_count")))
+                    F.coalesce(F.try_element_at("_counts", F.col("acq_date")),
+                               F.lit(0).cast("bigint")).alias("fire_count")))
 
 
 def zero_fill_daily(counts: DataFrame, day_col: str, count_col: str, start, end) -> DataFrame:
