@@ -51,17 +51,25 @@ def _t(i: Column, lo: float, hi: float, n: int) -> Column:
     return F.when(i == n - 1, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
 
 
-def _thresholds_below(e: Column, lo: float, hi: float, n: int) -> Column:
-    """Exact j = #{i : t_i < e}, from an estimate corrected against t_i itself."""
+def _thresholds_below(df: DataFrame, e: str, lo: float, hi: float, n: int, out: str = "j") -> DataFrame:
+    """Exact j = #{i : t_i < e}.
+
+    The estimate k0 = ceil((e - lo) / step) is off by at most a rounding step,
+    so j = (k0 - 2) + #{m in -2..1 : t_(k0+m) < e}, with t_i = -inf below 0
+    and +inf from n on; every term is a flat comparison against t_i itself.
+    """
     step = (hi - lo) / (n - 1)
     if step <= 0:
-        return F.lit(0)
-    k = F.least(F.greatest(F.ceil((e - F.lit(lo)) / F.lit(step)), F.lit(0)), F.lit(n)).cast("int")
-    for _ in range(3):
-        k = (F.when((k > 0) & (_t(k - 1, lo, hi, n) >= e), k - 1)
-             .when((k < n) & (_t(k, lo, hi, n) < e), k + 1)
-             .otherwise(k))
-    return k
+        return df.withColumn(out, F.lit(0))
+    ec = F.col(e)
+    d = df.withColumn("_k0", F.ceil((ec - F.lit(lo)) / F.lit(step)).cast("int"))
+    k0 = F.col("_k0")
+    j = k0 - 2
+    for m in (-2, -1, 0, 1):
+        i = k0 + m
+        below = F.when(i < 0, F.lit(True)).when(i >= n, F.lit(False)).otherwise(_t(i, lo, hi, n) < ec)
+        j = j + below.cast("int")
+    return d.withColumn(out, F.least(F.greatest(j, F.lit(0)), F.lit(n))).drop("_k0")
 
 
 def sweep(labelled: DataFrame, n: int = THRESHOLD_CANDIDATES) -> DataFrame:
@@ -73,7 +81,7 @@ def sweep(labelled: DataFrame, n: int = THRESHOLD_CANDIDATES) -> DataFrame:
     s = g.agg(F.min("err").alias("lo"), F.max("err").alias("hi"),
               F.sum("_pos").alias("P"), F.sum("_neg").alias("N")).first()
     lo, hi, P, N = float(s["lo"]), float(s["hi"]), int(s["P"]), int(s["N"])
-    per_j = (g.withColumn("j", _thresholds_below(F.col("err"), lo, hi, n))
+    per_j = (_thresholds_below(g, "err", lo, hi, n)
              .groupBy("j").agg(F.sum("_pos").alias("pos_j"), F.sum("_neg").alias("neg_j")))
     # n + 1 rows at most: a bounded table, a single ordered window is fine here
     idx = spark.range(n + 1).select(F.col("id").cast("int").alias("j"))
@@ -95,9 +103,8 @@ def sweep(labelled: DataFrame, n: int = THRESHOLD_CANDIDATES) -> DataFrame:
 
 def best_threshold(table: DataFrame) -> DataFrame:
     """The first threshold with the highest balanced accuracy (> 0); one row."""
-    top = table.agg(F.max("balanced_accuracy").alias("m"))
-    return (table.join(top, F.col("balanced_accuracy") == F.col("m"))
-            .filter(F.col("m") > 0).orderBy("i").limit(1).drop("m"))
+    return (table.filter(F.col("balanced_accuracy") > 0)
+            .orderBy(F.col("balanced_accuracy").desc(), F.col("i").asc()).limit(1))
 
 
 @dataclass
