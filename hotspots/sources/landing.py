@@ -44,7 +44,7 @@ def land_yearly(df: DataFrame, root: str, kind: str, mode: str = "append") -> No
 
 def read_kind(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """All landed rows of one kind, with the ``year`` partition column."""
-    schema = KIND_SCHEMA[kind].add(T.StructField("year", T.IntegerType()))
+    schema = T.StructType(list(KIND_SCHEMA[kind].fields) + [T.StructField("year", T.IntegerType())])
     return (spark.read.schema(schema).option("header", True)
             .csv(f"{root.rstrip('/')}/{kind}"))
 
