@@ -69,9 +69,12 @@ def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features
                         num_trees: int = N_ESTIMATORS, seed: int = RANDOM_STATE,
                         max_depth: int = 10, max_bins: int = 32,
                         checkpoint: bool = True) -> QuantileForestModel:
+    # more nodes per pass over the data (fewer passes) and cached node ids for
+    # deep trees; checkpoints of the node-id cache go to the shared folder
     rf = RandomForestRegressor(featuresCol=features_col, labelCol=label, numTrees=num_trees,
                                seed=seed, maxDepth=max_depth, maxBins=max_bins,
-                               featureSubsetStrategy="all", leafCol="leaf")
+                               featureSubsetStrategy="all", leafCol="leaf",
+                               maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     train = df.select(features_col, F.col(label).cast("double").alias(label))
     forest = rf.fit(train)
     leaf = forest.transform(train).select(

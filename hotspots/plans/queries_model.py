@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from hotspots.config import FEATURES, FIXTURE_PERIODS
@@ -37,7 +38,9 @@ def _period(df, p):
 
 
 def _features(spark, sf):
-    return features_no_border(spark, sf).select(*KEY, "fire_count", *FEATURES)
+    """Cell-day features, kept in memory: every fitted stage reads them again."""
+    return features_no_border(spark, sf).select(*KEY, "fire_count", *FEATURES).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
 # ---------------------------------------------------------------- SQL pieces
