@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotspots.config import LIMITS
@@ -16,21 +16,38 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= bound else df
 
 
+def _interval_days(intervals: DataFrame, start_col: str, end_col: str, day: str = "_day") -> DataFrame:
+    """One row per (interval, day it covers): a date range join becomes an
+    equi-join on the day. Intervals with start > end cover no day."""
+    return (intervals.filter(F.col(start_col) <= F.col(end_col))
+            .withColumn(day, F.explode(F.sequence(F.col(start_col).cast("date"),
+                                                  F.col(end_col).cast("date"),
+                                                  F.expr("INTERVAL 1 DAY")))))
+
+
 def first_interval_match(points: DataFrame, intervals: DataFrame, point_key: list[str],
                          day_col: str, start_col: str = "start_date", end_col: str = "end_date",
                          order_col: str = "pos") -> DataFrame:
     """For each point the first interval (by ``order_col``) with start <= day <= end,
-    NULL columns when none matches (J8). Intervals are broadcast after a size
-    check; each point keeps at most one row."""
-    iv = broadcast_if_small(intervals)
-    cond = (F.col(day_col) >= F.col(start_col)) & (F.col(day_col) <= F.col(end_col))
-    joined = points.join(iv, cond, "left")
-    w = Window.partitionBy(*point_key).orderBy(F.col(order_col).asc_nulls_last())
-    return joined.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    NULL columns when none matches (J8).
+
+    Intervals are expanded to their days and reduced to the first interval of
+    each day (a small aggregation on the interval side); points then meet one
+    row per day in an equi-join (broadcast after a size check, else a shuffle
+    join that AQE can split). ``point_key`` is kept for callers; no window over
+    the points is needed.
+    """
+    cols = intervals.columns
+    days = _interval_days(intervals, start_col, end_col)
+    first = (days.groupBy("_day").agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_iv"))
+             .select("_day", *[F.col(f"_iv.{c}").alias(c) for c in cols]))
+    iv = broadcast_if_small(first)
+    return points.join(iv, F.col(day_col) == F.col("_day"), "left").drop("_day")
 
 
 def within_windows(points: DataFrame, windows: DataFrame, day_col: str = "acq_date",
                    start_col: str = "start_date", end_col: str = "end_date") -> DataFrame:
-    """Every point inside every window that contains its day (J9); windows may overlap."""
-    w = broadcast_if_small(windows)
-    return points.join(w, (F.col(day_col) >= F.col(start_col)) & (F.col(day_col) <= F.col(end_col)))
+    """Every point inside every window that contains its day (J9); windows may
+    overlap. Same day-expansion equi-join as ``first_interval_match``."""
+    w = broadcast_if_small(_interval_days(windows, start_col, end_col))
+    return points.join(w, F.col(day_col) == F.col("_day")).drop("_day")

@@ -40,12 +40,14 @@ def _blocks(queries: DataFrame, block_rows: int):
 
 def nearest(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vec: str,
             group: str | None = None, k: int = 1, round_to: int = 9,
-            block_rows: int | None = None) -> DataFrame:
+            block_rows: int | None = None, exclude_self: bool = False) -> DataFrame:
     """k nearest candidates per query (and per candidate ``group``) under
     Euclidean distance on array column ``vec``.
 
     Output: (qid, [group,] cid, distance, rank). Distances are rounded to
-    ``round_to`` decimals and ties broken by candidate id.
+    ``round_to`` decimals and ties broken by candidate id. With
+    ``exclude_self`` a candidate never matches the query with the same id
+    (leave-one-out over one table).
     """
     spark = candidates.sparkSession
     bound = block_rows or LIMITS.query_block_rows
@@ -74,11 +76,14 @@ def nearest(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vec:
                     for s in range(0, cm.shape[0], step)], axis=1)
                 cids = batch["_cid"].to_numpy(dtype=np.int64)
                 grps = batch["_grp"].to_numpy(dtype=np.int64)
+                if exclude_self:
+                    d = np.where(qi[:, None] == cids[None, :], np.inf, d)
                 for g in np.unique(grps):
                     sel = grps == g
                     dg, cg = d[:, sel], cids[sel]
                     for i in range(len(qi)):
                         order = np.lexsort((cg, dg[i]))[:k]
+                        order = order[np.isfinite(dg[i][order])]
                         prev = best.get((i, g))
                         cand_rows = list(zip(dg[i][order], cg[order]))
                         merged = sorted((prev or []) + cand_rows)[:k]

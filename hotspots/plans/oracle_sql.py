@@ -11,18 +11,19 @@ ADAPTERS = {
   CAST(460000+(user_id%10)*5000+(event_id*7919)%7000-3500 AS DOUBLE)/10000 AS latitude,
   CAST(240000+(user_id%15)*5000+(event_id*104729)%7000-3500 AS DOUBLE)/10000 AS longitude,
   CAST(ts AS DATE) AS acq_date FROM events""",
-    "grid": """SELECT CAST(91+p_partkey%11 AS DOUBLE)/2 AS latitude,
-  CAST(47+CAST(floor(p_partkey/11) AS BIGINT)%16 AS DOUBLE)/2 AS longitude,
-  concat('UA',CAST(p_partkey%25 AS VARCHAR)) AS oblast_id, p_retailprice AS pop_density
-FROM part WHERE p_partkey<160""",
+    "grid": """SELECT latitude, longitude, concat('UA', CAST(MIN(p_partkey) % 25 AS VARCHAR)) AS oblast_id,
+  MAX(p_retailprice) AS pop_density
+FROM (SELECT CAST(91+p_partkey%11 AS DOUBLE)/2 AS latitude,
+  CAST(47+CAST(floor(p_partkey/11) AS BIGINT)%16 AS DOUBLE)/2 AS longitude, p_partkey, p_retailprice FROM part) x
+GROUP BY latitude, longitude""",
     "land_use": """SELECT latitude,longitude,CAST(a0 AS DOUBLE)/s AS c0,CAST(a1 AS DOUBLE)/s AS c1,
   CAST(a2 AS DOUBLE)/s AS c2,CAST(a3 AS DOUBLE)/s AS c3,CAST(a4 AS DOUBLE)/s AS c4
-FROM (SELECT *,a0+a1+a2+a3+a4 AS s FROM (SELECT
-  CAST(91+p_partkey%11 AS DOUBLE)/2 AS latitude,
-  CAST(47+CAST(floor(p_partkey/11) AS BIGINT)%16 AS DOUBLE)/2 AS longitude,
-  1+(p_partkey*3+p_size)%20 AS a0,1+(p_partkey*5+p_size)%20 AS a1,1+(p_partkey*7+p_size)%20 AS a2,
-  1+(p_partkey*11+p_size)%20 AS a3,1+(p_partkey*13+p_size)%20 AS a4
-  FROM part WHERE p_partkey BETWEEN 8 AND 175) x) y""",
+FROM (SELECT *,a0+a1+a2+a3+a4 AS s FROM (SELECT latitude, longitude,
+  1+(k*3+sz)%20 AS a0,1+(k*5+sz)%20 AS a1,1+(k*7+sz)%20 AS a2,1+(k*11+sz)%20 AS a3,1+(k*13+sz)%20 AS a4
+  FROM (SELECT latitude, longitude, MIN(p_partkey) AS k, arg_min(p_size, p_partkey) AS sz FROM (
+    SELECT CAST(91+p_partkey%12 AS DOUBLE)/2 AS latitude,
+      CAST(47+CAST(floor(p_partkey/12) AS BIGINT)%15 AS DOUBLE)/2 AS longitude, p_partkey, p_size FROM part) c
+    GROUP BY latitude, longitude) x) y) z""",
     "weather": """SELECT concat('UA',CAST(n_nationkey AS VARCHAR)) AS oblast_id, d AS acq_date,
   CAST((n_nationkey*37+day(d)*11)%300 AS DOUBLE)/10-10 AS t_mean,
   CAST((n_nationkey*17+day(d)*29)%101 AS DOUBLE) AS cloud_cover
@@ -44,7 +45,7 @@ FROM verts a JOIN verts b ON a.k=b.k AND b.i=(a.i+1)%4""",
   concat('[[',CAST(52.5-n_nationkey AS VARCHAR),', 20.4], [44.0, ',CAST(42.5+n_nationkey AS VARCHAR),']]') AS bounds,
   CAST(DATE '2024-01-01'+n_nationkey*2 AS DATE) AS start_date,
   CAST(DATE '2024-01-01'+(n_nationkey*2+n_nationkey%3) AS DATE) AS end_date
-FROM nation WHERE n_nationkey<12""",
+FROM nation""",
     "hourly": "SELECT event_type AS oblast_id, ts, value AS cloud_cover FROM events",
     "hourly_regions": "SELECT concat('UA', CAST(user_id % 25 AS VARCHAR)) AS oblast_id, ts, value AS cloud_cover FROM events",
     "weather_locations": """SELECT concat('UA', CAST(n_nationkey AS VARCHAR)) AS oblast_id, n_name AS city,

@@ -4,7 +4,8 @@ Every adapter is a projection of a driver table, so its size follows the scale
 factor of that table (fires and hourly readings follow ``events``, weather
 follows ``nation`` x days, control vertices follow ``supplier``). The static
 layers (grid, land use), the polygons, event windows and overlays have a fixed
-extent by definition, like the real layers they stand for.
+extent by definition, like the real layers they stand for; they are still
+built from whole tables (every part row is aggregated onto its lattice cell).
 """
 
 from __future__ import annotations
@@ -36,30 +37,40 @@ def fire_feeds(t: Tables) -> DataFrame:
     return fires(t).join(ev, "event_id")
 
 
-def _lattice_lat(key: Column) -> Column:
-    return (F.lit(91) + key % 11).cast("double") / 2
-
-
-def _lattice_lon(key: Column) -> Column:
-    return (F.lit(47) + F.floor(key / 11).cast("bigint") % 16).cast("double") / 2
+def _lattice(key: Column, rows: int, cols: int):
+    """Position of a key on a rows x cols lattice of 0.5 degree cells."""
+    lat = (F.lit(91) + key % rows).cast("double") / 2
+    lon = (F.lit(47) + F.floor(key / rows).cast("bigint") % cols).cast("double") / 2
+    return lat, lon
 
 
 def grid(t: Tables) -> DataFrame:
-    """Region grid with population: the 0.5 degree layer's 160 cells (keys
-    0..159 of an 11 x 16 lattice; the remaining cells are absent on purpose)."""
+    """Region grid with population on an 11 x 16 lattice of 0.5 degree cells.
+
+    Every part lands on the cell of its key; a cell takes the region of its
+    smallest key and the largest retail price as population density, so the
+    layer is built from the whole table. Fire cells north of 50.5 or east of
+    31.0 have no grid row, on purpose.
+    """
     k = F.col("p_partkey")
-    return (t.part.filter(k < 160)
-            .select(_lattice_lat(k).alias("latitude"), _lattice_lon(k).alias("longitude"),
-                    F.concat(F.lit("UA"), (k % 25).cast("string")).alias("oblast_id"),
-                    F.col("p_retailprice").alias("pop_density")))
+    lat, lon = _lattice(k, 11, 16)
+    return (t.part.select(lat.alias("latitude"), lon.alias("longitude"), k, "p_retailprice")
+            .groupBy("latitude", "longitude")
+            .agg(F.concat(F.lit("UA"), (F.min("p_partkey") % 25).cast("string")).alias("oblast_id"),
+                 F.max("p_retailprice").alias("pop_density")))
 
 
 def land_use(t: Tables) -> DataFrame:
-    """Land-use fractions on lattice keys 8..175 (partly outside the grid)."""
+    """Land-use fractions on a 12 x 15 lattice (overlaps the grid only partly).
+    A cell uses its smallest key and that part's size."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    raw = t.part.filter(k.between(8, 175)).select(
-        _lattice_lat(k).alias("latitude"), _lattice_lon(k).alias("longitude"),
-        *[(F.lit(1) + (k * m + s) % 20).alias(f"a{i}") for i, m in enumerate((3, 5, 7, 11, 13))])
+    lat, lon = _lattice(k, 12, 15)
+    cell = (t.part.select(lat.alias("latitude"), lon.alias("longitude"), k, s)
+            .groupBy("latitude", "longitude")
+            .agg(F.min("p_partkey").alias("k"), F.min_by("p_size", "p_partkey").alias("s")))
+    raw = cell.select("latitude", "longitude",
+                      *[(F.lit(1) + (F.col("k") * m + F.col("s")) % 20).alias(f"a{i}")
+                        for i, m in enumerate((3, 5, 7, 11, 13))])
     total = sum((F.col(f"a{i}") for i in range(5)), F.lit(0))
     return raw.select("latitude", "longitude",
                       *[(F.col(f"a{i}").cast("double") / total).alias(f"c{i}") for i in range(5)])
@@ -105,11 +116,11 @@ def event_windows(t: Tables) -> DataFrame:
 
 
 def overlays(t: Tables) -> DataFrame:
-    """Twelve image overlays with gaps and overlaps; ``pos`` is file order."""
+    """One image overlay per nation, with gaps and overlaps; ``pos`` is file order."""
     k = F.col("n_nationkey")
     bounds = F.concat(F.lit("[["), (_d(52.5) - k).cast("string"), F.lit(", 20.4], [44.0, "),
                       (_d(42.5) + k).cast("string"), F.lit("]]"))
-    return t.nation.filter(k < 12).select(
+    return t.nation.select(
         k.alias("pos"), F.col("n_name").alias("url"), bounds.alias("bounds"),
         F.date_add(F.lit("2024-01-01").cast("date"), k * 2).alias("start_date"),
         F.date_add(F.lit("2024-01-01").cast("date"), k * 2 + k % 3).alias("end_date"))
