@@ -4,8 +4,8 @@ Fit (M10): per feature the exact quartiles of the training rows, the bin of
 every training value (bin = number of quartiles strictly below the value) and
 per (feature, bin) the frequency, mean, std, min and max.
 
-Explain (M11/M12), for a bounded set of rows (the rows to explain are the
-feature: a handful): every row gets ``num_samples`` perturbed copies,
+Explain (M11/M12), for the rows to explain (e.g. every flagged cell-day):
+every row gets ``num_samples`` perturbed copies,
 generated in Spark with ``explode(sequence(..))``; each copy draws a bin per
 feature from the training bin frequencies and a value inside that bin, all
 seeded by ``xxhash64(seed, row, sample, feature)`` so a re-run gives the same
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspots.config import RANDOM_STATE
@@ -43,31 +43,33 @@ def rule_texts(name: str, q: list[float]) -> list[str]:
             f"{q2:.2f} < {name} <= {q3:.2f}", f"{name} > {q3:.2f}"]
 
 
+def stack_features(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, x) rows for every non-NULL feature value, in one scan."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+                      for c in cols])
+    return df.select(F.explode(pairs).alias("_p")).select("_p.feature", "_p.x").filter(
+        F.col("x").isNotNull())
+
+
 def quartile_table(train: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, q1, q2, q3) with exact linear percentiles."""
-    parts = [train.agg(F.lit(c).alias("feature"),
-                       F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-             for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"),
-                      F.col("q")[2].alias("q3"))
+    """(feature, q1, q2, q3) with exact linear percentiles, one aggregation."""
+    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    return (stack_features(train, cols).groupBy("feature").agg(F.percentile("x", q).alias("q"))
+            .select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"),
+                    F.col("q")[2].alias("q3")))
 
 
 def bin_stats(train: DataFrame, cols: list[str], quart: dict) -> DataFrame:
     """(feature, bin, n, freq, mean, std, min, max) of the training values."""
-    stacked = None
+    st = stack_features(train, cols)
+    b = F.lit(None).cast("int")
     for c in cols:
         q1, q2, q3 = quart[c]
-        s = train.select(F.lit(c).alias("feature"), F.col(c).alias("x")).filter(F.col("x").isNotNull())
-        s = s.withColumn("bin", bin_of(F.col("x"), q1, q2, q3))
-        stacked = s if stacked is None else stacked.unionByName(s)
-    g = stacked.groupBy("feature", "bin").agg(
+        b = F.when(F.col("feature") == c, bin_of(F.col("x"), q1, q2, q3)).otherwise(b)
+    g = st.withColumn("bin", b).groupBy("feature", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
         F.min("x").alias("min"), F.max("x").alias("max"))
-    tot = stacked.groupBy("feature").agg(F.count(F.lit(1)).alias("_t"))
-    return g.join(tot, "feature").withColumn("freq", F.col("n") / F.col("_t")).drop("_t")
+    return g.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy("feature")))
 
 
 @dataclass

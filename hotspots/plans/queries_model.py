@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hotspots.config import FEATURES, FIXTURE_PERIODS
 from hotspots.functions.calendar import date_lit
 from hotspots.operators import densify as D
-from hotspots.operators.explain import bin_of, fit_explainer, quartile_table
+from hotspots.operators.explain import bin_of, fit_explainer, quartile_table, stack_features
 from hotspots.operators.imputer import fit_knn_imputer
 from hotspots.operators.kmeans import kmeans_groups
 from hotspots.operators.neighbors import nearest
@@ -205,11 +205,7 @@ FROM b GROUP BY ALL""")
 def q_m10(spark, sf):
     tr = _period(_features(spark, sf), TR)
     qt = quartile_table(tr, FEATURES)
-    stacked = None
-    for c in FEATURES:
-        s = tr.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")).filter(F.col("x").isNotNull())
-        stacked = s if stacked is None else stacked.unionByName(s)
-    j = stacked.join(F.broadcast(qt), "feature")  # one row per feature: bounded
+    j = stack_features(tr, FEATURES).join(F.broadcast(qt), "feature")  # one row per feature: bounded
     b = j.withColumn("bin", F.when(F.col("x") > F.col("q3"), 3).when(F.col("x") > F.col("q2"), 2)
                      .when(F.col("x") > F.col("q1"), 1).otherwise(0))
     return b.groupBy("feature", r6("q1").alias("q1"), r6("q2").alias("q2"), r6("q3").alias("q3"),
