@@ -72,6 +72,31 @@ def scan_weather(spark: SparkSession, root: str, start, end) -> DataFrame:
         F.col("acq_date").between(date_lit(start), date_lit(end)))
 
 
+def year_from_file_name(col) -> "F.Column":
+    """Year of a flat file named ``<anything>_<YYYY>....csv``: the first four
+    characters of the last ``_`` token (F15)."""
+    last = F.element_at(F.split(col, "_"), -1)
+    return F.substring(last, 1, 4).cast("int")
+
+
+def scan_flat_yearly(spark: SparkSession, folder: str, kind: str, start, end) -> DataFrame:
+    """Flat folders of yearly files (``fire_data_2021.csv``...): a path glob
+    lists only the years of [start, end] (pruning before any read) and the
+    year of each row's file is checked exactly from ``_metadata.file_name``.
+    Files named with ``fire`` are fires, others weather."""
+    s, e = as_date(start), as_date(end)
+    years = ",".join(str(y) for y in range(s.year, e.year + 1))
+    token = "*fire*" if kind == "fire" else "*"
+    df = (spark.read.schema(KIND_SCHEMA[kind]).option("header", True)
+          .csv(f"{folder.rstrip('/')}/{token}_{{{years}}}*.csv")
+          .withColumn("_file", F.col("_metadata.file_name")))
+    if kind != "fire":
+        df = df.filter(~F.col("_file").contains("fire"))
+    return (df.filter(year_from_file_name(F.col("_file")).between(s.year, e.year))
+            .drop("_file").distinct()
+            .filter(F.col("acq_date").between(date_lit(start), date_lit(end))))
+
+
 def land_layer(df: DataFrame, folder: str, name: str, resolution: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(
         f"{folder.rstrip('/')}/{name}_{resolution}.csv")

@@ -50,3 +50,33 @@ def test_scan_prunes_years(spark):
     plan = f._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan or "year" in plan
     assert f.filter(F.year("acq_date") == 2023).count() == 0
+
+
+def test_flat_yearly_files(spark, tmp_path):
+    d = tmp_path
+    (d / "fire_data_2023.csv").write_text("latitude,longitude,acq_date\n46.0,24.0,2023-05-01\n")
+    (d / "fire_data_2024.csv").write_text(
+        "latitude,longitude,acq_date\n46.0,24.0,2024-05-01\n46.0,24.0,2024-05-01\n47.0,25.0,2024-12-31\n")
+    (d / "weather_2024.csv").write_text("oblast_id,acq_date,t_mean,cloud_cover\nUA1,2024-05-01,1.0,2.0\n")
+    f = L.scan_flat_yearly(spark, f"file://{d}", "fire", "2024-01-01", "2024-06-30")
+    assert [(r.latitude, r.acq_date) for r in f.collect()] == [(46.0, dt.date(2024, 5, 1))]
+    w = L.scan_flat_yearly(spark, f"file://{d}", "weather", "2024-01-01", "2024-12-31")
+    assert w.count() == 1
+
+
+def test_streaming_daily_counts(spark):
+    from hotspots.streaming.ingest_stream import daily_cell_counts_stream, landed_stream
+    landing = scratch_dir(spark, "t-fire-landing")
+    d = dt.date
+    rows = [(46.1, 24.1, d(2024, 1, 1)), (46.2, 24.2, d(2024, 1, 1)), (47.0, 25.0, d(2024, 1, 2)),
+            (46.1, 24.1, d(2024, 1, 9))]
+    spark.createDataFrame(rows, "latitude double, longitude double, acq_date date").write.mode(
+        "append").option("header", True).csv(landing)
+    counts = daily_cell_counts_stream(landed_stream(spark, landing, "fire"))
+    q = (counts.writeStream.outputMode("append").format("memory").queryName("daily_counts_t")
+         .option("checkpointLocation", scratch_dir(spark, "t-stream-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted((r.acq_date, r.grid_cell, r.fire_count) for r in spark.sql("SELECT * FROM daily_counts_t").collect())
+    # days at least two days older than the newest event time are final
+    assert (d(2024, 1, 1), "46.0_24.0", 2) in got
+    assert (d(2024, 1, 2), "47.0_25.0", 1) in got
