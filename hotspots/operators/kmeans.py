@@ -5,7 +5,8 @@ than ``k`` points and k > 1; otherwise every point is its own cluster.
 
 Lloyd iterations run as Spark jobs over all groups together:
   assign  - points join their group's centre array (at most k entries, one row
-            per group) and pick the nearest centre with a higher-order function;
+            per group; broadcast after a size check, so points stay in place)
+            and pick the nearest centre with a higher-order function;
   update  - new centres are per-(group, cluster) means, a partially aggregated
             groupBy, folded back into one centre array per group.
 A group with a third of all points is therefore spread over many tasks (AQE
@@ -21,6 +22,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hotspots.operators.joins import broadcast_if_small
+
 SALTS = 16
 
 
@@ -40,7 +43,9 @@ def _centre_arrays(c: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _assign(points: DataFrame, centres: DataFrame, group: list[str]) -> DataFrame:
-    j = points.join(centres, group)
+    # one row per group with at most k centres: broadcast after a size check, so
+    # the points never move between iterations; above the bound a shuffle join
+    j = points.join(broadcast_if_small(centres), group)
     lat, lon = F.col("lat"), F.col("lon")
     init = F.struct(F.lit(float("inf")).alias("d"), F.lit(-1).alias("cluster"))
 

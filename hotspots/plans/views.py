@@ -19,8 +19,9 @@ NORMAL_TEXT = "Non war-related"
 
 
 def date_range_of(df: DataFrame, col: str = "acq_date"):
-    """(min, max) of ``col`` as scalar subqueries (evaluated once, no join)."""
-    return (df.select(F.min(col)).scalar(), df.select(F.max(col)).scalar())
+    """(min, max) of ``col`` from one scalar subquery (one aggregation, no join)."""
+    r = df.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    return r.getField("lo"), r.getField("hi")
 
 
 def abnormal_per_day(scored: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ def score_histogram(scored: DataFrame, col: str = "significance_score_decay",
 
     Both classes use the bin count int((max - min of the normal class) / width);
     each class spans its own [min, max]; the last bin is closed on the right.
-    Bin ranges are fitted parameters (four numbers); every bin appears, empty
+    The class ranges are fitted parameters (four numbers); the bins of both
+    classes are then counted in one aggregation, and every bin appears, empty
     ones with 0.
     """
     spark = scored.sparkSession
@@ -82,31 +84,35 @@ def score_histogram(scored: DataFrame, col: str = "significance_score_decay",
         return spark.createDataFrame([], "class string, bin int, lo double, hi double, n bigint")
     nlo, nhi = ranges["normal"]
     n = max(int((nhi - nlo) / width), 1)
-    parts = []
-    for c, (lo, hi) in sorted(ranges.items()):
+
+    def per_class(fn):
+        e = None
+        for c, (lo, hi) in sorted(ranges.items()):
+            v = fn(lo, hi)
+            e = F.when(F.col("class") == c, v) if e is None else e.when(F.col("class") == c, v)
+        return e
+
+    def edge(k, lo, hi):
         step = (hi - lo) / n
-        x = F.col("x")
+        return F.when(k == n, F.lit(hi)).otherwise(k.cast("double") * F.lit(step) + F.lit(lo))
 
-        def edge(k):
-            return F.when(k == n, F.lit(hi)).otherwise(k.cast("double") * F.lit(step) + F.lit(lo))
-        if step > 0:
-            b = F.floor((x - F.lit(lo)) * F.lit(n / (hi - lo))).cast("int")
-            b = F.least(F.greatest(b, F.lit(0)), F.lit(n - 1))
-            b = F.when(x < edge(b), b - 1).otherwise(b)
-            b = F.when((x >= edge(b + 1)) & (b != n - 1), b + 1).otherwise(b)
-        else:
-            b = F.lit(0)
-        counts = s.filter(F.col("class") == c).groupBy(b.alias("bin")).agg(
-            F.count(F.lit(1)).alias("n"))
-        bins = spark.range(n).select(F.col("id").cast("int").alias("bin"))
-        k = F.col("bin")
-        parts.append(bins.join(counts, "bin", "left").select(
-            F.lit(c).alias("class"), "bin", edge(k).alias("lo"), edge(k + 1).alias("hi"),
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def bin_expr(lo, hi):
+        if hi <= lo:
+            return F.lit(0)
+        x = F.col("x")
+        b = F.floor((x - F.lit(lo)) * F.lit(n / (hi - lo))).cast("int")
+        b = F.least(F.greatest(b, F.lit(0)), F.lit(n - 1))
+        b = F.when(x < edge(b, lo, hi), b - 1).otherwise(b)
+        return F.when((x >= edge(b + 1, lo, hi)) & (b != n - 1), b + 1).otherwise(b)
+
+    counts = s.groupBy("class", per_class(bin_expr).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    classes = F.array(*[F.lit(c) for c in sorted(ranges)])
+    bins = spark.range(n).select(F.col("id").cast("int").alias("bin"), F.explode(classes).alias("class"))
+    k = F.col("bin")
+    return bins.join(counts, ["class", "bin"], "left").select(
+        "class", "bin", per_class(lambda lo, hi: edge(k, lo, hi)).alias("lo"),
+        per_class(lambda lo, hi: edge(k + 1, lo, hi)).alias("hi"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def _exact_mean(col: str):
