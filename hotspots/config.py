@@ -73,9 +73,11 @@ FIXTURE_END = FIXTURE_PERIODS.end
 
 @dataclass
 class Limits:
-    """Size bounds behind every broadcast (rows)."""
+    """Size bounds behind every broadcast (rows and estimated bytes) and the
+    block size of broadcast query rows in the exact neighbour searches."""
 
-    broadcast_rows: int = 2_000_000
+    broadcast_rows: int = 1_000_000
+    broadcast_bytes: int = 128 * 1024 * 1024
     query_block_rows: int = 4096
     extras: dict = field(default_factory=dict)
 

@@ -8,10 +8,24 @@ from pyspark.sql import functions as F
 from hotspots.config import LIMITS
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only after counting it; above the bound the plain frame is
-    returned and the planner (AQE) chooses a shuffle join at run time."""
-    bound = LIMITS.broadcast_rows if max_rows is None else max_rows
+def _row_bytes(df: DataFrame) -> int:
+    """Rough upper estimate of one row's size: 8 bytes per fixed-width field,
+    64 per string / binary, 256 per nested field."""
+    total = 16
+    for f in df.schema.fields:
+        t = f.dataType.typeName()
+        total += 64 if t in ("string", "binary") else 256 if t in ("array", "map", "struct") else 8
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None,
+                       max_bytes: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only after counting it (up to the bound) and checking
+    rows x estimated row width; above either bound the plain frame is returned
+    and the planner (AQE) chooses a shuffle join at run time."""
+    rows = LIMITS.broadcast_rows if max_rows is None else max_rows
+    nbytes = LIMITS.broadcast_bytes if max_bytes is None else max_bytes
+    bound = min(rows, max(1, nbytes // _row_bytes(df)))
     n = df.limit(bound + 1).count()
     return F.broadcast(df) if n <= bound else df
 
