@@ -12,7 +12,8 @@ Lloyd iterations run as Spark jobs over all groups together:
 A group with a third of all points is therefore spread over many tasks (AQE
 splits the skewed join side; the centre row is replicated). Initial centres
 are the k points with the smallest hash per group, chosen by a salted two-step
-top-k so no group is sorted in one task. Lineage is cut with a reliable
+top-k whose salt count grows with the group, so no task sorts more than about
+100k points of one group. Lineage is cut with a reliable
 checkpoint of the (small) centre table after every iteration.
 """
 
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 
 from hotspots.operators.joins import broadcast_if_small
 
-SALTS = 16
+ROWS_PER_SALT = 100_000
 
 
 def _topk_by_hash(points: DataFrame, group: list[str], k: int, seed: int) -> DataFrame:
+    """k points with the smallest seeded hash per group. Stage one ranks inside
+    (group, salt) buckets of about ROWS_PER_SALT rows (the salt count grows with
+    the group, from the group sizes), stage two ranks the k x salts survivors."""
     h = F.xxhash64(F.lit(seed), "_pid")
-    p = points.withColumn("_h", h).withColumn("_salt", F.pmod(F.col("_h"), F.lit(SALTS)))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(ROWS_PER_SALT))).cast("bigint")
+    p = points.withColumn("_h", h).withColumn("_salt", F.pmod(F.col("_h"), salts))
     w1 = Window.partitionBy(*group, "_salt").orderBy("_h", "_pid")
     stage1 = p.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
     w2 = Window.partitionBy(*group).orderBy("_h", "_pid")
@@ -65,11 +70,12 @@ def kmeans_groups(points: DataFrame, group: list[str], k: int, max_iter: int = 2
     sizes = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     p = points.join(sizes, group)
     small = p.filter((F.col("_n") <= k) | F.lit(k <= 1))
-    big = p.filter((F.col("_n") > k) & F.lit(k > 1)).drop("_n").persist(StorageLevel.MEMORY_AND_DISK)
+    big_n = p.filter((F.col("_n") > k) & F.lit(k > 1))
+    big = big_n.drop("_n").persist(StorageLevel.MEMORY_AND_DISK)
     ws = Window.partitionBy(*group).orderBy("_pid")
     small = small.withColumn("cluster", (F.row_number().over(ws) - 1).cast("int")).drop("_n")
 
-    init = _topk_by_hash(big, group, k, seed).select(
+    init = _topk_by_hash(big_n, group, k, seed).select(
         *group, (F.col("_r") - 1).cast("int").alias("cluster"),
         F.col("lat").alias("clat"), F.col("lon").alias("clon"))
     centres = _centre_arrays(init, group).checkpoint(eager=True)
