@@ -40,16 +40,25 @@ def vertex_edges(vertices: DataFrame, id_col: str = "poly_id", order_col: str =
     return ring_edges(rings, id_col)
 
 
+def band_height(edges: DataFrame, lo: float = 1e-4, hi: float = 1.0) -> float:
+    """Latitude band height fitted to the edges: the median latitude extent of
+    an edge (clipped), so an edge spans about one band and a point meets about
+    the edges its latitude line crosses."""
+    q = edges.select(F.abs(F.col("y2") - F.col("y1")).alias("dy")).filter("dy > 0").approxQuantile(
+        "dy", [0.5], 0.01)
+    return float(min(max(q[0] if q else hi, lo), hi))
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, lat_col: str = "latitude",
                        lon_col: str = "longitude", id_col: str = "poly_id",
-                       band: float = 0.25, keep_poly: bool = False) -> DataFrame:
+                       band: float | None = None, keep_poly: bool = False) -> DataFrame:
     """Inner spatial join: one output row per (point, containing polygon).
 
     ``points`` rows must be unique (they are after a full-row distinct); a point
     inside two polygons appears twice. ``band`` is the latitude band height in
-    degrees used to bucket edges.
+    degrees used to bucket edges (default: fitted to the edges).
     """
-    b = F.lit(float(band))
+    b = F.lit(float(band if band is not None else band_height(edges)))
     banded = edges.select(
         F.col(id_col).alias("_poly"), "y1", "x1", "y2", "x2",
         F.explode(F.sequence(F.floor(F.least("y1", "y2") / b), F.floor(F.greatest("y1", "y2") / b)))
