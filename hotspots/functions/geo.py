@@ -22,17 +22,39 @@ def grid_scale(resolution: str) -> float:
             f"Invalid resolution {resolution!r}; expected one of {sorted(_GRID_SCALE)}") from None
 
 
-def snap(col: Column | str, resolution: str = "50km") -> Column:
-    """Round half-to-even onto the grid of ``resolution``.
+_SPLIT = 134217729.0  # 2**27 + 1, Veltkamp split of a double into two 26-bit halves
+
+
+def round_scaled_exact(c: Column, k: float) -> Column:
+    """Integer nearest to the exact product x*k, ties to even.
 
-    ``rint(x*k)/k`` is exact for the 0.5 degree grid. For the decimal grids it
-    rounds the binary product, which differs from decimal half-even only on
-    values within one ulp of a tie.
+    The double product p = x*k is rounded; its exact error e (x*k = p + e) is
+    recovered error-free with a Dekker split (k is a small integer, so k has
+    no low half). Only when p itself is exactly halfway does the rounding
+    direction depend on e; otherwise rint(p) is already right.
     """
+    kk = F.lit(k)
+    p = c * kk
+    big = c * F.lit(_SPLIT)
+    hi = big - (big - c)
+    lo = c - hi
+    err = (hi * kk - p) + lo * kk
+    fl = F.floor(p).cast("double")
+    tie = (p - fl) == F.lit(0.5)
+    return (F.when(tie & (err > 0), fl + F.lit(1.0))
+            .when(tie & (err < 0), fl)
+            .otherwise(F.rint(p)))
+
+
+def snap(col: Column | str, resolution: str = "50km") -> Column:
+    """Round onto the grid of ``resolution`` like decimal half-to-even rounding
+    of the exact binary value: two decimals (1 km), one decimal (10 km), or
+    ``round(2x)/2`` (50 km, where the doubled value is exact)."""
     k = grid_scale(resolution)
     c = F.col(col) if isinstance(col, str) else col
+    scaled = F.rint(c * F.lit(k)) if k == 2.0 else round_scaled_exact(c, k)
     # + 0.0 turns a negative zero into zero so the cell key never reads "-0.0"
-    return F.rint(c * F.lit(k)) / F.lit(k) + F.lit(0.0)
+    return scaled / F.lit(k) + F.lit(0.0)
 
 
 def grid_index(col: Column | str, resolution: str = "50km") -> Column:

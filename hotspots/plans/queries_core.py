@@ -22,11 +22,22 @@ def r6(c):
 
 
 # ---------------------------------------------------------------- PF4 / PF5
-@register("pf4_snap_grid", W(["fires"], """
+def _exact_sql(x: str, k: int) -> str:
+    """DuckDB restatement of the exact half-even scaled rounding."""
+    p = f"({x}*{k}.0)"
+    big = f"({x}*134217729.0)"
+    hi = f"({big} - ({big} - {x}))"
+    err = f"(({hi}*{k}.0 - {p}) + ({x} - {hi})*{k}.0)"
+    fl = f"floor({p})"
+    return (f"(CASE WHEN {p} - {fl} = 0.5 AND {err} > 0 THEN {fl} + 1 "
+            f"WHEN {p} - {fl} = 0.5 AND {err} < 0 THEN {fl} ELSE round_even({p}, 0) END)")
+
+
+@register("pf4_snap_grid", W(["fires"], f"""
 SELECT event_id,
   round_even(latitude*2,0)/2 + 0.0 AS lat_50km, round_even(longitude*2,0)/2 + 0.0 AS lon_50km,
-  round(round_even(latitude*10,0)/10 + 0.0, 6) AS lat_10km, round(round_even(longitude*10,0)/10 + 0.0, 6) AS lon_10km,
-  round(round_even(latitude*100,0)/100 + 0.0, 6) AS lat_1km, round(round_even(longitude*100,0)/100 + 0.0, 6) AS lon_1km
+  round({_exact_sql('latitude', 10)}/10 + 0.0, 6) AS lat_10km, round({_exact_sql('longitude', 10)}/10 + 0.0, 6) AS lon_10km,
+  round({_exact_sql('latitude', 100)}/100 + 0.0, 6) AS lat_1km, round({_exact_sql('longitude', 100)}/100 + 0.0, 6) AS lon_1km
 FROM fires"""))
 def q_pf4(spark: SparkSession, sf: str) -> DataFrame:
     f = X.fires(Tables(spark, sf))

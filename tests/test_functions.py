@@ -54,3 +54,15 @@ def test_significance_range(spark, e, t):
 def test_mercator_origin(spark):
     r = spark.range(1).select(geo.mercator_to_lon(F.lit(0.0)), geo.mercator_to_lat(F.lit(0.0))).first()
     assert abs(r[0]) < 1e-12 and abs(r[1]) < 1e-12
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.floats(min_value=-180, max_value=180, allow_nan=False), min_size=1, max_size=50))
+def test_decimal_grids_equal_python_round(spark, vals):
+    extra = [46.135, 2.675, 46.125, 0.285, 1.005, 30.0449999, -12.345]
+    vals = vals + extra
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = df.select(geo.snap("x", "1km"), geo.snap("x", "10km")).collect()
+    for v, r in zip(vals, got):
+        assert r[0] == round(v, 2) + 0.0, (v, r[0], round(v, 2))
+        assert r[1] == round(v, 1) + 0.0, (v, r[1], round(v, 1))
