@@ -21,9 +21,29 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.showConsoleProgress": "false",
+    # post-shuffle partitions are coalesced / split towards this size at run time
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
 }
 
 
+def sizing(input_bytes: int, executor_cores: int, target_bytes: int = 128 << 20) -> dict:
+    """Shuffle and scan sizing for a run over ``input_bytes`` of input.
+
+    Start with enough shuffle partitions that each holds about ``target_bytes``
+    (AQE merges the small ones), never fewer than two waves of the cluster's
+    cores; split files into scan tasks of the same size.
+    """
+    parts = max(2 * executor_cores, -(-input_bytes // target_bytes))
+    return {"spark.sql.shuffle.partitions": str(parts),
+            "spark.sql.files.maxPartitionBytes": str(target_bytes)}
+
+
+def apply_sizing(spark: SparkSession, input_bytes: int, executor_cores: int) -> None:
+    for k, v in sizing(input_bytes, executor_cores).items():
+        spark.conf.set(k, v)
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "hotspots") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
