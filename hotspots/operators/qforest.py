@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -24,6 +25,7 @@ from hotspots.config import N_ESTIMATORS, QUANTILE, RANDOM_STATE
 from hotspots.operators.joins import broadcast_if_small
 
 EPS = 1e-9  # cumulative weights of one row end within a few ulps of 1
+ROWS_PER_PARTITION = 100_000
 
 
 def weighted_quantile(df: DataFrame, key: list[str], y: str, w: str, q: float,
@@ -76,6 +78,12 @@ def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features
                                featureSubsetStrategy="all", leafCol="leaf",
                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     train = df.select(features_col, F.col(label).cast("double").alias(label))
+    # tree growing makes one pass per level batch over the input: spread it over
+    # the cluster's cores, with more partitions once they would exceed
+    # ROWS_PER_PARTITION rows each
+    n = train.count()
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
+    train = train.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     forest = rf.fit(train)
     leaf = forest.transform(train).select(
         F.col(label).alias("y"), F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
@@ -86,4 +94,5 @@ def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features
         "w", F.col("cnt") / F.sum("cnt").over(size) / F.lit(float(num_trees))).select(
         "tree", "leaf", "y", "w")
     leaves = leaves.checkpoint(eager=True) if checkpoint else leaves.cache()
+    train.unpersist()
     return QuantileForestModel(forest, leaves, num_trees, features_col)
