@@ -64,6 +64,8 @@ class KNNImputerModel:
         recv = df.filter(missing).select(_key(key).alias("_rkey"), *cols).distinct()
         parts = []
         for pdf in _blocks(recv, LIMITS.query_block_rows):
+            if pdf.empty:
+                continue
             rkeys = pdf["_rkey"].to_numpy()
             R = pdf[cols].to_numpy(dtype=np.float64)
             b = spark.sparkContext.broadcast((rkeys, R))
@@ -105,6 +107,11 @@ class KNNImputerModel:
                 .groupBy("_rkey", "feature").agg(F.avg("value").alias("value")))
 
     def transform(self, df: DataFrame, key: list[str]) -> DataFrame:
+        missing = F.lit(False)
+        for c in self.cols:
+            missing = missing | F.col(c).isNull()
+        if df.filter(missing).isEmpty():
+            return df  # nothing to impute: no neighbour search at all
         vals = self.imputed_values(df, key)
         wide = vals.groupBy("_rkey").pivot("feature", self.cols).agg(F.first("value"))
         wide = wide.select("_rkey", *[F.col(c).alias(f"_imp_{c}") for c in self.cols])
