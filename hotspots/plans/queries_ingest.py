@@ -239,6 +239,29 @@ def q_sk4(spark, sf):
     return _upserted(spark, sf)
 
 
+@register("sk4_streaming_upsert", UPSERT_SQL)
+def q_sk4s(spark, sf):
+    """The same keep-last merge driven by a file-source stream: the old batch
+    lands, the stream runs, the new batch lands, the stream resumes from its
+    checkpoint and merges only the new files."""
+    from hotspots.streaming.ingest_stream import start_upsert_stream
+    t = Tables(spark, sf)
+    landing = scratch_dir(spark, "stream-landing")
+    root = scratch_dir(spark, "stream-table")
+    name = root.rstrip("/").rsplit("/", 1)[-1]
+    w = X.weather(t)
+    batches = [w.filter(F.col("acq_date") < F.lit("2024-01-20").cast("date")),
+               w.filter(F.col("acq_date") >= F.lit("2024-01-15").cast("date"))
+               .withColumn("cloud_cover", F.col("cloud_cover") + 1)]
+    for b in batches:
+        b.write.mode("append").option("header", True).csv(landing)
+        q = start_upsert_stream(spark, landing, root, "weather", name=name)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+    return L.read_kind(spark, root, "weather").drop("year")
+
+
 @register("sk4_fire_append", W(["fires"], "SELECT DISTINCT latitude, longitude, acq_date FROM fires"))
 def q_sk4f(spark, sf):
     t = Tables(spark, sf)
