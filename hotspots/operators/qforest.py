@@ -26,6 +26,7 @@ from hotspots.operators.joins import broadcast_if_small
 
 EPS = 1e-9  # cumulative weights of one row end within a few ulps of 1
 ROWS_PER_PARTITION = 100_000
+MIN_PARTITIONS = 8
 
 
 def weighted_quantile(df: DataFrame, key: list[str], y: str, w: str, q: float,
@@ -79,10 +80,11 @@ def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features
                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     train = df.select(features_col, F.col(label).cast("double").alias(label))
     # tree growing makes one pass per level batch over the input: spread it over
-    # the cluster's cores, with more partitions once they would exceed
-    # ROWS_PER_PARTITION rows each
+    # at least MIN_PARTITIONS tasks, more once they would exceed
+    # ROWS_PER_PARTITION rows each. The count depends on the data only, so the
+    # per-partition bootstrap seeds - and the forest - are the same on any cluster.
     n = train.count()
-    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
+    parts = max(MIN_PARTITIONS, -(-n // ROWS_PER_PARTITION))
     train = train.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     forest = rf.fit(train)
     leaf = forest.transform(train).select(

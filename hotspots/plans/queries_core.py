@@ -11,7 +11,7 @@ from hotspots.operators import densify as D
 from hotspots.operators.spatial import points_in_polygons, ring_edges
 from hotspots.operators.static import merge_layers, static_layers, winsorise
 from hotspots.plans.catalog import register
-from hotspots.plans.data_pipeline import DataPipeline, prepare_fires
+from hotspots.plans.feature_plan import DataPipeline, prepare_fires
 from hotspots.plans.oracle_sql import with_adapters as W
 from hotspots.sources import fixtures as X
 from hotspots.sources.tables import Tables
@@ -187,7 +187,7 @@ FROM series s LEFT JOIN static st ON s.latitude=st.latitude AND s.longitude=st.l
 LEFT JOIN weather w ON w.oblast_id=st.oblast_id AND w.acq_date=s.acq_date""").replace("\n\n,", ",", 1)
 
 
-@register("m15_data_pipeline", M15_SQL)
+@register("m15_cell_day_features", M15_SQL)
 def q_m15(spark, sf):
     return _round_features(features_in_borders(spark, sf))
 

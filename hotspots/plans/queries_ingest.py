@@ -335,7 +335,7 @@ def q_sl3(spark, sf):
 @register("pf1_date_filter", W(["fires"], """
 SELECT * FROM fires WHERE acq_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""))
 def q_pf1(spark, sf):
-    from hotspots.plans.data_pipeline import filter_dates
+    from hotspots.plans.feature_plan import filter_dates
     return filter_dates(X.fires(Tables(spark, sf)), "2024-01-05", "2024-01-20")
 
 

@@ -16,7 +16,7 @@ from hotspots.operators.pca import fit_pca
 from hotspots.operators.qforest import weighted_quantile
 from hotspots.operators.scaler import fit_scaler
 from hotspots.plans.catalog import register
-from hotspots.plans.model_pipeline import KEY, FirePredictionPipeline
+from hotspots.plans.scoring_model import KEY, FirePredictionPipeline
 from hotspots.plans.oracle_sql import with_adapters as W
 from hotspots.plans.queries_core import features_no_border
 from hotspots.plans.views import cluster_summary
@@ -146,7 +146,7 @@ def q_m4(spark, sf):
     return pipe.expected(_period(f, TE)).select(*KEY, "fire_count", "y_hat")
 
 
-@register("m14_model_pipeline")
+@register("m14_fire_scoring_model")
 def q_m14(spark, sf):
     pipe, f = _pipeline(spark, sf)
     p = pipe.predict(_period(f, TE))

@@ -39,7 +39,7 @@ def save_pipeline(pipe, path: str) -> None:
 
 
 def load_pipeline(spark: SparkSession, path: str):
-    from hotspots.plans.model_pipeline import FirePredictionPipeline
+    from hotspots.plans.scoring_model import FirePredictionPipeline
     p = path.rstrip("/")
     params = json.loads(spark.read.text(f"{p}/params").first()[0])
     forest = RandomForestRegressionModel.load(f"{p}/forest")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from hotspots.config import FEATURES, FIXTURE_PERIODS
 from hotspots.functions.calendar import date_lit
-from hotspots.plans.model_pipeline import KEY, FirePredictionPipeline
+from hotspots.plans.scoring_model import KEY, FirePredictionPipeline
 from hotspots.plans.queries_core import features_no_border
 from hotspots.session import scratch_dir
 from hotspots.sinks.model_store import load_pipeline, save_pipeline
