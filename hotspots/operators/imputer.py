@@ -72,28 +72,38 @@ class KNNImputerModel:
 
             def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rk, RR = b.value
-                best: dict = {}
                 need = np.isnan(RR)
+                best: dict = {}  # feature -> (receiver rows, dist, donor key, value), each R_f x <=k
                 for batch in it:
                     if batch.empty:
                         continue
                     D = batch[cols].to_numpy(dtype=np.float64)
-                    dk = batch["_dkey"].to_numpy()
+                    dk = batch["_dkey"].to_numpy().astype(str)
                     dist = _nan_dist(RR, D, rnd)
                     for fi in range(len(cols)):
+                        rows_f = np.nonzero(need[:, fi])[0]
+                        if not len(rows_f):
+                            continue
                         has_f = ~np.isnan(D[:, fi])
-                        for i in np.nonzero(need[:, fi])[0]:
-                            ok = has_f & ~np.isnan(dist[i])
-                            if not ok.any():
-                                continue
-                            dd, kk, vv = dist[i][ok], dk[ok], D[ok, fi]
-                            order = np.lexsort((kk, dd))[:k]
-                            new = list(zip(dd[order], kk[order], vv[order]))
-                            best[(i, fi)] = sorted(best.get((i, fi), []) + new,
-                                                   key=lambda t: (t[0], t[1]))[:k]
-                rows = [(rk[i], cols[fi], float(d), str(kk), float(v))
-                        for (i, fi), lst in best.items() for d, kk, v in lst]
-                yield pd.DataFrame(rows, columns=["_rkey", "feature", "distance", "_dkey", "value"])
+                        dd = np.where(has_f[None, :], dist[rows_f], np.nan)
+                        dd = np.where(np.isnan(dd), np.inf, dd)
+                        kk = np.broadcast_to(dk, dd.shape)
+                        vv = np.broadcast_to(D[:, fi], dd.shape)
+                        if fi in best:
+                            _, pd_, pk, pv = best[fi]
+                            dd = np.concatenate([pd_, dd], axis=1)
+                            kk = np.concatenate([pk, kk], axis=1)
+                            vv = np.concatenate([pv, vv], axis=1)
+                        # row-wise order by (distance, donor key); keep k per row
+                        order = np.lexsort((kk, dd), axis=-1)[:, :k]
+                        best[fi] = (rows_f, np.take_along_axis(dd, order, 1),
+                                    np.take_along_axis(kk, order, 1), np.take_along_axis(vv, order, 1))
+                out = []
+                for fi, (rows_f, dd, kk, vv) in best.items():
+                    for r, i in enumerate(rows_f):
+                        out += [(rk[i], cols[fi], float(d), str(key), float(v))
+                                for d, key, v in zip(dd[r], kk[r], vv[r]) if np.isfinite(d)]
+                yield pd.DataFrame(out, columns=["_rkey", "feature", "distance", "_dkey", "value"])
 
             parts.append(self.donors.mapInPandas(
                 part, "_rkey string, feature string, distance double, _dkey string, value double"))

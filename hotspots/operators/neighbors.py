@@ -63,7 +63,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vec:
 
         def part_topk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qi, qm = bq.value
-            best: dict = {}
+            best: dict = {}  # group -> (distances Q x <=k, ids Q x <=k)
             for batch in it:
                 if batch.empty:
                     continue
@@ -80,16 +80,19 @@ def nearest(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vec:
                     d = np.where(qi[:, None] == cids[None, :], np.inf, d)
                 for g in np.unique(grps):
                     sel = grps == g
-                    dg, cg = d[:, sel], cids[sel]
-                    for i in range(len(qi)):
-                        order = np.lexsort((cg, dg[i]))[:k]
-                        order = order[np.isfinite(dg[i][order])]
-                        prev = best.get((i, g))
-                        cand_rows = list(zip(dg[i][order], cg[order]))
-                        merged = sorted((prev or []) + cand_rows)[:k]
-                        best[(i, g)] = merged
-            rows = [(int(qi[i]), int(g), int(c), float(dd))
-                    for (i, g), lst in best.items() for dd, c in lst]
+                    dg = d[:, sel]
+                    cg = np.broadcast_to(cids[sel], dg.shape)
+                    if g in best:
+                        dg = np.concatenate([best[g][0], dg], axis=1)
+                        cg = np.concatenate([best[g][1], cg], axis=1)
+                    # row-wise order by (distance, id); keep the first k of every row
+                    order = np.lexsort((cg, dg), axis=-1)[:, :k]
+                    best[g] = (np.take_along_axis(dg, order, 1), np.take_along_axis(cg, order, 1))
+            rows = []
+            for g, (dd, cc) in best.items():
+                for i in range(len(qi)):
+                    rows += [(int(qi[i]), int(g), int(c), float(x))
+                             for x, c in zip(dd[i], cc[i]) if np.isfinite(x)]
             yield pd.DataFrame(rows, columns=["_qid", "_grp", "_cid", "distance"])
 
         results.append(cand.mapInPandas(part_topk, out_schema))

@@ -103,21 +103,19 @@ def land_layer(df: DataFrame, folder: str, name: str, resolution: str) -> None:
 
 
 def scan_static(spark: SparkSession, folders: list[str], resolution: str = "50km") -> list[DataFrame]:
-    """Every layer named ``*_<resolution>.csv`` in the folders, lower-case headers.
+    """The layer named ``*_<resolution>.csv`` of every folder, lower-case headers.
 
-    Layer schemas differ, so each matching layer is read on its own; the number
-    of layers is a handful, the rows stay distributed.
+    Each folder holds one layer per resolution (its own schema), read with a
+    path glob; folders without a layer at this resolution are skipped.
     """
     layers = []
-    jvm_fs = spark.sparkContext._jvm.org.apache.hadoop.fs  # file listing only
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
-        pattern = jvm_fs.Path(f"{folder.rstrip('/')}/*_{resolution}.csv")
-        statuses = pattern.getFileSystem(conf).globStatus(pattern) or []
-        for st in sorted(statuses, key=lambda s: s.getPath().toString()):
-            df = spark.read.option("header", True).option("inferSchema", True).csv(
-                st.getPath().toString())
-            layers.append(df.toDF(*[c.lower() for c in df.columns]))
+        try:
+            df = (spark.read.option("header", True).option("inferSchema", True)
+                  .csv(f"{folder.rstrip('/')}/*_{resolution}.csv"))
+        except Exception:  # noqa: BLE001 - no layer at this resolution
+            continue
+        layers.append(df.toDF(*[c.lower() for c in df.columns]))
     if not layers:
         raise FileNotFoundError(f"no static layers for resolution {resolution}")
     return layers
