@@ -26,5 +26,6 @@ def winsorise(df: DataFrame, col: str = "pop_density", q: float = QUANTILE) -> D
 def static_layers(*layers: DataFrame, cap_col: str | None = "pop_density") -> DataFrame:
     merged = merge_layers(*layers)
     if cap_col and cap_col in merged.columns:
-        merged = winsorise(merged, cap_col)
+        # the merged layers feed both the percentile and the capped values
+        merged = winsorise(merged.cache(), cap_col)
     return merged

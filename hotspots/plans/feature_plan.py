@@ -55,7 +55,9 @@ class DataPipeline:
     static: DataFrame | None = None
 
     def fit(self, *layers: DataFrame) -> "DataPipeline":
-        self.static = static_layers(*layers)
+        """Build the static layer once: merged, winsorised and checkpointed to
+        the shared folder, so every later join reads the finished table."""
+        self.static = static_layers(*layers).checkpoint(eager=True)
         return self
 
     def transform(self, fires: DataFrame, weather: DataFrame | None, start, end,
