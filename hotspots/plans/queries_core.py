@@ -9,9 +9,9 @@ from hotspots.config import FIXTURE_END, FIXTURE_START
 from hotspots.functions import geo
 from hotspots.operators import densify as D
 from hotspots.operators.spatial import points_in_polygons, ring_edges
-from hotspots.operators.static import merge_layers, static_layers, winsorise
+from hotspots.operators.static import merge_layers, static_layers
 from hotspots.plans.catalog import register
-from hotspots.plans.feature_plan import DataPipeline, prepare_fires
+from hotspots.plans.feature_plan import DataPipeline
 from hotspots.plans.oracle_sql import with_adapters as W
 from hotspots.sources import fixtures as X
 from hotspots.sources.tables import Tables
@@ -191,5 +191,3 @@ LEFT JOIN weather w ON w.oblast_id=st.oblast_id AND w.acq_date=s.acq_date""").re
 def q_m15(spark, sf):
     return _round_features(features_in_borders(spark, sf))
 
-
-__all__ = ["features_no_border", "features_in_borders", "prepare_fires", "winsorise"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hotspots.config import FEATURES, FIXTURE_PERIODS
 from hotspots.functions.calendar import date_lit
 from hotspots.operators import densify as D
-from hotspots.operators.explain import bin_of, fit_explainer, quartile_table, stack_features
+from hotspots.operators.explain import fit_explainer, quartile_table, stack_features
 from hotspots.operators.imputer import fit_knn_imputer
 from hotspots.operators.kmeans import kmeans_groups
 from hotspots.operators.neighbors import nearest
@@ -250,5 +250,3 @@ def q_a10k(spark, sf):
     cl = cl.withColumnRenamed("lat", "latitude").withColumnRenamed("lon", "longitude")
     return cluster_summary(cl)
 
-
-__all__ = ["bin_of"]

@@ -25,7 +25,6 @@ def _series(spark, sf):
     return snapped, with_cell_mean(D.densify(snapped, FIXTURE_START, FIXTURE_END))
 
 
-_D = "CAST({} AS DOUBLE)"
 SCORE_CTES = """
 , sc AS (SELECT grid_cell, acq_date, latitude, longitude, fire_count AS y,
     avg(fire_count) OVER (PARTITION BY grid_cell) AS y_hat FROM series),

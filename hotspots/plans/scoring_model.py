@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from hotspots.config import FEATURES, QUANTILE
 from hotspots.operators.decay import decay_scores
