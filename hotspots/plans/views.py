@@ -60,6 +60,12 @@ def colour_range_per_event(scored: DataFrame, windows: DataFrame,
                     F.coalesce(F.greatest(F.lit(0.0), "_mx"), F.lit(0.0)).alias("vmax")))
 
 
+def sorted_for_plot(df: DataFrame, col: str = "significance_score_decay") -> DataFrame:
+    """Rows ordered by a score so the strongest are drawn last (SL2); a global
+    sort is a range-partitioned shuffle, used only right before a sink."""
+    return df.orderBy(F.col(col).asc_nulls_first())
+
+
 def fires_in_windows(scored: DataFrame, windows: DataFrame) -> DataFrame:
     """Each fire once per event window containing its day."""
     return within_windows(scored, windows)

@@ -29,3 +29,10 @@ def test_flagship_scans_events_once_with_pushdown(spark):
     # weather adapter's calendar)
     assert plan.count("FileScan parquet [event_id") == 1
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def test_sorted_for_plot(spark):
+    from hotspots.plans.views import sorted_for_plot
+    df = spark.createDataFrame([(3.0,), (None,), (-1.0,), (2.0,)], "significance_score_decay double")
+    got = [r[0] for r in sorted_for_plot(df).collect()]
+    assert got == [None, -1.0, 2.0, 3.0]
