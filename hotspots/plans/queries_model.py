@@ -187,6 +187,34 @@ def q_m9(spark, sf):
                     r6("distance").alias("distance")))
 
 
+def nearest_training_days(spark, sf):
+    """Per test cell-day, the nearest training cell-day with fires and without
+    (J11 / M9 on the feature matrix): scaled and imputed features, exact search.
+    Returns the match's original features and fire count."""
+    from hotspots.operators.prefix import dense_index
+    f = _features(spark, sf)
+    tr, te = _period(f, TR), _period(f, TE)
+    sc = fit_scaler(tr, FEATURES)
+    ztr = sc.transform(tr).select(*KEY, *FEATURES)
+    imp = fit_knn_imputer(ztr, FEATURES, KEY)
+    z = F.array(*[F.col(c) for c in FEATURES]).alias("z")
+    cand = dense_index(imp.transform(ztr, KEY).join(tr.select(*KEY, "fire_count"), KEY), KEY, "cid")
+    cand = cand.select("cid", *KEY, F.when(F.col("fire_count") > 0, 1).otherwise(0).cast("bigint").alias("cls"), z)
+    qry = dense_index(imp.transform(sc.transform(te).select(*KEY, *FEATURES), KEY), KEY, "qid")
+    nn = nearest(qry.select("qid", z), cand.select("cid", "cls", "z"), "qid", "cid", "z", group="cls", k=1)
+    orig = tr.select(*[F.col(c).alias(f"match_{c}") for c in KEY], "fire_count", *FEATURES)
+    return (nn.join(qry.select("qid", *KEY), "qid")
+            .join(cand.select("cid", *[F.col(c).alias(f"match_{c}") for c in KEY]), "cid")
+            .join(orig, [f"match_{c}" for c in KEY])
+            .select(*KEY, F.col("cls").alias("class"), *[f"match_{c}" for c in KEY],
+                    "fire_count", *FEATURES, r6("distance").alias("distance")))
+
+
+@register("m9_nearest_training_days")
+def q_m9d(spark, sf):
+    return nearest_training_days(spark, sf)
+
+
 # ---------------------------------------------------------------- M10 (O) / M11-M12 (rows)
 def _m10_sql() -> str:
     parts = []

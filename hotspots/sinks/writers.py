@@ -22,6 +22,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_nn_results(nearest_fire: DataFrame, nearest_nofire: DataFrame, originals: DataFrame,
+                     prefix: str, fmt: str = "parquet") -> None:
+    """The three outputs of a nearest-day search (SK2): nearest fire days,
+    nearest no-fire days and the rows they were found for."""
+    for name, df in (("nn_firedays", nearest_fire), ("nn_nofiredays", nearest_nofire),
+                     ("originals", originals)):
+        df.write.mode("overwrite").format(fmt).save(f"{prefix.rstrip('/')}/{name}")
+
+
 def keep_last(old: DataFrame, new: DataFrame, keys: list[str] | None) -> DataFrame:
     """Old rows (distinct) then new rows, only the columns both share (old
     order). With ``keys`` the newest row per key wins; without keys the batches

@@ -32,3 +32,19 @@ def test_fit_predict_save_load(spark):
     out = scratch_dir(spark, "t-tables")
     write_table(p1.select(*KEY, "y_hat"), f"{out}/nn")
     assert spark.read.parquet(f"{out}/nn").count() == len(rows1)
+
+
+def test_nearest_training_days_and_sk2(spark):
+    from hotspots.plans.queries_model import nearest_training_days
+    from hotspots.sinks.writers import write_nn_results
+    nn = nearest_training_days(spark, "/root/testdata/sf0.001").cache()
+    rows = nn.collect()
+    assert rows
+    # every fire-day match burned, every no-fire-day match did not (as in the study's outputs)
+    assert all((r.fire_count > 0) == (r["class"] == 1) for r in rows)
+    per = nn.groupBy("grid_cell", "acq_date", "class").count().filter("count > 1").count()
+    assert per == 0
+    out = scratch_dir(spark, "t-nn")
+    write_nn_results(nn.filter("class = 1"), nn.filter("class = 0"),
+                     nn.select("grid_cell", "acq_date").distinct(), out)
+    assert spark.read.parquet(f"{out}/nn_firedays").count() == nn.filter("class = 1").count()
