@@ -57,6 +57,8 @@ class QuantileForestModel:
                 out: str = "y_hat") -> DataFrame:
         rows = self.leaf_rows(df, key)
         lw = broadcast_if_small(self.leaves)
+        # weights of the same (row, label) from different trees are combined on
+        # the map side before the shuffle; each row then holds a few labels
         wy = rows.join(lw, ["tree", "leaf"]).groupBy(*key, "y").agg(F.sum("w").alias("w"))
         return weighted_quantile(wy, key, "y", "w", q, out)
 
