@@ -111,9 +111,12 @@ def q_m7(spark, sf):
                          r6("significance_score").alias("significance_score"))
 
 
-@register("m8_decay", score_sql("""
+M8_BODY = """
 SELECT grid_cell, acq_date, abnormal_label, round(significance_score, 6) AS significance_score,
-  abnormal_label_decay, round(significance_score_decay, 6) AS significance_score_decay FROM final"""))
+  abnormal_label_decay, round(significance_score_decay, 6) AS significance_score_decay FROM final"""
+
+
+@register("m8_decay", score_sql(M8_BODY))
 def q_m8(spark, sf):
     _, s = _series(spark, sf)
     scored, _ = score_series(s)
@@ -166,3 +169,27 @@ def q_pf8n(spark, sf):
 @register("pf9_single_day", sfires_sql(f"SELECT {_SF_COLS} FROM sfires WHERE acq_date = DATE '2024-01-15'"))
 def q_pf9(spark, sf):
     return _r(scored_fire_frame(spark, sf).filter(F.col("acq_date") == F.lit("2024-01-15").cast("date")))
+
+
+@register("m8_streaming_decay", score_sql(M8_BODY))
+def q_m8s(spark, sf):
+    """The decay run as a stateful stream over two daily batches of scores; the
+    state carried between the batches must give the batch result exactly."""
+    from hotspots.session import scratch_dir
+    from hotspots.streaming.decay_stream import start_decay_stream
+    _, s = _series(spark, sf)
+    scored, _ = score_series(s)
+    base = scored.select("grid_cell", "acq_date", "abnormal_label", "significance_score")
+    landing = scratch_dir(spark, "scores-landing")
+    out = scratch_dir(spark, "scores-decayed")
+    name = out.rstrip("/").rsplit("/", 1)[-1]
+    cut = F.lit("2024-01-15").cast("date")
+    for part in (base.filter(F.col("acq_date") <= cut), base.filter(F.col("acq_date") > cut)):
+        part.write.mode("append").parquet(landing)
+        q = start_decay_stream(spark, landing, out, name)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+    r = spark.read.parquet(out)
+    return r.select("grid_cell", "acq_date", "abnormal_label", r6("significance_score").alias("significance_score"),
+                    "abnormal_label_decay", r6("significance_score_decay").alias("significance_score_decay"))
