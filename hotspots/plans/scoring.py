@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspots.operators.decay import decay_scores
-from hotspots.operators.joins import broadcast_if_small  # noqa: F401  (re-export)
 from hotspots.operators.threshold import ThresholdModel, fit_threshold
 
 
