@@ -48,3 +48,13 @@ def test_nearest_training_days_and_sk2(spark):
     write_nn_results(nn.filter("class = 1"), nn.filter("class = 0"),
                      nn.select("grid_cell", "acq_date").distinct(), out)
     assert spark.read.parquet(f"{out}/nn_firedays").count() == nn.filter("class = 1").count()
+
+
+def test_end_to_end_run(spark):
+    from hotspots.__main__ import run
+    out = scratch_dir(spark, "t-run")
+    info = run(spark, "/root/testdata/sf0.001", out, trees=5)
+    assert info["test_cell_days"] > 0
+    for sub in ("scored_fires", "nearest_days/nn_firedays", "explanations", "model/leaves"):
+        assert spark.read.format("csv" if sub == "scored_fires" else "parquet").option(
+            "header", True).load(f"{out}/{sub}").count() >= 0
