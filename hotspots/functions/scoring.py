@@ -40,3 +40,16 @@ def sigmoid_decay(days, rate: float = DECAY_RATE, midpoint: float = DECAY_MIDPOI
 
 def label(score) -> Column:
     return F.when(_c(score) > 0, F.lit(1)).otherwise(F.lit(0))
+
+
+def nan_to_null(df):
+    """NaN in floating columns becomes NULL: Spark orders NaN above every number
+    (so NaN > 0 would be true) while the study treats NaN as missing."""
+    from pyspark.sql import types as T
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            cols.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotspots.functions.calendar import date_lit
+from hotspots.functions.scoring import nan_to_null
 from hotspots.operators import densify as D
 from hotspots.operators.joins import broadcast_if_small
 from hotspots.operators.spatial import points_in_polygons
@@ -62,10 +63,10 @@ class DataPipeline:
 
     def transform(self, fires: DataFrame, weather: DataFrame | None, start, end,
                   edges: DataFrame | None = None) -> DataFrame:
-        snapped = prepare_fires(fires, start, end, edges, self.resolution)
+        snapped = prepare_fires(nan_to_null(fires), start, end, edges, self.resolution)
         series = D.densify(snapped, start, end)
         if weather is not None:
-            weather = filter_dates(weather.distinct(), start, end)
+            weather = filter_dates(nan_to_null(weather).distinct(), start, end)
         return join_context(series, self.static, weather)
 
     def fit_transform(self, layers, fires, weather, start, end, edges=None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hotspots.functions.calendar import as_date, date_lit
+from hotspots.functions.scoring import nan_to_null
 
 FIRE_SCHEMA = T.StructType([
     T.StructField("latitude", T.DoubleType()),
@@ -45,8 +46,8 @@ def land_yearly(df: DataFrame, root: str, kind: str, mode: str = "append") -> No
 def read_kind(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """All landed rows of one kind, with the ``year`` partition column."""
     schema = T.StructType(list(KIND_SCHEMA[kind].fields) + [T.StructField("year", T.IntegerType())])
-    return (spark.read.schema(schema).option("header", True)
-            .csv(f"{root.rstrip('/')}/{kind}"))
+    return nan_to_null(spark.read.schema(schema).option("header", True)
+                       .csv(f"{root.rstrip('/')}/{kind}"))
 
 
 def scan_years(spark: SparkSession, root: str, kind: str, start, end) -> DataFrame:
@@ -87,8 +88,8 @@ def scan_flat_yearly(spark: SparkSession, folder: str, kind: str, start, end) ->
     s, e = as_date(start), as_date(end)
     years = ",".join(str(y) for y in range(s.year, e.year + 1))
     token = "*fire*" if kind == "fire" else "*"
-    df = (spark.read.schema(KIND_SCHEMA[kind]).option("header", True)
-          .csv(f"{folder.rstrip('/')}/{token}_{{{years}}}*.csv")
+    df = (nan_to_null(spark.read.schema(KIND_SCHEMA[kind]).option("header", True)
+                      .csv(f"{folder.rstrip('/')}/{token}_{{{years}}}*.csv"))
           .withColumn("_file", F.col("_metadata.file_name")))
     if kind != "fire":
         df = df.filter(~F.col("_file").contains("fire"))
@@ -111,8 +112,8 @@ def scan_static(spark: SparkSession, folders: list[str], resolution: str = "50km
     layers = []
     for folder in folders:
         try:
-            df = (spark.read.option("header", True).option("inferSchema", True)
-                  .csv(f"{folder.rstrip('/')}/*_{resolution}.csv"))
+            df = nan_to_null(spark.read.option("header", True).option("inferSchema", True)
+                             .csv(f"{folder.rstrip('/')}/*_{resolution}.csv"))
         except Exception:  # noqa: BLE001 - no layer at this resolution
             continue
         layers.append(df.toDF(*[c.lower() for c in df.columns]))

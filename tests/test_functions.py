@@ -66,3 +66,10 @@ def test_decimal_grids_equal_python_round(spark, vals):
     for v, r in zip(vals, got):
         assert r[0] == round(v, 2) + 0.0, (v, r[0], round(v, 2))
         assert r[1] == round(v, 1) + 0.0, (v, r[1], round(v, 1))
+
+
+def test_nan_becomes_null(spark):
+    from hotspots.functions.scoring import nan_to_null
+    df = spark.createDataFrame([(float("nan"), 1.0, "a")], "x double, y double, s string")
+    r = nan_to_null(df).first()
+    assert r.x is None and r.y == 1.0 and r.s == "a"
