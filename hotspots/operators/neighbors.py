@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +32,16 @@ def _blocks(queries: DataFrame, block_rows: int):
         yield queries.toPandas()
         return
     nblk = int(np.ceil(1.5 * n / block_rows))
-    keyed = queries.withColumn("_blk", F.pmod(F.xxhash64(*queries.columns), F.lit(nblk)))
-    for b in range(nblk):
-        pdf = keyed.filter(F.col("_blk") == b).drop("_blk").toPandas()
-        if len(pdf):
-            yield pdf
+    # kept while the blocks are read, so the query table is computed once
+    keyed = queries.withColumn("_blk", F.pmod(F.xxhash64(*queries.columns), F.lit(nblk))).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        for b in range(nblk):
+            pdf = keyed.filter(F.col("_blk") == b).drop("_blk").toPandas()
+            if len(pdf):
+                yield pdf
+    finally:
+        keyed.unpersist()
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vec: str,

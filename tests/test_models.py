@@ -81,3 +81,17 @@ def test_kmeans_groups_invariants(spark):
     assert out.count() == len(rows)
     per = {r.day: r.n for r in out.groupBy("day").agg(F.countDistinct("cluster").alias("n")).collect()}
     assert per[0] == 3 and per[1] <= 5 and per[2] <= 5
+
+
+def test_nearest_many_blocks_equals_one_block(spark):
+    rng = np.random.default_rng(4)
+    C = rng.normal(size=(300, 3))
+    Q = rng.normal(size=(50, 3))
+    c = spark.createDataFrame([(i, [float(x) for x in v], i % 2) for i, v in enumerate(C)],
+                              "cid long, v array<double>, g long")
+    q = spark.createDataFrame([(1000 + i, [float(x) for x in v]) for i, v in enumerate(Q)],
+                              "qid long, v array<double>")
+    a = {(r.qid, r.g, r.rank): r.cid for r in nearest(q, c, "qid", "cid", "v", group="g", k=3).collect()}
+    b = {(r.qid, r.g, r.rank): r.cid for r in nearest(q, c, "qid", "cid", "v", group="g", k=3,
+                                                      block_rows=7).collect()}
+    assert a == b and len(a) == 50 * 2 * 3
