@@ -119,9 +119,7 @@ class Explainer:
             "_sid", F.concat_ws("#", F.col(key).cast("string"), F.col("sample").cast("string")))
         scored = predict(samples, "_sid")  # (_sid, y_hat)
         data = samples.join(scored, "_sid")
-        width = math.sqrt(d) * 0.75
-        # distance of the binary form to the row (all ones), scaled per feature by
-        # its spread over the samples -> done inside the per-row solve
+        width = math.sqrt(d) * 0.75  # kernel width
         rules_lookup = {c: self.rules(c) for c in self.cols}
         quart = self.quart
         cols = self.cols
@@ -131,10 +129,9 @@ class Explainer:
             pdf = pdf.sort_values("sample")
             Z = pdf[zcols].to_numpy(dtype=float)
             y = pdf["y_hat"].to_numpy(dtype=float)
-            mu, sd = Z.mean(axis=0), Z.std(axis=0)
-            sd[sd == 0] = 1.0
-            Zs = (Z - mu) / sd
-            dist = np.sqrt(((Zs - Zs[0]) ** 2).sum(axis=1))
+            # binned features are categorical: the distance is taken on the
+            # binary form itself (no rescaling) to the row, which is all ones
+            dist = np.sqrt(((Z - Z[0]) ** 2).sum(axis=1))
             w = np.sqrt(np.exp(-(dist ** 2) / width ** 2))
             sw = w.sum()
             zm, ym = (w[:, None] * Z).sum(0) / sw, (w * y).sum() / sw

@@ -95,3 +95,22 @@ def test_nearest_many_blocks_equals_one_block(spark):
     b = {(r.qid, r.g, r.rank): r.cid for r in nearest(q, c, "qid", "cid", "v", group="g", k=3,
                                                       block_rows=7).collect()}
     assert a == b and len(a) == 50 * 2 * 3
+
+
+def test_explainer_recovers_linear_model(spark):
+    """On a model that only depends on feature a, a gets the largest weight and
+    the explanation lists every feature once, ordered by absolute weight."""
+    from hotspots.operators.explain import fit_explainer
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(c)) for a, b, c in rng.uniform(0, 10, (400, 3))]
+    train = spark.createDataFrame(rows, "a double, b double, c double")
+    ex = fit_explainer(train, ["a", "b", "c"])
+    target = spark.createDataFrame([("r1", 9.0, 5.0, 5.0)], "row_id string, a double, b double, c double")
+
+    def predict(df, key):
+        return df.select(key, (F.col("a") * 3.0).alias("y_hat"))
+    out = ex.explain(target, "row_id", predict, num_samples=2000).first()
+    rules = [e.rule for e in out.explanation]
+    weights = [abs(e.weight) for e in out.explanation]
+    assert len(rules) == 3 and rules[0].startswith("a > ")
+    assert weights == sorted(weights, reverse=True)
