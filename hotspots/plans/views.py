@@ -5,6 +5,7 @@ Every view is computed for all days at once instead of one selected day.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,9 @@ def score_histogram(scored: DataFrame, col: str = "significance_score_decay",
     """
     spark = scored.sparkSession
     cls = F.when(F.col("abnormal_label_decay") == 1, F.lit("abnormal")).otherwise(F.lit("normal"))
-    s = scored.select(cls.alias("class"), F.col(col).alias("x")).filter(F.col("x").isNotNull())
+    # two narrow columns, read twice (ranges, then counts): kept in memory
+    s = (scored.select(cls.alias("class"), F.col(col).alias("x")).filter(F.col("x").isNotNull())
+         .persist(StorageLevel.MEMORY_AND_DISK))
     ranges = {r["class"]: (r["lo"], r["hi"]) for r in
               s.groupBy("class").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
     if "normal" not in ranges:
