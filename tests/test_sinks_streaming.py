@@ -80,3 +80,17 @@ def test_streaming_daily_counts(spark):
     # days at least two days older than the newest event time are final
     assert (d(2024, 1, 1), "46.0_24.0", 2) in got
     assert (d(2024, 1, 2), "47.0_25.0", 1) in got
+
+
+def test_static_scan_by_resolution(spark, tmp_path):
+    a = tmp_path / "oblasts"
+    b = tmp_path / "land_use"
+    a.mkdir()
+    b.mkdir()
+    (a / "ukr_oblasts_50km.csv").write_text("LATITUDE,LONGITUDE,OBLAST_ID\n46.0,24.0,UA1\n")
+    (a / "ukr_oblasts_10km.csv").write_text("LATITUDE,LONGITUDE,OBLAST_ID\n46.1,24.1,UA1\n")
+    (b / "land_use_10km.csv").write_text("LATITUDE,LONGITUDE,C0\n46.1,24.1,1.0\n")
+    layers = L.scan_static(spark, [f"file://{a}", f"file://{b}", f"file://{tmp_path}/missing"], "50km")
+    assert len(layers) == 1
+    assert layers[0].columns == ["latitude", "longitude", "oblast_id"]
+    assert layers[0].count() == 1
