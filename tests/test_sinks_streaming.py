@@ -94,3 +94,13 @@ def test_static_scan_by_resolution(spark, tmp_path):
     assert len(layers) == 1
     assert layers[0].columns == ["latitude", "longitude", "oblast_id"]
     assert layers[0].count() == 1
+
+
+def test_hourly_to_daily_keeps_empty_days_as_null(spark):
+    from hotspots.plans.ingest import hourly_to_daily
+    rows = [("A", dt.datetime(2024, 1, 1, 5), 10.0), ("A", dt.datetime(2024, 1, 1, 17), None),
+            ("A", dt.datetime(2024, 1, 3, 1), 30.0), ("B", dt.datetime(2024, 1, 2, 0), 5.0)]
+    h = spark.createDataFrame(rows, "oblast_id string, ts timestamp_ntz, cloud_cover double")
+    got = sorted((r.oblast_id, r.acq_date, r.cloud_cover) for r in hourly_to_daily(h).collect())
+    assert got == [("A", dt.date(2024, 1, 1), 10.0), ("A", dt.date(2024, 1, 2), None),
+                   ("A", dt.date(2024, 1, 3), 30.0), ("B", dt.date(2024, 1, 2), 5.0)]
