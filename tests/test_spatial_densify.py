@@ -52,3 +52,16 @@ def test_densify_properties(spark):
     assert dens.count() == cells * 10
     assert dens.agg(F.sum("fire_count")).first()[0] == 500
     assert dens.groupBy("grid_cell", "acq_date").count().filter("count > 1").count() == 0
+
+
+def test_first_interval_match_overlaps_and_gaps(spark):
+    from hotspots.operators.joins import first_interval_match, within_windows
+    d = dt.date
+    iv = spark.createDataFrame([(0, "a", d(2024, 1, 1), d(2024, 1, 3)), (1, "b", d(2024, 1, 2), d(2024, 1, 5)),
+                                (2, "c", d(2024, 1, 9), d(2024, 1, 8))],   # empty interval
+                               "pos int, url string, start_date date, end_date date")
+    days = spark.createDataFrame([(d(2024, 1, i),) for i in (1, 2, 4, 7)], "acq_date date")
+    got = sorted((r.acq_date, r.url) for r in first_interval_match(days, iv, ["acq_date"], "acq_date").collect())
+    assert got == [(d(2024, 1, 1), "a"), (d(2024, 1, 2), "a"), (d(2024, 1, 4), "b"), (d(2024, 1, 7), None)]
+    both = sorted((r.acq_date, r.url) for r in within_windows(days, iv).collect())
+    assert both == [(d(2024, 1, 1), "a"), (d(2024, 1, 2), "a"), (d(2024, 1, 2), "b"), (d(2024, 1, 4), "b")]
