@@ -104,3 +104,11 @@ def test_hourly_to_daily_keeps_empty_days_as_null(spark):
     got = sorted((r.oblast_id, r.acq_date, r.cloud_cover) for r in hourly_to_daily(h).collect())
     assert got == [("A", dt.date(2024, 1, 1), 10.0), ("A", dt.date(2024, 1, 2), None),
                    ("A", dt.date(2024, 1, 3), 30.0), ("B", dt.date(2024, 1, 2), 5.0)]
+
+
+def test_request_windows_short_and_long(spark):
+    from hotspots.plans.ingest import request_windows
+    short = [(r.window_start, r.n_days) for r in request_windows(spark, "2024-01-25", "2024-01-30").collect()]
+    assert short == [(dt.date(2024, 1, 25), 6)]
+    long = [(r.window_start, r.n_days) for r in request_windows(spark, "2024-01-01", "2024-01-21").collect()]
+    assert long == [(dt.date(2024, 1, 1), 10), (dt.date(2024, 1, 11), 10), (dt.date(2024, 1, 21), 10)]
