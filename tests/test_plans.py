@@ -36,3 +36,19 @@ def test_sorted_for_plot(spark):
     df = spark.createDataFrame([(3.0,), (None,), (-1.0,), (2.0,)], "significance_score_decay double")
     got = [r[0] for r in sorted_for_plot(df).collect()]
     assert got == [None, -1.0, 2.0, 3.0]
+
+
+def test_histogram_equals_numpy(spark):
+    import numpy as np
+
+    from hotspots.plans.views import score_histogram
+    rng = np.random.default_rng(11)
+    normal = -rng.uniform(0, 1, 300)
+    abnormal = rng.uniform(0, 0.7, 120)
+    rows = [(0, float(x)) for x in normal] + [(1, float(x)) for x in abnormal]
+    df = spark.createDataFrame(rows, "abnormal_label_decay int, significance_score_decay double")
+    h = {(r["class"], r.bin): r.n for r in score_histogram(df).collect()}
+    n = int((normal.max() - normal.min()) / 0.05)
+    for cls, xs in (("normal", normal), ("abnormal", abnormal)):
+        counts, _ = np.histogram(xs, bins=n, range=(xs.min(), xs.max()))
+        assert [h[(cls, b)] for b in range(n)] == counts.tolist()
