@@ -73,3 +73,16 @@ def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"), 1.0, "a")], "x double, y double, s string")
     r = nan_to_null(df).first()
     assert r.x is None and r.y == 1.0 and r.s == "a"
+
+
+def test_literal_scores_and_classes(spark):
+    from hotspots.functions import display
+    df = spark.createDataFrame([(2.0, 4.0), (6.0, 4.0), (4.0, 4.0), (0.0, 0.0)], "e double, t double")
+    got = [r[0] for r in df.select(scoring.significance("e", "t")).collect()]
+    assert got == [(2.0 - 4.0) / 4.0, (6.0 - 4.0) / 6.0, 0.0, 0.0]
+    lu = spark.createDataFrame([(0.2, 0.3, 0.3, 0.1, 0.1)], "c0 double, c1 double, c2 double, c3 double, c4 double")
+    assert lu.select(geo.dominant_class("c0", "c1", "c2", "c3", "c4")).first()[0] == 1  # first max wins
+    pop = spark.createDataFrame([(300.0,), (None,), (10.0,)], "p double")
+    assert [r[0] for r in pop.select(display.cap("p", 250.0)).collect()] == [250.0, None, 10.0]
+    ms = spark.range(1).select(display.marker_size(F.lit(3))).first()[0]
+    assert abs(ms - (5 + 2 * math.log1p(3))) < 1e-12
