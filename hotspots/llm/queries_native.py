@@ -19,7 +19,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (
   SELECT rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM d),
 g AS (
   SELECT rid, i, list_slice(words, i, i + 4) AS gram
@@ -36,7 +36,7 @@ m AS (
     CAST(coalesce(c.covered, 0) AS BIGINT) AS n_repeat_words,
     length(text) - length(regexp_replace(text, '!+', '', 'g')) AS n_excl,
     length(regexp_replace(text, '\\P{{L}}+', '', 'g')) AS n_letters,
-    len(list_filter(words, x -> x IN ({_sql_list(quality_rules.STOP_WORDS)}))) AS n_stop
+    len(list_filter(words, lambda x: x IN ({_sql_list(quality_rules.STOP_WORDS)}))) AS n_stop
   FROM w LEFT JOIN c USING (rid)),
 v AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
