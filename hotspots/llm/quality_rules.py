@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hotspots.llm.batches import packed
+
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD_CHAR = r"[^\x20\x09-\x0D]"
 WINDOW = 5
@@ -80,12 +82,11 @@ def _repeat_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), covered).otherwise(0)
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` in the struct ``row``, plus the measures."""
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       whole.alias("body"),
-                       F.array_remove(F.split(whole, _SPACE), "").alias("words"))
+def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) in the struct ``row``,
+    plus the measures."""
+    base = packed(docs, text, keep).select(
+        "row", "body", F.array_remove(F.split("body", _SPACE), "").alias("words"))
     n = F.size("words")
     windows = F.when(n >= WINDOW, _let(F.col("words"), lambda w: F.transform(
         F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)),
@@ -128,10 +129,9 @@ def compile_rules(rules=RULES) -> Column:
     return F.array_compact(F.array(*[failed(r) for r in rules]))
 
 
-def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """``row`` (all columns of ``docs``), the measures, base_failed,
-    failed_rules and kept."""
-    m = measures(docs, text).withColumn(
+def judge(docs: DataFrame, text: str = "text", rules=RULES, keep: list[str] | None = None) -> DataFrame:
+    """``row``, the measures, base_failed, failed_rules and kept."""
+    m = measures(docs, text, keep).withColumn(
         "dup_line_ratio", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (m.withColumn("base_failed", base_failed)

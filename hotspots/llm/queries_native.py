@@ -55,8 +55,7 @@ FROM v
 @register("op6_quality_rules", _OP6_SQL)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    return quality_rules.judge(docs).select(
+    return quality_rules.judge(Tables(spark, sf_dir).documents, keep=["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", "kept")
 
