@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspots.llm import decontaminate
+from hotspots.llm import decontaminate, sentencepiece_codec
 from hotspots.llm.catalog import register
 from hotspots.sources.tables import Tables
 
@@ -20,3 +20,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated")
+
+
+def tokenizer_path() -> str:
+    """The public BPE model the query encodes with."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the pieces and of the decoded text of every document."""
+    done = sentencepiece_codec.digests(spark, Tables(spark, sf_dir).documents, tokenizer_path(),
+                                       keep=["doc_id"])
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256",
+                       "decoded_sha256", "n_source_bytes")
