@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspots.llm import decontaminate, sentencepiece_codec
+from hotspots.llm import decontaminate, sentencepiece_codec, simhash
 from hotspots.llm.catalog import register
 from hotspots.sources.tables import Tables
 
@@ -35,3 +35,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        keep=["doc_id"])
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256",
                        "decoded_sha256", "n_source_bytes")
+
+
+@register("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(Tables(spark, sf_dir).documents)
+    return found.select(F.col("id").alias("doc_id"),
+                        simhash.hex_text(F.col("fingerprint")).alias("fingerprint"), "component_id")
