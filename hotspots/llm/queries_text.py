@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspots.llm import decontaminate, sentencepiece_codec, simhash
+from hotspots.llm import ctw, decontaminate, sentencepiece_codec, simhash
 from hotspots.llm.catalog import register
 from hotspots.sources.tables import Tables
 
@@ -43,3 +43,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(Tables(spark, sf_dir).documents)
     return found.select(F.col("id").alias("doc_id"),
                         simhash.hex_text(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@register("op2_ctw_score")
+def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree and unigram scores of every document."""
+    scored = ctw.score(spark, Tables(spark, sf_dir).documents, keep=["doc_id"])
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
