@@ -34,6 +34,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from hotspots.llm.batches import packed, slices
 
@@ -126,9 +127,9 @@ class Codec:
             if number == 1:
                 pieces.append(dict(_fields(value)))
             elif number == 2:
-                trainer = dict(_fields(value))
+                trainer |= dict(_fields(value))
             elif number == 3:
-                normalizer = dict(_fields(value))
+                normalizer |= dict(_fields(value))
         if trainer.get(3, 1) != 2:
             raise ValueError("only BPE models are supported")
         self.charmap = CharMap(normalizer.get(2, b""))
@@ -429,7 +430,8 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "t
                  column(lambda p: p.begin, pa.int64()), column(lambda p: p.end, pa.int64())],
                 names=["row", "ids", "begin", "end"])
 
-    schema = rows.select("row").schema.add("ids", "array<int>").add("begin", "array<bigint>").add("end", "array<bigint>")
+    schema = (rows.select("row").schema.add("ids", T.ArrayType(T.IntegerType()))
+              .add("begin", T.ArrayType(T.LongType())).add("end", T.ArrayType(T.LongType())))
     return rows.mapInArrow(run, schema)
 
 

@@ -109,8 +109,7 @@ def rule_table(spark: SparkSession, host_rules=HOST_RULES, pattern_rules=PATTERN
     best of several fitting rules is taken (largest first)."""
     rows = [(r, 1, len(r.host)) for r in host_rules] + [(r, 0, 0) for r in pattern_rules]
     if not rows:
-        return spark.range(0).selectExpr("'' rule", "'' regex", "array('') tokens", "'' verdict",
-                                         "named_struct('a', 0) rank")
+        return rule_table(spark, HOST_RULES, ()).filter(F.lit(False))
     lit = F.lit
 
     def row(r, is_host, host_len):
