@@ -64,8 +64,10 @@ def main(argv=None) -> None:
     r.add_argument("--out", default=None)
     r.add_argument("--trees", type=int, default=100)
     args = ap.parse_args(argv)
-    from hotspots.session import get_spark, scratch_dir
+    from hotspots.session import apply_sizing, get_spark, scratch_dir
+    from hotspots.sources.paths import size
     spark = get_spark()
+    apply_sizing(spark, size(spark, args.sf), spark.sparkContext.defaultParallelism)
     out = args.out or scratch_dir(spark, "run")
     print(json.dumps(run(spark, args.sf, out, args.trees)))
 

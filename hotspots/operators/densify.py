@@ -30,6 +30,17 @@ def cell_day_counts(snapped: DataFrame) -> DataFrame:
                  F.min(F.struct("latitude_original", "longitude_original")).alias("_first")))
 
 
+def with_cell_day_count(points: DataFrame, out: str = "fire_count_cell") -> DataFrame:
+    """Every detection with the count of its (cell, day) (W1): a partially
+    aggregated count joined back, so the detections of a hot cell-day stay
+    spread (adaptive execution splits the join's skewed side)."""
+    key = ["grid_cell", "acq_date"]
+    counts = points.groupBy(*key).agg(F.count(F.lit(1)).cast("bigint").alias(out)).select(
+        *[F.col(c).alias(f"_{c}") for c in key], out)
+    same = F.col("grid_cell").eqNullSafe(F.col("_grid_cell")) & F.col("acq_date").eqNullSafe(F.col("_acq_date"))
+    return points.join(counts, same).drop("_grid_cell", "_acq_date")
+
+
 def constants_from_daily(daily: DataFrame) -> DataFrame:
     """Per cell: the snapped position and the original position of its first
     fire by (date, latitude, longitude) (W2), from the per-day table - a cell
@@ -50,7 +61,8 @@ def cell_constants(snapped: DataFrame) -> DataFrame:
 
 def densify(snapped: DataFrame, start, end) -> DataFrame:
     """Every cell that burned in the window gets every day of [start, end];
-    days without fires count 0 (TS1).
+    days without fires count 0 (TS1). Fires outside the window (or without a
+    date) take no part.
 
     Two shuffles and no join: the detections are aggregated per (cell, day)
     (partial aggregation), then per cell into its constants and a day -> count
@@ -58,7 +70,7 @@ def densify(snapped: DataFrame, start, end) -> DataFrame:
     cell with a third of all fires is still a bounded row. The calendar is then
     generated per cell with ``explode(sequence(..))`` and looked up in the map.
     """
-    daily = cell_day_counts(snapped)
+    daily = cell_day_counts(snapped.filter(F.col("acq_date").between(date_lit(start), date_lit(end))))
     first = F.min(F.struct("acq_date", F.col("_first.latitude_original").alias("lat"),
                            F.col("_first.longitude_original").alias("lon")))
     cells = daily.groupBy("grid_cell").agg(

@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hotspots.config import LIMITS
 
 
-def _row_bytes(df: DataFrame) -> int:
-    """Rough upper estimate of one row's size: 8 bytes per fixed-width field,
-    64 per string / binary, 256 per nested field."""
-    total = 16
+def _fixed_width(t: T.DataType) -> int | None:
+    """Bytes of a type without variable parts, else None."""
+    if isinstance(t, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+        return None
+    if isinstance(t, T.StructType):
+        parts = [_fixed_width(f.dataType) for f in t.fields]
+        return None if None in parts else 8 + sum(parts)
+    return 16 if isinstance(t, T.DecimalType) else 8
+
+
+def _value_bytes(c: Column, t: T.DataType) -> Column:
+    """Bytes of one value: measured for texts and collections, 8 and up else."""
+    width = _fixed_width(t)
+    if width is not None:
+        return F.lit(width)
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        size = 16 + F.octet_length(c)
+    elif isinstance(t, T.ArrayType):
+        each = _fixed_width(t.elementType)
+        size = 24 + (F.size(c) * each if each is not None else F.aggregate(
+            c, F.lit(0).cast("long"), lambda n, x: n + _value_bytes(x, t.elementType).cast("long")))
+    elif isinstance(t, T.MapType):
+        size = 16 + _value_bytes(F.map_keys(c), T.ArrayType(t.keyType)) + _value_bytes(
+            F.map_values(c), T.ArrayType(t.valueType))
+    else:
+        size = F.lit(8)
+        for f in t.fields:
+            size = size + _value_bytes(c[f.name], f.dataType)
+    return F.coalesce(size, F.lit(8))
+
+
+def measured_bytes(df: DataFrame) -> Column:
+    """Estimated bytes of a row, from its own values."""
+    total = F.lit(16).cast("long")
     for f in df.schema.fields:
-        t = f.dataType.typeName()
-        total += 64 if t in ("string", "binary") else 256 if t in ("array", "map", "struct") else 8
+        total = total + _value_bytes(F.col(f"`{f.name}`"), f.dataType)
     return total
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None,
                        max_bytes: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only after counting it (up to the bound) and checking
-    rows x estimated row width; above either bound the plain frame is returned
+    """Broadcast ``df`` only after measuring it (up to the row bound): rows and
+    the bytes of its own values. Above either bound the plain frame is returned
     and the planner (AQE) chooses a shuffle join at run time."""
     rows = LIMITS.broadcast_rows if max_rows is None else max_rows
     nbytes = LIMITS.broadcast_bytes if max_bytes is None else max_bytes
-    bound = min(rows, max(1, nbytes // _row_bytes(df)))
-    n = df.limit(bound + 1).count()
-    return F.broadcast(df) if n <= bound else df
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(measured_bytes(df))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= nbytes else df
 
 
 def _interval_days(intervals: DataFrame, start_col: str, end_col: str, day: str = "_day") -> DataFrame:

@@ -1,7 +1,8 @@
 """Per-group k-means on (lat, lon) for all groups at once.
 
-A group (one day and one class of fires) is clustered only when it has more
-than ``k`` points and k > 1; otherwise every point is its own cluster.
+A group (one day and one class of fires; a NULL class is a group like any
+other) is clustered only when it has more than ``k`` points and k > 1;
+otherwise every point is its own cluster.
 
 Lloyd iterations run as Spark jobs over all groups together:
   assign  - points join their group's centre array (at most k entries, one row
@@ -9,12 +10,17 @@ Lloyd iterations run as Spark jobs over all groups together:
             and pick the nearest centre with a higher-order function;
   update  - new centres are per-(group, cluster) means, a partially aggregated
             groupBy, folded back into one centre array per group.
-A group with a third of all points is therefore spread over many tasks (AQE
-splits the skewed join side; the centre row is replicated). Initial centres
-are the k points with the smallest hash per group, chosen by a salted two-step
-top-k whose salt count grows with the group, so no task sorts more than about
-100k points of one group. Lineage is cut with a reliable
-checkpoint of the (small) centre table after every iteration.
+A group stops when its centres move by no more than ``tol`` times the mean
+variance of its coordinates (summed squared shift), as single-machine k-means
+does; only the groups that still move are assigned again. ``max_iter`` bounds
+the loop, and ``converged`` tells whether a group stopped before it.
+
+A group with a third of all points is spread over many tasks (AQE splits the
+skewed join side; the centre row is replicated). Initial centres are the k
+points with the smallest hash per group, chosen by a salted two-step top-k
+whose salt count grows with the group, so no task sorts more than about 100k
+points of one group. Lineage is cut with a reliable checkpoint of the (small)
+centre table after every iteration.
 """
 
 from __future__ import annotations
@@ -23,36 +29,42 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspots.operators.joins import broadcast_if_small
+from hotspots.config import LIMITS
 
 ROWS_PER_SALT = 100_000
+MAX_ITER = 300
+TOLERANCE = 1e-4
+# the group columns as one key: structs compare NULL fields as equal
+G = "_group"
 
 
-def _topk_by_hash(points: DataFrame, group: list[str], k: int, seed: int) -> DataFrame:
+def _topk_by_hash(points: DataFrame, k: int, seed: int) -> DataFrame:
     """k points with the smallest seeded hash per group. Stage one ranks inside
     (group, salt) buckets of about ROWS_PER_SALT rows (the salt count grows with
     the group, from the group sizes), stage two ranks the k x salts survivors."""
     h = F.xxhash64(F.lit(seed), "_pid")
     salts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(ROWS_PER_SALT))).cast("bigint")
     p = points.withColumn("_h", h).withColumn("_salt", F.pmod(F.col("_h"), salts))
-    w1 = Window.partitionBy(*group, "_salt").orderBy("_h", "_pid")
+    w1 = Window.partitionBy(G, "_salt").orderBy("_h", "_pid")
     stage1 = p.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy(*group).orderBy("_h", "_pid")
+    w2 = Window.partitionBy(G).orderBy("_h", "_pid")
     return stage1.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k)
 
 
-def _centre_arrays(c: DataFrame, group: list[str]) -> DataFrame:
-    return c.groupBy(*group).agg(F.sort_array(F.collect_list(
+def _centre_arrays(c: DataFrame) -> DataFrame:
+    return c.groupBy(G).agg(F.sort_array(F.collect_list(
         F.struct(F.col("cluster").alias("cluster"), F.col("clat").alias("clat"),
                  F.col("clon").alias("clon")))).alias("_centres"))
 
 
-def _assign(points: DataFrame, centres: DataFrame, group: list[str]) -> DataFrame:
-    # one row per group with at most k centres: broadcast after a size check, so
-    # the points never move between iterations; above the bound a shuffle join
-    j = points.join(broadcast_if_small(centres), group)
+def _assign(points: DataFrame, centres: DataFrame, small: bool) -> DataFrame:
+    # one row per group with at most k centres: broadcast where the groups were
+    # counted to be few, so the points never move between iterations; above the
+    # bound a shuffle join
+    c = centres.select(G, "_centres")
+    j = points.join(F.broadcast(c) if small else c, G)
     lat, lon = F.col("lat"), F.col("lon")
-    init = F.struct(F.lit(float("inf")).alias("d"), F.lit(-1).alias("cluster"))
+    init = F.struct(F.lit(float("inf")).alias("d"), F.lit(-1).cast("bigint").alias("cluster"))
 
     def step(acc, c):
         d = (lat - c["clat"]) * (lat - c["clat"]) + (lon - c["clon"]) * (lon - c["clon"])
@@ -63,36 +75,51 @@ def _assign(points: DataFrame, centres: DataFrame, group: list[str]) -> DataFram
     return j.withColumn("cluster", best["cluster"]).drop("_centres")
 
 
-def kmeans_groups(points: DataFrame, group: list[str], k: int, max_iter: int = 20,
-                  seed: int = 0, checkpoint_every: int = 1) -> DataFrame:
+def kmeans_groups(points: DataFrame, group: list[str], k: int, max_iter: int = MAX_ITER,
+                  seed: int = 0, tol: float = TOLERANCE) -> DataFrame:
     """points: group columns + _pid (unique) + lat + lon. Returns points with
-    ``cluster`` (0..k-1 for clustered groups, a per-point index otherwise)."""
-    sizes = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    p = points.join(sizes, group)
-    small = p.filter((F.col("_n") <= k) | F.lit(k <= 1))
-    big_n = p.filter((F.col("_n") > k) & F.lit(k > 1))
-    big = big_n.drop("_n").persist(StorageLevel.MEMORY_AND_DISK)
-    ws = Window.partitionBy(*group).orderBy("_pid")
-    small = small.withColumn("cluster", (F.row_number().over(ws) - 1).cast("int")).drop("_n")
-
-    init = _topk_by_hash(big_n, group, k, seed).select(
-        *group, (F.col("_r") - 1).cast("int").alias("cluster"),
+    ``cluster`` (0..k-1 for clustered groups; 0.. per point in groups of at most
+    k points, and the point's own id for k <= 1) and ``converged``."""
+    keyed = points.withColumn(G, F.struct(*group))
+    columns = [*points.columns, "cluster", "converged"]
+    if k <= 1:
+        return (keyed.withColumn("cluster", F.col("_pid").cast("bigint"))
+                .withColumn("converged", F.lit(True)).select(*columns))
+    spread = (F.var_pop("lat") + F.var_pop("lon")) / 2
+    sizes = keyed.groupBy(G).agg(F.count(F.lit(1)).alias("_n"), (spread * tol).alias("_tol"))
+    p = keyed.join(sizes, G).persist(StorageLevel.MEMORY_AND_DISK)
+    small, big = p.filter(F.col("_n") <= k), p.filter(F.col("_n") > k)
+    ws = Window.partitionBy(G).orderBy("_pid")  # at most k rows
+    small = (small.withColumn("cluster", (F.row_number().over(ws) - 1).cast("bigint"))
+             .withColumn("converged", F.lit(True)))
+
+    first = _topk_by_hash(big, k, seed).select(
+        G, (F.col("_r") - 1).cast("bigint").alias("cluster"),
         F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    centres = _centre_arrays(init, group).checkpoint(eager=True)
-    assigned = None
-    for it in range(max_iter):
-        assigned = _assign(big, centres, group)
-        new = assigned.groupBy(*group, "cluster").agg(F.avg("lat").alias("clat"),
-                                                      F.avg("lon").alias("clon"))
+    limits = big.groupBy(G).agg(F.first("_tol").alias("_tol"))
+    centres = (_centre_arrays(first).join(limits, G)
+               .withColumn("converged", F.lit(False)).checkpoint(eager=True))
+    few = centres.count() * (64 + 32 * k) <= LIMITS.broadcast_bytes
+    for _ in range(max_iter):
+        moving = centres.filter(~F.col("converged"))
+        if moving.isEmpty():
+            break
+        new = _assign(big.drop("_tol"), moving, few).groupBy(G, "cluster").agg(
+            F.avg("lat").alias("nlat"), F.avg("lon").alias("nlon"))
         # clusters that lost every point keep their previous centre
-        old = centres.select(*group, F.explode("_centres").alias("_c")).select(
-            *group, "_c.cluster", "_c.clat", "_c.clon")
-        merged = old.join(new.withColumnRenamed("clat", "nlat").withColumnRenamed("clon", "nlon"),
-                          [*group, "cluster"], "left").select(
-            *group, "cluster", F.coalesce("nlat", "clat").alias("clat"),
-            F.coalesce("nlon", "clon").alias("clon"))
-        centres = _centre_arrays(merged, group)
-        if checkpoint_every and (it + 1) % checkpoint_every == 0:
-            centres = centres.checkpoint(eager=True)
-    assigned = _assign(big, centres, group)
-    return assigned.unionByName(small.select(*assigned.columns))
+        old = moving.select(G, "_tol", F.explode("_centres").alias("_c")).select(
+            G, "_tol", "_c.cluster", "_c.clat", "_c.clon")
+        merged = old.join(new, [G, "cluster"], "left").select(
+            G, "_tol", "cluster", "clat", "clon",
+            F.coalesce("nlat", "clat").alias("nlat"), F.coalesce("nlon", "clon").alias("nlon"))
+        shift = F.sum((F.col("nlat") - F.col("clat")) ** 2 + (F.col("nlon") - F.col("clon")) ** 2)
+        moved = merged.groupBy(G).agg(
+            F.sort_array(F.collect_list(F.struct("cluster", F.col("nlat").alias("clat"),
+                                                 F.col("nlon").alias("clon")))).alias("_centres"),
+            F.first("_tol").alias("_tol"), (shift <= F.first("_tol")).alias("converged"))
+        centres = centres.filter("converged").unionByName(moved).checkpoint(eager=True)
+    done = centres.select(G, "converged")
+    assigned = _assign(big, centres, few).join(F.broadcast(done) if few else done, G)
+    out = assigned.select(*columns).unionByName(small.select(*columns)).checkpoint(eager=True)
+    p.unpersist()
+    return out

@@ -43,7 +43,7 @@ class PCAModelLite:
 
 
 def fit_pca(df: DataFrame, cols: list[str], variance: float = PCA_VARIANCE) -> PCAModelLite:
-    vec = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="skip").transform(df)
+    vec = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="error").transform(df)
     model = PCA(k=len(cols), inputCol="_x", outputCol="_p").fit(vec.select("_x"))
     ratio = np.asarray(model.explainedVariance.toArray(), dtype=float)
     cum = np.cumsum(ratio)

@@ -1,32 +1,41 @@
 """Quantile regression forest (M4, M5) after Meinshausen (2006).
 
-Fit: ``pyspark.ml`` random forest with a leaf-index column; every training
-row is mapped to its leaf in every tree and the training labels are kept per
-(tree, leaf) as a histogram (tree, leaf, y, count) - the counts are aggregated
-on the map side, so the table is bounded by trees x leaves x distinct labels.
+Fit: ``pyspark.ml`` random forest with a leaf-index column, grown to Spark's
+own depth bound (30); every training row is mapped to its leaf in every tree
+and the training labels are kept per (tree, leaf) as a histogram
+(tree, leaf, y, w) - the counts are aggregated on the map side, so the table is
+bounded by trees x leaves x distinct labels. The rows are dealt by a hash of
+their values to a fixed number of partitions and sorted there, so the
+per-partition bootstrap seeds, and the forest, do not depend on how the input
+was partitioned or how many rows there are.
 
 Predict: a row's weight on training label y is the mean over trees of
 count(tree, leaf, y) / size(tree, leaf); the q-quantile is the smallest y
-whose cumulative weight reaches q. This is a join on (tree, leaf), a grouped
-sum per (row, y) and a running sum per row (a handful of y values per row).
+whose cumulative weight reaches q. The leaf table travels to the tasks in
+blocks of trees of bounded size; each block adds its weights to the row's
+weight per label, so a row stays one row and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspots.config import N_ESTIMATORS, QUANTILE, RANDOM_STATE
-from hotspots.operators.joins import broadcast_if_small
+from hotspots.config import LIMITS, N_ESTIMATORS, QUANTILE, RANDOM_STATE
 
 EPS = 1e-9  # cumulative weights of one row end within a few ulps of 1
-ROWS_PER_PARTITION = 100_000
-MIN_PARTITIONS = 8
+PARTITIONS = 8  # fixed: part of the model, like the seed; more for larger training sets
+MAX_DEPTH = 30  # Spark's own bound; the original grows without one
+PASS_MB = 48  # split statistics of one pass, per task
+BYTES_PER_LEAF_ROW = 24
 
 
 def weighted_quantile(df: DataFrame, key: list[str], y: str, w: str, q: float,
@@ -48,46 +57,89 @@ class QuantileForestModel:
     num_trees: int
     features_col: str = "features"
 
-    def leaf_rows(self, df: DataFrame, key: list[str]) -> DataFrame:
-        t = self.forest.transform(df.select(*key, self.features_col))
-        return t.select(*key, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf")).withColumn(
-            "leaf", F.col("leaf").cast("int"))
+    def _tree_blocks(self) -> list[tuple[int, int]]:
+        """Ranges [first, last) of trees whose leaf rows fit the broadcast bound."""
+        sizes = {r["tree"]: r["n"] for r in self.leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
+        most = max(1, LIMITS.broadcast_bytes // BYTES_PER_LEAF_ROW)
+        blocks, first, held = [], 0, 0
+        for t in range(self.num_trees):
+            n = sizes.get(t, 0)
+            if held and held + n > most:
+                blocks.append((first, t))
+                first, held = t, 0
+            held += n
+        return [*blocks, (first, self.num_trees)]
+
+    def weights(self, df: DataFrame, key: list[str]) -> tuple[DataFrame, list[float]]:
+        """(key, _w): per row the weight of every training label, and the labels
+        in order. Labels are counts per cell-day: few distinct values."""
+        spark = df.sparkSession
+        labels = [float(r[0]) for r in self.leaves.select("y").distinct().orderBy("y").collect()]
+        rows = self.forest.transform(df.select(*key, self.features_col)).select(
+            *key, vector_to_array("leaf").cast("array<int>").alias("_leaf"),
+            F.array_repeat(F.lit(0.0), len(labels)).alias("_w"))
+        for first, last in self._tree_blocks():
+            part = (self.leaves.filter(F.col("tree").between(first, last - 1))
+                    .select("tree", "leaf", "y", "w").toPandas().sort_values(["tree", "leaf", "y"]))
+            table = {}
+            for tree, own in part.groupby("tree"):
+                leaf = own["leaf"].to_numpy(np.int64)
+                table[int(tree)] = (np.searchsorted(leaf, np.arange(leaf[-1] + 2)),
+                                    np.searchsorted(labels, own["y"].to_numpy()), own["w"].to_numpy())
+            rows = rows.mapInPandas(_adder(spark.sparkContext.broadcast(table), len(labels)), rows.schema)
+        return rows.drop("_leaf"), labels
 
     def predict(self, df: DataFrame, key: list[str], q: float = QUANTILE,
                 out: str = "y_hat") -> DataFrame:
-        rows = self.leaf_rows(df, key)
-        lw = broadcast_if_small(self.leaves)
-        # weights of the same (row, label) from different trees are combined on
-        # the map side before the shuffle; each row then holds a few labels
-        wy = rows.join(lw, ["tree", "leaf"]).groupBy(*key, "y").agg(F.sum("w").alias("w"))
-        return weighted_quantile(wy, key, "y", "w", q, out)
+        return self._quantiles(df, key, {out: q})
 
     def predict_many(self, df: DataFrame, key: list[str], qs: list[float]) -> DataFrame:
-        out = None
-        for q in qs:
-            p = self.predict(df, key, q, out=f"q{int(round(q * 100)):02d}")
-            out = p if out is None else out.join(p, key)
-        return out
+        return self._quantiles(df, key, {f"q{int(round(q * 100)):02d}": q for q in qs})
+
+    def _quantiles(self, df: DataFrame, key: list[str], wanted: dict[str, float]) -> DataFrame:
+        weighted, labels = self.weights(df, key)
+        values = F.array(*[F.lit(y) for y in labels])
+        cum = F.transform("_w", lambda x, i: F.aggregate(F.slice("_w", 1, i + 1), F.lit(0.0), lambda a, b: a + b))
+        total = F.aggregate("_w", F.lit(0.0), lambda a, b: a + b)
+        with_cum = weighted.select(*key, cum.alias("_c"), total.alias("_t"))
+        return with_cum.select(*key, *[
+            F.get(values, F.size(F.filter("_c", lambda c, q=q: c / F.col("_t") < F.lit(q - EPS)))).alias(name)
+            for name, q in wanted.items()])
+
+
+def _adder(sent, n_labels: int):
+    """Adds the leaf weights of a block of trees to the rows' weights per label."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = sent.value
+        for batch in batches:
+            if len(batch):
+                leaf = np.stack(batch["_leaf"].to_numpy())
+                total = np.stack(batch["_w"].to_numpy()).ravel()
+                for tree, (start, label, w) in table.items():
+                    a, b = start[leaf[:, tree]], start[leaf[:, tree] + 1]
+                    n = b - a
+                    row = np.repeat(np.arange(len(leaf)), n)
+                    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+                    total = total + np.bincount(row * n_labels + label[at], w[at], len(total))
+                batch = batch.assign(_w=list(total.reshape(len(leaf), n_labels)))
+            yield batch
+    return run
 
 
 def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features",
                         num_trees: int = N_ESTIMATORS, seed: int = RANDOM_STATE,
-                        max_depth: int = 10, max_bins: int = 32,
+                        max_depth: int = MAX_DEPTH, max_bins: int = 32, partitions: int = PARTITIONS,
                         checkpoint: bool = True) -> QuantileForestModel:
-    # more nodes per pass over the data (fewer passes) and cached node ids for
-    # deep trees; checkpoints of the node-id cache go to the shared folder
+    # deep trees have many nodes: a task's statistics of one pass are bounded by
+    # PASS_MB; checkpoints of the node-id cache go to the shared folder
     rf = RandomForestRegressor(featuresCol=features_col, labelCol=label, numTrees=num_trees,
                                seed=seed, maxDepth=max_depth, maxBins=max_bins,
                                featureSubsetStrategy="all", leafCol="leaf",
-                               maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
+                               maxMemoryInMB=PASS_MB, cacheNodeIds=True, checkpointInterval=10)
     train = df.select(features_col, F.col(label).cast("double").alias(label))
-    # tree growing makes one pass per level batch over the input: spread it over
-    # at least MIN_PARTITIONS tasks, more once they would exceed
-    # ROWS_PER_PARTITION rows each. The count depends on the data only, so the
-    # per-partition bootstrap seeds - and the forest - are the same on any cluster.
-    n = train.count()
-    parts = max(MIN_PARTITIONS, -(-n // ROWS_PER_PARTITION))
-    train = train.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    place = F.xxhash64(vector_to_array(features_col), label)
+    train = (train.withColumn("_h", place).repartition(partitions, "_h").sortWithinPartitions("_h", label)
+             .drop("_h").persist(StorageLevel.MEMORY_AND_DISK))
     forest = rf.fit(train)
     leaf = forest.transform(train).select(
         F.col(label).alias("y"), F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))

@@ -1,11 +1,13 @@
-"""Point in polygon (J1) as a banded equi-join plus an even-odd crossing count.
+"""Point in polygon (J1): equi-join on coarse cells, parity decided in the row.
 
-Each polygon edge is copied into every latitude band it spans; a point only
-meets the edges of its own band. A horizontal ray from the point crosses an
-edge when the edge straddles the point's latitude and the crossing lies to the
-east of it; an odd number of crossings means inside. The band join keeps the
-candidate set small, and the crossing count is a plain aggregation (partial
-aggregation on the map side), so no point ever meets every edge.
+The bounding box of each polygon is covered by latitude / longitude cells; per
+cell the polygon keeps the edges that can matter there: those that cross the
+cell's latitudes and do not lie wholly west of it. Points join their cell, and
+the even-odd rule runs over the edge array of the joined row: a ray to the
+east crosses an edge when the edge straddles the point's latitude and the
+crossing lies east of it; an odd number of crossings means inside. The points
+are not shuffled for it (the cover is broadcast after a size check), and no
+(point, edge) row exists.
 """
 
 from __future__ import annotations
@@ -30,49 +32,53 @@ def ring_edges(rings: DataFrame, id_col: str = "poly_id", ring_col: str = "ring"
     return edges.filter((F.col("y1") != F.col("y2")) | (F.col("x1") != F.col("x2")))
 
 
-def vertex_edges(vertices: DataFrame, id_col: str = "poly_id", order_col: str = "i",
-                 lat_col: str = "lat", lon_col: str = "lon") -> DataFrame:
-    """Vertex rows (poly, i, lat, lon) -> edges, closing each ring."""
-    rings = (vertices.groupBy(id_col)
-             .agg(F.sort_array(F.collect_list(F.struct(order_col, lat_col, lon_col))).alias("_r"))
-             .select(id_col, F.transform("_r", lambda v: F.struct(v[lat_col].alias("lat"),
-                                                                  v[lon_col].alias("lon"))).alias("ring")))
-    return ring_edges(rings, id_col)
+def cell_size(edges: DataFrame, per_box: int = 16, lo: float = 1e-3, hi: float = 10.0) -> float:
+    """Side of the cover's cells: a sixteenth of the median box side, clipped."""
+    boxes = edges.groupBy("poly_id").agg(
+        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("dy"),
+        (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("dx"))
+    q = boxes.select(F.greatest("dy", "dx").alias("d")).filter("d > 0").approxQuantile("d", [0.5], 0.01)
+    return float(min(max(q[0] / per_box if q else hi, lo), hi))
 
 
-def band_height(edges: DataFrame, lo: float = 1e-4, hi: float = 1.0) -> float:
-    """Latitude band height fitted to the edges: the median latitude extent of
-    an edge (clipped), so an edge spans about one band and a point meets about
-    the edges its latitude line crosses."""
-    q = edges.select(F.abs(F.col("y2") - F.col("y1")).alias("dy")).filter("dy > 0").approxQuantile(
-        "dy", [0.5], 0.01)
-    return float(min(max(q[0] if q else hi, lo), hi))
+def cover(edges: DataFrame, side: float) -> DataFrame:
+    """(poly_id, _row, _col, _edges): the cells of each polygon's bounding box
+    and the edges that a ray to the east from inside the cell can cross."""
+    b = F.lit(side)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    boxes = edges.groupBy("poly_id").agg(F.floor(F.min(F.least("x1", "x2")) / b).alias("_c0"),
+                                         F.floor(F.max(F.greatest("x1", "x2")) / b).alias("_c1"))
+    # an edge takes part in the rows it crosses and, there, in every column up
+    # to its eastern end
+    rows = edges.select("poly_id", "y1", "x1", "y2", "x2",
+                        F.explode(F.sequence(F.floor(low / b), F.floor(high / b))).alias("_row"))
+    own = rows.join(boxes, "poly_id")
+    last = F.least(F.col("_c1"), F.floor(F.greatest("x1", "x2") / b))
+    return (own.select("poly_id", "_row", "y1", "x1", "y2", "x2",
+                       F.explode(F.sequence(F.col("_c0"), last)).alias("_col"))
+            .groupBy("poly_id", "_row", "_col")
+            .agg(F.collect_list(F.struct("y1", "x1", "y2", "x2")).alias("_edges")))
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, lat_col: str = "latitude",
                        lon_col: str = "longitude", id_col: str = "poly_id",
-                       band: float | None = None, keep_poly: bool = False) -> DataFrame:
-    """Inner spatial join: one output row per (point, containing polygon).
-
-    ``points`` rows must be unique (they are after a full-row distinct); a point
-    inside two polygons appears twice. ``band`` is the latitude band height in
-    degrees used to bucket edges (default: fitted to the edges).
-    """
-    b = F.lit(float(band if band is not None else band_height(edges)))
-    banded = edges.select(
-        F.col(id_col).alias("_poly"), "y1", "x1", "y2", "x2",
-        F.explode(F.sequence(F.floor(F.least("y1", "y2") / b), F.floor(F.greatest("y1", "y2") / b)))
-        .alias("_band"))
-    banded = broadcast_if_small(banded)
-    cols = points.columns
-    pts = points.withColumn("_band", F.floor(F.col(lat_col) / b))
+                       side: float | None = None, keep_poly: bool = False) -> DataFrame:
+    """Inner spatial join: one output row per (point, containing polygon); a
+    point inside two polygons appears twice. ``side`` is the cell side of the
+    cover in degrees (default: fitted to the polygons). Points without a
+    position are in no polygon."""
+    edges = edges.withColumnRenamed(id_col, "poly_id")
+    size = float(side if side is not None else cell_size(edges))
+    cells = broadcast_if_small(cover(edges, size).withColumnRenamed("poly_id", "_poly"))
     lat, lon = F.col(lat_col), F.col(lon_col)
-    straddles = (F.col("y1") > lat) != (F.col("y2") > lat)
-    x_cross = F.col("x1") + F.try_divide((lat - F.col("y1")) * (F.col("x2") - F.col("x1")),
-                                         F.col("y2") - F.col("y1"))
-    crossings = (pts.join(banded, "_band")
-                 .filter(straddles & (lon < x_cross))
-                 .groupBy(*cols, "_poly").agg(F.count(F.lit(1)).alias("_n"))
-                 .filter(F.col("_n") % 2 == 1))
-    out = crossings.withColumnRenamed("_poly", id_col) if keep_poly else crossings.drop("_poly")
-    return out.drop("_n")
+    pts = (points.withColumn("_row", F.floor(lat / F.lit(size))).withColumn("_col", F.floor(lon / F.lit(size))))
+
+    def crossed(n, e):
+        straddles = (e["y1"] > lat) != (e["y2"] > lat)
+        at = e["x1"] + F.try_divide((lat - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
+        return n + F.when(straddles & (lon < at), 1).otherwise(0)
+
+    inside = F.aggregate("_edges", F.lit(0), crossed) % 2 == 1
+    hit = pts.join(cells, ["_row", "_col"]).filter(inside)
+    out = hit.select(*points.columns, *([F.col("_poly").alias(id_col)] if keep_poly else []))
+    return out

@@ -30,8 +30,10 @@ def filter_dates(df: DataFrame, start, end, col: str = "acq_date") -> DataFrame:
 
 def prepare_fires(fires: DataFrame, start, end, edges: DataFrame | None = None,
                   resolution: str = "50km") -> DataFrame:
-    """Distinct detections in [start, end], inside the borders, snapped to cells."""
-    pts = filter_dates(fires.distinct(), start, end)
+    """Distinct detections (by position and day) in [start, end], inside the
+    borders, snapped to cells. Any id of the source is left out first: two rows
+    of one place and day are one detection."""
+    pts = filter_dates(fires, start, end).select("latitude", "longitude", "acq_date").distinct()
     pts = pts.withColumn("day_of_year", F.dayofyear("acq_date"))
     if edges is not None:
         pts = points_in_polygons(pts, edges)

@@ -76,10 +76,25 @@ FROM cells c CROSS JOIN cal LEFT JOIN counts n ON n.grid_cell=c.grid_cell AND n.
     (SELECT quantile_cont(pop_density, 0.95) FROM merged) ELSE pop_density END AS pop_density,
   c0, c1, c2, c3, c4
 FROM merged""",
+    # the feature pipeline counts one detection per place and day
+    "one_fires": "SELECT DISTINCT latitude, longitude, acq_date FROM fires",
+    "one_snapped": """SELECT acq_date, latitude AS latitude_original, longitude AS longitude_original,
+  round_even(latitude*2,0)/2 + 0.0 AS latitude, round_even(longitude*2,0)/2 + 0.0 AS longitude,
+  CAST(round_even(latitude*2,0)/2 + 0.0 AS VARCHAR) || '_' || CAST(round_even(longitude*2,0)/2 + 0.0 AS VARCHAR) AS grid_cell
+FROM one_fires""",
+    "one_series": """SELECT c.grid_cell, cal.d AS acq_date, c.latitude, c.longitude, c.latitude_original,
+  c.longitude_original, CAST(dayofyear(cal.d) AS INTEGER) AS day_of_year,
+  CAST(COALESCE(n.fire_count,0) AS BIGINT) AS fire_count
+FROM (SELECT grid_cell, any_value(latitude) AS latitude, any_value(longitude) AS longitude,
+    arg_min(latitude_original, (acq_date, latitude_original, longitude_original)) AS latitude_original,
+    arg_min(longitude_original, (acq_date, latitude_original, longitude_original)) AS longitude_original
+  FROM one_snapped GROUP BY grid_cell) c CROSS JOIN cal
+LEFT JOIN (SELECT grid_cell, acq_date, COUNT(*) AS fire_count FROM one_snapped GROUP BY grid_cell, acq_date) n
+  ON n.grid_cell=c.grid_cell AND n.acq_date=cal.d""",
     "features": """SELECT s.grid_cell, s.acq_date, s.latitude, s.longitude, s.latitude_original,
   s.longitude_original, s.day_of_year, s.fire_count, st.oblast_id, st.pop_density,
   st.c0, st.c1, st.c2, st.c3, st.c4, w.t_mean, w.cloud_cover
-FROM series s LEFT JOIN static st ON s.latitude=st.latitude AND s.longitude=st.longitude
+FROM one_series s LEFT JOIN static st ON s.latitude=st.latitude AND s.longitude=st.longitude
 LEFT JOIN weather w ON w.oblast_id=st.oblast_id AND w.acq_date=s.acq_date""",
 }
 
@@ -92,7 +107,10 @@ DEPENDS = {
     "series": ["cells", "cal", "counts"],
     "merged": ["grid", "land_use"],
     "static": ["merged"],
-    "features": ["series", "static", "weather"],
+    "one_fires": ["fires"],
+    "one_snapped": ["one_fires"],
+    "one_series": ["one_snapped", "cal"],
+    "features": ["one_series", "static", "weather"],
 }
 
 

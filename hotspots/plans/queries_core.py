@@ -64,11 +64,8 @@ def q_ts1(spark, sf):
 SELECT event_id, grid_cell, acq_date, COUNT(*) OVER (PARTITION BY grid_cell, acq_date) AS fire_count_cell
 FROM snapped"""))
 def q_w1(spark, sf):
-    from pyspark.sql import Window
-    s = D.snap_points(X.fires(Tables(spark, sf)))
-    w = Window.partitionBy("grid_cell", "acq_date")
-    return s.select("event_id", "grid_cell", "acq_date",
-                    F.count(F.lit(1)).over(w).cast("bigint").alias("fire_count_cell"))
+    s = D.snap_points(X.fires(Tables(spark, sf))).select("event_id", "grid_cell", "acq_date")
+    return D.with_cell_day_count(s)
 
 
 @register("w2_cell_constants", W(["cells"], "SELECT * FROM cells"))
@@ -161,11 +158,11 @@ def q_features(spark, sf):
 
 M15_SQL = W(["fires", "edges", "cal", "static", "weather"], """
 , inside AS (
-  SELECT p.event_id, p.latitude, p.longitude, p.acq_date
-  FROM (SELECT DISTINCT * FROM fires WHERE acq_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30') p
+  SELECT p.latitude, p.longitude, p.acq_date
+  FROM (SELECT DISTINCT latitude, longitude, acq_date FROM fires WHERE acq_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30') p
   JOIN edges e ON (e.y1 > p.latitude) <> (e.y2 > p.latitude)
    AND p.longitude < e.x1 + (p.latitude - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
-  GROUP BY p.event_id, p.latitude, p.longitude, p.acq_date, e.poly_id HAVING COUNT(*) % 2 = 1),
+  GROUP BY p.latitude, p.longitude, p.acq_date, e.poly_id HAVING COUNT(*) % 2 = 1),
 snapped AS (SELECT acq_date, latitude AS latitude_original, longitude AS longitude_original,
   round_even(latitude*2,0)/2 + 0.0 AS latitude, round_even(longitude*2,0)/2 + 0.0 AS longitude,
   CAST(round_even(latitude*2,0)/2 + 0.0 AS VARCHAR) || '_' || CAST(round_even(longitude*2,0)/2 + 0.0 AS VARCHAR) AS grid_cell

@@ -115,7 +115,8 @@ def q_m2(spark, sf):
 def q_m3(spark, sf):
     tr = _period(_features(spark, sf), TR)
     sc = fit_scaler(tr, FEATURES)
-    z = sc.transform(tr).na.drop(subset=FEATURES)
+    scaled = sc.transform(tr).select(*KEY, *FEATURES)
+    z = fit_knn_imputer(scaled, FEATURES, KEY).transform(scaled, KEY)
     p = fit_pca(z, FEATURES)
     return p.transform(z).select(*KEY, *p.out_cols())
 
@@ -242,7 +243,7 @@ def q_m10(spark, sf):
 
 @register("m11_m12_explanations")
 def q_m11(spark, sf):
-    pipe, f = _pipeline(spark, sf, num_trees=20)
+    pipe, f = _pipeline(spark, sf)
     tr = _period(f, TR)
     ex = fit_explainer(tr, FEATURES)
     # every abnormal cell-day of the test period gets its explanation
@@ -268,13 +269,13 @@ def _scored_points(spark, sf):
 @register("m13_kmeans_day_clusters")
 def q_m13(spark, sf):
     pts = _scored_points(spark, sf)
-    return kmeans_groups(pts, ["acq_date", "abnormal_label_decay"], k=5, max_iter=10)
+    return kmeans_groups(pts, ["acq_date", "abnormal_label_decay"], k=5)
 
 
 @register("a10_kmeans_cluster_summary")
 def q_a10k(spark, sf):
     pts = _scored_points(spark, sf)
-    cl = kmeans_groups(pts, ["acq_date", "abnormal_label_decay"], k=5, max_iter=10)
+    cl = kmeans_groups(pts, ["acq_date", "abnormal_label_decay"], k=5)
     cl = cl.withColumnRenamed("lat", "latitude").withColumnRenamed("lon", "longitude")
     return cluster_summary(cl)
 

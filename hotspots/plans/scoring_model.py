@@ -18,7 +18,7 @@ from hotspots.config import FEATURES, QUANTILE
 from hotspots.operators.decay import decay_scores
 from hotspots.operators.imputer import KNNImputerModel, fit_knn_imputer
 from hotspots.operators.pca import PCAModelLite, fit_pca
-from hotspots.operators.qforest import QuantileForestModel, fit_quantile_forest
+from hotspots.operators.qforest import MAX_DEPTH, QuantileForestModel, fit_quantile_forest
 from hotspots.operators.scaler import ScalerModel, fit_scaler
 from hotspots.operators.threshold import ThresholdModel, fit_threshold
 
@@ -31,7 +31,7 @@ class FirePredictionPipeline:
     label: str = "fire_count"
     quantile: float = QUANTILE
     num_trees: int = 100
-    max_depth: int = 10
+    max_depth: int = MAX_DEPTH
     scaler: ScalerModel | None = None
     imputer: KNNImputerModel | None = None
     pca: PCAModelLite | None = None

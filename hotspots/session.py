@@ -1,18 +1,20 @@
 """Session helpers.
 
 The cluster names a shared folder in ``spark.checkpoint.dir``; every lineage cut
-and every scratch table lives below it. Only when nothing is configured (unit
-tests, local runs) do we pick a folder of our own.
+and every scratch table lives below it. Only on a local master (unit tests,
+local runs) with nothing configured do we pick a folder of our own; on a
+cluster a missing setting is an error.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from hotspots.sources.paths import make_folder
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -59,7 +61,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder; on a local master a temporary one is
+    set where none is configured."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -67,6 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="hotspots-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -76,8 +81,5 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("file:"):
-        os.makedirs(path[len("file:"):], exist_ok=True)
-    elif path.startswith("/"):
-        os.makedirs(path, exist_ok=True)
+    make_folder(spark, path)
     return path

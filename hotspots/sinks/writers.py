@@ -3,10 +3,11 @@ plain table writers for neighbours and explanations (SK2, SK3)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotspots.sources.landing import read_kind
+from hotspots.sources.paths import exists
 
 
 def write_scored_fires(scored: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -31,34 +32,45 @@ def write_nn_results(nearest_fire: DataFrame, nearest_nofire: DataFrame, origina
         df.write.mode("overwrite").format(fmt).save(f"{prefix.rstrip('/')}/{name}")
 
 
-def keep_last(old: DataFrame, new: DataFrame, keys: list[str] | None) -> DataFrame:
+def keep_last(old: DataFrame, new: DataFrame, keys: list[str] | None,
+              order: list[str] | None = None) -> DataFrame:
     """Old rows (distinct) then new rows, only the columns both share (old
     order). With ``keys`` the newest row per key wins; without keys the batches
-    are appended. The result is distinct (SK4 merge)."""
+    are appended. The result is distinct (SK4 merge).
+
+    Of several new rows of a key the last one wins: by the columns ``order`` of
+    ``new``, or else by file name and position as the batch was read."""
     shared = [c for c in old.columns if c in set(new.columns)]
-    o = old.distinct().select(*shared).withColumn("_batch", F.lit(0))
-    n = new.select(*shared).withColumn("_batch", F.lit(1))
-    u = o.unionByName(n)
+    place = F.struct(*(order or [F.input_file_name(), F.monotonically_increasing_id()]))
+    o = old.distinct().select(*shared, F.lit(0).alias("_batch"))
+    n = new.select(*shared, F.lit(1).alias("_batch"), place.alias("_place"))
+    u = o.unionByName(n, allowMissingColumns=True)
     if keys and all(k in shared for k in keys):
-        # at most one old and a few new rows per key: the window partitions are tiny
-        w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-        u = u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return u.drop("_batch").distinct()
+        # partially aggregated: one row per key leaves each map task, however many came
+        row = F.struct(*shared)
+        u = (u.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
+             .agg(F.max_by(row, F.struct("_batch", "_place")).alias("_row")).select("_row.*"))
+    else:
+        u = u.drop("_batch", "_place")
+    return u.distinct()
 
 
-def upsert_yearly(new: DataFrame, root: str, kind: str, keys: list[str] | None) -> DataFrame:
+def upsert_yearly(new: DataFrame, root: str, kind: str, keys: list[str] | None,
+                  order: list[str] | None = None) -> DataFrame:
     """Merge ``new`` into ``<root>/<kind>/year=YYYY`` and rewrite only the years
     it touches (dynamic partition overwrite). The merged rows are checkpointed
     to the shared checkpoint folder first, so the rewrite never reads the files
-    it replaces and a lost executor recomputes from the checkpoint."""
+    it replaces and a lost executor recomputes from the checkpoint. Only a table
+    that is not there counts as a first load: any read error is raised before
+    anything is written."""
     spark = new.sparkSession
     new = new.withColumn("acq_date", F.col("acq_date").cast("date"))
     years = [r[0] for r in new.select(F.year("acq_date")).distinct().collect()]  # a few years
-    try:
+    if exists(spark, f"{root.rstrip('/')}/{kind}"):
         old = read_kind(spark, root, kind).filter(F.col("year").isin(years)).drop("year")
-    except Exception:  # noqa: BLE001 - first load: no table yet
-        old = None
-    merged = new.distinct() if old is None else keep_last(old, new, keys)
+        merged = keep_last(old, new, keys, order)
+    else:
+        merged = new.distinct()
     merged = merged.withColumn("year", F.year("acq_date")).checkpoint(eager=True)
     (merged.sortWithinPartitions("acq_date").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("year")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from hotspots.functions.calendar import as_date, date_lit
 from hotspots.functions.scoring import nan_to_null
+from hotspots.sources.paths import glob
 
 FIRE_SCHEMA = T.StructType([
     T.StructField("latitude", T.DoubleType()),
@@ -59,11 +60,15 @@ def scan_years(spark: SparkSession, root: str, kind: str, start, end) -> DataFra
 
 def scan_dynamic(spark: SparkSession, root: str, start, end) -> tuple[DataFrame, DataFrame]:
     """Fires and weather of [start, end]: year pruning, full-row distinct, then
-    the inclusive date filter (SC1)."""
+    the inclusive date filter (SC1). A window without any fire, or without any
+    weather, is an error."""
     out = []
     for kind in ("fire", "weather"):
         d = scan_years(spark, root, kind, start, end)
-        out.append(d.filter(F.col("acq_date").between(date_lit(start), date_lit(end))))
+        d = d.filter(F.col("acq_date").between(date_lit(start), date_lit(end)))
+        if d.isEmpty():
+            raise ValueError(f"no {kind} rows between {start} and {end}")
+        out.append(d)
     return out[0], out[1]
 
 
@@ -103,20 +108,27 @@ def land_layer(df: DataFrame, folder: str, name: str, resolution: str) -> None:
         f"{folder.rstrip('/')}/{name}_{resolution}.csv")
 
 
+#: Text columns of static layers; every other column is a number.
+STATIC_TEXT = ("oblast_id", "city", "name")
+
+
 def scan_static(spark: SparkSession, folders: list[str], resolution: str = "50km") -> list[DataFrame]:
     """The layer named ``*_<resolution>.csv`` of every folder, lower-case headers.
 
-    Each folder holds one layer per resolution (its own schema), read with a
-    path glob; folders without a layer at this resolution are skipped.
+    Each folder holds one layer per resolution, with its own columns. The files
+    are listed first: a folder without a layer at this resolution is skipped,
+    any other storage error is raised. Columns are read as text and cast by
+    name (no pass to infer types).
     """
     layers = []
     for folder in folders:
-        try:
-            df = nan_to_null(spark.read.option("header", True).option("inferSchema", True)
-                             .csv(f"{folder.rstrip('/')}/*_{resolution}.csv"))
-        except Exception:  # noqa: BLE001 - no layer at this resolution
+        paths = glob(spark, f"{folder.rstrip('/')}/*_{resolution}.csv")
+        if not paths:
             continue
-        layers.append(df.toDF(*[c.lower() for c in df.columns]))
+        df = spark.read.option("header", True).csv(paths)
+        layers.append(nan_to_null(df.select(*[
+            (F.col(f"`{c}`") if c.lower() in STATIC_TEXT else F.col(f"`{c}`").cast("double")).alias(c.lower())
+            for c in df.columns])))
     if not layers:
         raise FileNotFoundError(f"no static layers for resolution {resolution}")
     return layers

@@ -1,4 +1,4 @@
-from hotspots.operators.joins import _row_bytes, broadcast_if_small
+from hotspots.operators.joins import broadcast_if_small, measured_bytes
 from hotspots.session import sizing
 
 
@@ -16,5 +16,14 @@ def test_broadcast_guard_bounds_rows_and_bytes(spark):
     assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
     too_many_rows = broadcast_if_small(df, max_rows=10)
     assert "broadcast" not in too_many_rows._jdf.queryExecution().logical().toString().lower()
-    too_many_bytes = broadcast_if_small(df, max_rows=5000, max_bytes=_row_bytes(df) * 100)
+    too_many_bytes = broadcast_if_small(df, max_rows=5000, max_bytes=4000)
     assert "broadcast" not in too_many_bytes._jdf.queryExecution().logical().toString().lower()
+
+
+def test_nested_values_are_measured(spark):
+    df = spark.range(1).selectExpr(
+        "sequence(1, 500) AS a", "array(named_struct('x', 1D, 'y', 2D)) AS s", "map('k', 'v') AS m",
+        "named_struct('t', repeat('z', 300)) AS t", "CAST(NULL AS ARRAY<STRING>) AS none")
+    n = df.select(measured_bytes(df)).first()[0]
+    assert 500 * 8 + 300 < n < 500 * 8 + 300 + 400
+    assert "broadcast" not in broadcast_if_small(df, max_bytes=4000)._jdf.queryExecution().logical().toString().lower()
