@@ -26,9 +26,8 @@ def _period(df, p):
 
 def run(spark, sf_dir: str, out: str, trees: int = 100) -> dict:
     from hotspots.operators import densify as D
-    from hotspots.operators.explain import fit_explainer
+    from hotspots.operators.explain import wide
     from hotspots.plans.queries_core import features_no_border
-    from hotspots.plans.queries_model import nearest_training_days
     from hotspots.plans.scoring import scored_fires
     from hotspots.plans.scoring_model import KEY, FirePredictionPipeline
     from hotspots.sinks.model_store import save_pipeline
@@ -43,14 +42,13 @@ def run(spark, sf_dir: str, out: str, trees: int = 100) -> dict:
     snapped = D.snap_points(X.fires(Tables(spark, sf_dir)))
     test_fires = _period(snapped, P.test)
     write_scored_fires(scored_fires(test_fires, scored), f"{out}/scored_fires")
-    nn = nearest_training_days(spark, sf_dir)
+    nn = pipe.nearest(_period(f, P.test)).cache()
     write_nn_results(nn.filter("class = 1"), nn.filter("class = 0"), _period(f, P.test), f"{out}/nearest_days")
     flagged = scored.filter(F.col("abnormal_label") == 1).select(*KEY)
     rows = (_period(f, P.test).join(flagged, KEY)
             .withColumn("row_id", F.concat_ws("|", "grid_cell", F.col("acq_date").cast("string"))))
-    ex = fit_explainer(_period(f, P.train), FEATURES)
-    write_table(ex.explain(rows.select("row_id", *FEATURES), "row_id", pipe.predict_fn()),
-                f"{out}/explanations")
+    explained = pipe.explain(rows, "row_id")
+    write_table(wide(explained, "row_id", len(FEATURES)), f"{out}/explanations")
     save_pipeline(pipe, f"{out}/model")
     return {"out": out, "threshold": pipe.threshold.threshold, "pca_components": pipe.pca.k,
             "test_cell_days": scored.count(), "flagged": flagged.count()}

@@ -1,6 +1,7 @@
 """Local surrogate explanations with quartile bins.
 
-Fit (M10): per feature the exact quartiles of the training rows, the bin of
+Fit (M10): per feature the exact quartiles of the training rows (distributed
+ranks), the bin of
 every training value (bin = number of quartiles strictly below the value) and
 per (feature, bin) the frequency, mean, std, min and max.
 
@@ -22,14 +23,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspots.config import RANDOM_STATE
+from hotspots.operators.quantiles import exact_percentiles
 
 
 def bin_of(x, q1, q2, q3):
@@ -52,11 +54,10 @@ def stack_features(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def quartile_table(train: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, q1, q2, q3) with exact linear percentiles, one aggregation."""
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return (stack_features(train, cols).groupBy("feature").agg(F.percentile("x", q).alias("q"))
-            .select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"),
-                    F.col("q")[2].alias("q3")))
+    """(feature, q1, q2, q3) with exact linear percentiles: one row per feature."""
+    found = exact_percentiles(stack_features(train, cols), [0.25, 0.5, 0.75])
+    return train.sparkSession.createDataFrame(
+        [(c, *found[c]) for c in cols if c in found], "feature string, q1 double, q2 double, q3 double")
 
 
 def bin_stats(train: DataFrame, cols: list[str], quart: dict) -> DataFrame:
@@ -72,47 +73,89 @@ def bin_stats(train: DataFrame, cols: list[str], quart: dict) -> DataFrame:
     return g.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy("feature")))
 
 
+def _normal_share(z: float) -> float:
+    """Distribution function of the standard normal."""
+    return 0.5 * (1 + math.erf(z / math.sqrt(2)))
+
+
+# Coefficients of Acklam's published rational approximation of
+# the standard normal quantile (relative error below 1.2e-9).
+_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+      1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+      6.680131188771972e+01, -1.328068155288572e+01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+      -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00, 1.0)
+_TAIL = 0.02425
+
+
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile of a column between 0 and 1, exclusive."""
+    def poly(coefficients, x):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    q = p - 0.5
+    middle = poly(_A, q * q) * q / poly(_B, q * q)
+    low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
+    return (F.when(p < _TAIL, poly(_C, low) / poly(_D, low))
+            .when(p > 1 - _TAIL, -poly(_C, high) / poly(_D, high)).otherwise(middle))
+
+
 @dataclass
 class Explainer:
     cols: list[str]
     quart: dict          # feature -> [q1, q2, q3]
-    bins: dict           # feature -> list of 4 dicts (freq, mean, std, min, max)
+    bins: dict           # feature -> list of 4 dicts (freq, mean, std, min, max, low, high)
+    means: dict = field(default_factory=dict)  # feature -> training mean
 
     def rules(self, c: str) -> list[str]:
         return rule_texts(c, self.quart[c])
 
     def perturb(self, rows: DataFrame, key: str, num_samples: int, seed: int) -> DataFrame:
-        """Copies (key, sample, features..., z_<f> same-bin flags)."""
+        """Copies (key, sample, features..., z_<f> same-bin flags). The steps are
+        columns of successive projections, so no expression is written out twice."""
         s = rows.select(key, *self.cols, F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("sample"))
-        out = [F.col(key), F.col("sample")]
-        flags = []
+
+        def uniform(c, stream):
+            return (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("sample"), F.lit(c), F.lit(stream)),
+                           F.lit(1_000_000)) + 0.5) / 1e6
+
+        def pick(c, what):
+            return F.element_at(F.array(*[F.lit(float(b[what])) for b in self.bins[c]]), F.col(f"_bin_{c}") + 1)
+
+        drawn = []
         for c in self.cols:
-            q1, q2, q3 = self.quart[c]
-            own = bin_of(F.col(c), q1, q2, q3)
-            st = self.bins[c]
-            u = (F.abs(F.xxhash64(F.lit(seed), F.col(key), F.col("sample"), F.lit(c), F.lit(1))) % 1_000_000) / 1e6
-            cum = np.cumsum([b["freq"] for b in st])
-            drawn = F.when(u < F.lit(float(cum[0])), 0).when(u < F.lit(float(cum[1])), 1).when(
-                u < F.lit(float(cum[2])), 2).otherwise(3)
-            u1 = (F.abs(F.xxhash64(F.lit(seed), F.col(key), F.col("sample"), F.lit(c), F.lit(2))) % 1_000_000 + 1) / 1_000_001
-            u2 = (F.abs(F.xxhash64(F.lit(seed), F.col(key), F.col("sample"), F.lit(c), F.lit(3))) % 1_000_000) / 1e6
-            normal = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-
-            def pick(field):
-                e = F.lit(float(st[3][field]))
-                for b in (2, 1, 0):
-                    e = F.when(drawn == b, F.lit(float(st[b][field]))).otherwise(e)
-                return e
-            val = F.least(F.greatest(pick("mean") + pick("std") * normal, pick("min")), pick("max"))
-            out.append(F.when(F.col("sample") == 0, F.col(c)).otherwise(val).alias(c))
-            flags.append(F.when(F.col("sample") == 0, F.lit(1.0)).otherwise(
-                (drawn == own).cast("double")).alias(f"z_{c}"))
-        return s.select(*out, *flags)
+            cum = np.cumsum([b["freq"] for b in self.bins[c]])
+            u = uniform(c, 1)
+            drawn.append(F.when(u < F.lit(float(cum[0])), 0).when(u < F.lit(float(cum[1])), 1)
+                         .when(u < F.lit(float(cum[2])), 2).otherwise(3).alias(f"_bin_{c}"))
+        s = s.select("*", *drawn)
+        # a normal value truncated to the bin: the inverse of its distribution
+        # function between the bin's ends
+        s = s.select("*", *[F.least(F.greatest(
+            pick(c, "low") + uniform(c, 2) * (pick(c, "high") - pick(c, "low")), F.lit(1e-12)),
+            F.lit(1 - 1e-12)).alias(f"_p_{c}") for c in self.cols])
+        s = s.select("*", *[normal_quantile(F.col(f"_p_{c}")).alias(f"_n_{c}") for c in self.cols])
+        itself = F.col("sample") == 0
+        out, flags = [], []
+        for c in self.cols:
+            val = F.least(F.greatest(pick(c, "mean") + pick(c, "std") * F.col(f"_n_{c}"), pick(c, "min")), pick(c, "max"))
+            out.append(F.when(itself, F.col(c)).otherwise(val).alias(c))
+            own = bin_of(F.col(c), *self.quart[c])
+            flags.append(F.when(itself, F.lit(1.0)).otherwise((F.col(f"_bin_{c}") == own).cast("double")).alias(f"z_{c}"))
+        return s.select(key, "sample", *out, *flags)
 
     def explain(self, rows: DataFrame, key: str, predict: Callable[[DataFrame, str], DataFrame],
                 num_features: int | None = None, num_samples: int = 5000,
                 seed: int = RANDOM_STATE) -> DataFrame:
-        """One row per explained row: (key, explanation array<struct<rule,weight>>)."""
+        """One row per explained row: (key, explanation array<struct<rule,weight>>).
+        A missing value is explained as the training mean of its feature, in the
+        same-bin flags as in the rule texts."""
+        rows = rows.select(key, *[F.coalesce(F.col(c), F.lit(self.means.get(c, 0.0))).alias(c) for c in self.cols])
         d = len(self.cols)
         k = num_features or d
         samples = self.perturb(rows, key, num_samples, seed).withColumn(
@@ -157,9 +200,18 @@ def fit_explainer(train: DataFrame, cols: list[str]) -> Explainer:
     qt = {r["feature"]: [float(r["q1"]), float(r["q2"]), float(r["q3"])]
           for r in quartile_table(train, cols).collect()}
     bs = bin_stats(train, cols, qt).collect()
-    bins = {c: [dict(freq=0.0, mean=0.0, std=0.0, min=0.0, max=0.0) for _ in range(4)] for c in cols}
+    bins = {c: [dict(freq=0.0, mean=0.0, std=0.0, min=0.0, max=0.0, low=0.0, high=1.0) for _ in range(4)]
+            for c in cols}
+    means = {}
     for r in bs:
-        bins[r["feature"]][r["bin"]] = dict(freq=float(r["freq"]), mean=float(r["mean"]),
-                                            std=float(r["std"] or 0.0), min=float(r["min"]),
-                                            max=float(r["max"]))
-    return Explainer(list(cols), qt, bins)
+        mean, std = float(r["mean"]), float(r["std"] or 0.0)
+        ends = [_normal_share((float(r[e]) - mean) / std) if std else s for e, s in (("min", 0.0), ("max", 1.0))]
+        bins[r["feature"]][r["bin"]] = dict(freq=float(r["freq"]), mean=mean, std=std, min=float(r["min"]),
+                                            max=float(r["max"]), low=ends[0], high=ends[1])
+        means[r["feature"]] = means.get(r["feature"], 0.0) + float(r["freq"]) * mean
+    return Explainer(list(cols), qt, bins, means)
+
+
+def wide(explained: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, explanation_0 .. explanation_<n-1>): one (rule, weight) column per place (SK3)."""
+    return explained.select(key, *[F.get("explanation", F.lit(i)).alias(f"explanation_{i}") for i in range(n)])

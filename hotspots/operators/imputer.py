@@ -5,15 +5,15 @@ have f and are nearest under the NaN-aware Euclidean distance
 sqrt(d / c * sum of squared differences over the c coordinates present in
 both rows); a row with no usable donor gets the training mean of f.
 
-Work split: rows that need imputation come in bounded blocks (broadcast);
-every task scans its slice of the training rows with numpy and keeps, per
-(row, feature), only its k best donors; a final ranking per (row, feature)
-keeps the overall k best. No (row, donor) pair becomes a Spark row.
+Work split: rows with equal features (missing ones included) are imputed once.
+Blocks of such receivers meet blocks of donors in cogrouped tasks that keep,
+per (receiver, feature), the k best donors; a final ranking keeps the overall
+k best. Both sides stay distributed, and no (row, donor) pair becomes a Spark
+row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspots.config import LIMITS, N_NEIGHBORS
-from hotspots.operators.neighbors import _blocks
+from hotspots.config import N_NEIGHBORS
+from hotspots.operators.neighbors import in_block_pairs
 
 
 def _key(cols: list[str]):
@@ -54,67 +54,42 @@ class KNNImputerModel:
     k: int = N_NEIGHBORS
     round_to: int = 9
 
-    def imputed_values(self, df: DataFrame, key: list[str]) -> DataFrame:
-        """(_rkey, feature, value) for every missing feature of every row."""
-        spark = df.sparkSession
+    def imputed_values(self, receivers: DataFrame) -> DataFrame:
+        """(_rid, feature, value) for every missing feature of every receiver
+        (_rid and the feature columns, one row per distinct combination)."""
         cols, k, rnd = self.cols, self.k, self.round_to
-        missing = F.lit(False)
-        for c in cols:
-            missing = missing | F.col(c).isNull()
-        recv = df.filter(missing).select(_key(key).alias("_rkey"), *cols).distinct()
-        parts = []
-        for pdf in _blocks(recv, LIMITS.query_block_rows):
-            if pdf.empty:
-                continue
-            rkeys = pdf["_rkey"].to_numpy()
-            R = pdf[cols].to_numpy(dtype=np.float64)
-            b = spark.sparkContext.broadcast((rkeys, R))
-
-            def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                rk, RR = b.value
-                need = np.isnan(RR)
-                best: dict = {}  # feature -> (receiver rows, dist, donor key, value), each R_f x <=k
-                for batch in it:
-                    if batch.empty:
-                        continue
-                    D = batch[cols].to_numpy(dtype=np.float64)
-                    dk = batch["_dkey"].to_numpy().astype(str)
-                    dist = _nan_dist(RR, D, rnd)
-                    for fi in range(len(cols)):
-                        rows_f = np.nonzero(need[:, fi])[0]
-                        if not len(rows_f):
+        names = ["_rid", "feature", "distance", "_dkey", "value"]
+
+        def best(r: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+            parts = []
+            if len(r) and len(d):
+                ids, R = r["_rid"].to_numpy(np.int64), r[cols].to_numpy(np.float64)
+                # donors in key order: a stable sort by distance breaks ties by key
+                d = d.sort_values("_dkey", kind="stable")
+                D, keys = d[cols].to_numpy(np.float64), d["_dkey"].to_numpy()
+                step = max(1, int(4_000_000 // max(1, len(D))))
+                for s in range(0, len(R), step):
+                    dist = _nan_dist(R[s:s + step], D, rnd)
+                    for f, name in enumerate(cols):
+                        rows = np.flatnonzero(np.isnan(R[s:s + step, f]))
+                        has = np.flatnonzero(~np.isnan(D[:, f]))
+                        if not len(rows) or not len(has):
                             continue
-                        has_f = ~np.isnan(D[:, fi])
-                        dd = np.where(has_f[None, :], dist[rows_f], np.nan)
-                        dd = np.where(np.isnan(dd), np.inf, dd)
-                        kk = np.broadcast_to(dk, dd.shape)
-                        vv = np.broadcast_to(D[:, fi], dd.shape)
-                        if fi in best:
-                            _, pd_, pk, pv = best[fi]
-                            dd = np.concatenate([pd_, dd], axis=1)
-                            kk = np.concatenate([pk, kk], axis=1)
-                            vv = np.concatenate([pv, vv], axis=1)
-                        # row-wise order by (distance, donor key); keep k per row
-                        order = np.lexsort((kk, dd), axis=-1)[:, :k]
-                        best[fi] = (rows_f, np.take_along_axis(dd, order, 1),
-                                    np.take_along_axis(kk, order, 1), np.take_along_axis(vv, order, 1))
-                out = []
-                for fi, (rows_f, dd, kk, vv) in best.items():
-                    for r, i in enumerate(rows_f):
-                        out += [(rk[i], cols[fi], float(d), str(key), float(v))
-                                for d, key, v in zip(dd[r], kk[r], vv[r]) if np.isfinite(d)]
-                yield pd.DataFrame(out, columns=["_rkey", "feature", "distance", "_dkey", "value"])
-
-            parts.append(self.donors.mapInPandas(
-                part, "_rkey string, feature string, distance double, _dkey string, value double"))
-        if not parts:
-            return spark.createDataFrame([], "_rkey string, feature string, value double")
-        allp = parts[0]
-        for p in parts[1:]:
-            allp = allp.unionByName(p)
-        w = Window.partitionBy("_rkey", "feature").orderBy("distance", "_dkey")
-        return (allp.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-                .groupBy("_rkey", "feature").agg(F.avg("value").alias("value")))
+                        own = dist[np.ix_(rows, has)]
+                        own = np.where(np.isnan(own), np.inf, own)
+                        order = np.argsort(own, axis=1, kind="stable")[:, :k]
+                        top = np.take_along_axis(own, order, 1)
+                        i, j = np.nonzero(np.isfinite(top))
+                        at = has[order[i, j]]
+                        parts.append(pd.DataFrame({"_rid": ids[s + rows[i]], "feature": name, "distance": top[i, j],
+                                                   "_dkey": keys[at], "value": D[at, f]}))
+            return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
+
+        found = in_block_pairs(receivers, self.donors, "_rid", "_dkey", best,
+                               "_rid long, feature string, distance double, _dkey string, value double")
+        w = Window.partitionBy("_rid", "feature").orderBy("distance", "_dkey")
+        return (found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+                .groupBy("_rid", "feature").agg(F.avg("value").alias("value")))
 
     def transform(self, df: DataFrame, key: list[str]) -> DataFrame:
         missing = F.lit(False)
@@ -122,18 +97,25 @@ class KNNImputerModel:
             missing = missing | F.col(c).isNull()
         if df.filter(missing).isEmpty():
             return df  # nothing to impute: no neighbour search at all
-        vals = self.imputed_values(df, key)
-        wide = vals.groupBy("_rkey").pivot("feature", self.cols).agg(F.first("value"))
-        wide = wide.select("_rkey", *[F.col(c).alias(f"_imp_{c}") for c in self.cols])
-        j = df.withColumn("_rkey", _key(key)).join(wide, "_rkey", "left")
+        # structs compare NULL fields as equal, so they can be joined and grouped
+        combination = F.struct(*self.cols).alias("_features")
+        distinct = df.filter(missing).select(combination).distinct()
+        receivers = (distinct.withColumn("_rid", F.monotonically_increasing_id())
+                     .select("_rid", "_features", "_features.*").checkpoint(eager=True))
+        vals = self.imputed_values(receivers.drop("_features"))
+        wide = vals.groupBy("_rid").pivot("feature", self.cols).agg(F.first("value"))
+        wide = (receivers.select("_rid", "_features").join(wide, "_rid")
+                .select("_features", *[F.col(c).alias(f"_imp_{c}") for c in self.cols]))
+        j = df.withColumn("_features", combination).join(wide, "_features", "left")
         for c in self.cols:
             j = j.withColumn(c, F.coalesce(F.col(c), F.col(f"_imp_{c}"), F.lit(self.means[c])))
-        return j.drop("_rkey", *[f"_imp_{c}" for c in self.cols])
+        return j.drop("_features", *[f"_imp_{c}" for c in self.cols])
 
 
 def fit_knn_imputer(train: DataFrame, cols: list[str], key: list[str],
                     k: int = N_NEIGHBORS) -> KNNImputerModel:
     means_row = train.agg(*[F.avg(c).alias(c) for c in cols]).first()
     means = {c: float(means_row[c]) if means_row[c] is not None else 0.0 for c in cols}
-    donors = train.select(_key(key).alias("_dkey"), *cols)
+    # donors are read by every transform: written once, like the leaf table
+    donors = train.select(_key(key).alias("_dkey"), *cols).checkpoint(eager=True)
     return KNNImputerModel(list(cols), donors, means, k)

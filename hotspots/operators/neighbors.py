@@ -1,47 +1,47 @@
 """Exact nearest neighbours without pairing rows in a join (M9, J11, M2 helper).
 
-The query rows come in blocks of a checked, bounded size and travel to the
-tasks as a broadcast variable. Every task scans its slice of the candidate
-table with numpy and keeps only its best candidates per (query, group); a
-final aggregation picks the overall best. No (query, candidate) pair is ever
-materialised as a row, and every candidate is compared, so the result is
-exact.
+Both sides stay distributed. Queries are hashed into blocks, candidates into
+blocks, and every pair of blocks meets once, in a cogrouped task: queries are
+sent once per candidate block, candidates once per query block, inside one
+Spark exchange. A task keeps only the best candidates of each query (and
+group) with numpy; a final ranking picks the overall best. No (query,
+candidate) pair is ever materialised as a row, nothing passes the driver but
+two row counts, the number of jobs does not depend on the rows, and every
+candidate is compared, so the result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspots.config import LIMITS
 
 
-def _blocks(queries: DataFrame, block_rows: int):
-    """Yield pandas blocks of the query table of about ``block_rows`` rows.
+def _blocks(rows: int, most: int, least: int, cores: int) -> int:
+    """Blocks of at most ``most`` rows; more while they keep ``least`` rows and
+    cores would be idle. The result does not depend on the number."""
+    return max(1, -(-rows // most), min(cores, rows // least))
 
-    Blocks are hash buckets of the whole row, so no ordered window ever
-    gathers the query table into one task; the driver holds one block at a time.
-    """
-    n = queries.count()
-    if n <= block_rows:
-        yield queries.toPandas()
-        return
-    nblk = int(np.ceil(1.5 * n / block_rows))
-    # kept while the blocks are read, so the query table is computed once
-    keyed = queries.withColumn("_blk", F.pmod(F.xxhash64(*queries.columns), F.lit(nblk))).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
-        for b in range(nblk):
-            pdf = keyed.filter(F.col("_blk") == b).drop("_blk").toPandas()
-            if len(pdf):
-                yield pdf
-    finally:
-        keyed.unpersist()
+
+def in_block_pairs(queries: DataFrame, candidates: DataFrame, qkey: str, ckey: str,
+                   fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+                   block_rows: int | None = None) -> DataFrame:
+    """``fn`` of every (query block, candidate block), as one cogrouped stage."""
+    most = block_rows or LIMITS.query_block_rows
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    qb = _blocks(queries.count(), most, min(most, 256), cores)
+    cb = _blocks(candidates.count(), 4 * most, 4 * most, 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    q = queries.withColumn("_qb", block(qkey, qb)).select("*", every(cb).alias("_cb"))
+    c = candidates.withColumn("_cb", block(ckey, cb)).select("*", every(qb).alias("_qb"))
+    return (q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))
+            .applyInPandas(lambda a, b: fn(a, b), schema))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vec: str,
@@ -55,58 +55,39 @@ def nearest(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vec:
     ``exclude_self`` a candidate never matches the query with the same id
     (leave-one-out over one table).
     """
-    spark = candidates.sparkSession
-    bound = block_rows or LIMITS.query_block_rows
     gcol = group or "_g"
     cand = candidates if group else candidates.withColumn("_g", F.lit(0))
     cand = cand.select(F.col(cid).alias("_cid"), F.col(gcol).alias("_grp"), F.col(vec).alias("_vec"))
-    out_schema = "_qid long, _grp long, _cid long, distance double"
-    results = []
-    for pdf in _blocks(queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_vec")), bound):
-        qids = pdf["_qid"].to_numpy(dtype=np.int64)
-        qmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
-        bq = spark.sparkContext.broadcast((qids, qmat))
+    query = queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_qvec"))
 
-        def part_topk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qi, qm = bq.value
-            best: dict = {}  # group -> (distances Q x <=k, ids Q x <=k)
-            for batch in it:
-                if batch.empty:
-                    continue
-                cm = np.stack([np.asarray(v, dtype=np.float64) for v in batch["_vec"]])
-                # slice the candidates so the (query, candidate, dim) block stays small
-                step = max(1, int(4_000_000 // max(1, qm.shape[0] * qm.shape[1])))
-                d = np.concatenate([
-                    np.round(np.sqrt(((qm[:, None, :] - cm[None, s:s + step, :]) ** 2).sum(axis=2)),
-                             round_to)
-                    for s in range(0, cm.shape[0], step)], axis=1)
-                cids = batch["_cid"].to_numpy(dtype=np.int64)
-                grps = batch["_grp"].to_numpy(dtype=np.int64)
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(q) and len(c):
+            qi, ci = q["_qid"].to_numpy(np.int64), c["_cid"].to_numpy(np.int64)
+            groups = c["_grp"].to_numpy(np.int64)
+            qm = np.stack(q["_qvec"].to_numpy()).astype(np.float64)
+            cm = np.stack(c["_vec"].to_numpy()).astype(np.float64)
+            # slices of queries keep the (query, candidate, dimension) block small
+            step = max(1, int(4_000_000 // max(1, cm.size)))
+            for s in range(0, len(qi), step):
+                d = np.round(np.sqrt(((qm[s:s + step, None, :] - cm[None, :, :]) ** 2).sum(axis=2)), round_to)
                 if exclude_self:
-                    d = np.where(qi[:, None] == cids[None, :], np.inf, d)
-                for g in np.unique(grps):
-                    sel = grps == g
-                    dg = d[:, sel]
-                    cg = np.broadcast_to(cids[sel], dg.shape)
-                    if g in best:
-                        dg = np.concatenate([best[g][0], dg], axis=1)
-                        cg = np.concatenate([best[g][1], cg], axis=1)
-                    # row-wise order by (distance, id); keep the first k of every row
-                    order = np.lexsort((cg, dg), axis=-1)[:, :k]
-                    best[g] = (np.take_along_axis(dg, order, 1), np.take_along_axis(cg, order, 1))
-            rows = []
-            for g, (dd, cc) in best.items():
-                for i in range(len(qi)):
-                    rows += [(int(qi[i]), int(g), int(c), float(x))
-                             for x, c in zip(dd[i], cc[i]) if np.isfinite(x)]
-            yield pd.DataFrame(rows, columns=["_qid", "_grp", "_cid", "distance"])
+                    d = np.where(qi[s:s + step, None] == ci[None, :], np.inf, d)
+                for g in np.unique(groups):
+                    own = groups == g
+                    dist, ids = d[:, own], np.broadcast_to(ci[own], (len(d), int(own.sum())))
+                    order = np.lexsort((ids, dist), axis=-1)[:, :k]
+                    top = np.take_along_axis(dist, order, 1)
+                    row, col = np.nonzero(np.isfinite(top))
+                    parts.append(pd.DataFrame({"_qid": qi[s + row], "_grp": g,
+                                               "_cid": np.take_along_axis(ids, order, 1)[row, col],
+                                               "distance": top[row, col]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"_qid": [], "_grp": [], "_cid": [], "distance": []})
 
-        results.append(cand.mapInPandas(part_topk, out_schema))
-    allp = results[0]
-    for r in results[1:]:
-        allp = allp.unionByName(r)
+    found = in_block_pairs(query, cand, "_qid", "_cid", best,
+                           "_qid long, _grp long, _cid long, distance double", block_rows)
     w = Window.partitionBy("_qid", "_grp").orderBy("distance", "_cid")
-    top = allp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     top = top.withColumnRenamed("_qid", qid).withColumnRenamed("_cid", cid)
     if group:
         return top.withColumnRenamed("_grp", group)

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_PER_BUCKET = 100_000
+MAX_BUCKETS = 4096
+
+
 def _bucket_of(x: Column, bounds: list) -> Column:
     """Number of bounds strictly below ``x`` (0..len(bounds))."""
     if not bounds:
@@ -30,12 +34,15 @@ def quantile_bounds(df: DataFrame, col: str, buckets: int, rel_err: float = 0.00
 
 
 def running_total(df: DataFrame, order_col: str, value_col: str, out: str = "cum",
-                  buckets: int = 64) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """``out`` = sum of ``value_col`` over rows with order key <= this row's key.
 
     ``order_col`` must be unique (group by it first); then the bucketed result
-    equals a global ``ROWS UNBOUNDED PRECEDING`` window.
+    equals a global ``ROWS UNBOUNDED PRECEDING`` window. The number of buckets
+    follows the number of rows (``ROWS_PER_BUCKET`` each).
     """
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, max(1, -(-df.count() // ROWS_PER_BUCKET)))
     bounds = quantile_bounds(df, order_col, buckets)
     b = df.withColumn("_bucket", _bucket_of(F.col(order_col), bounds))
     totals = {r["_bucket"]: r["_t"] for r in
@@ -54,17 +61,19 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str = "row_id",
 
     Rows are range-partitioned on the order key and the result is written to
     the shared checkpoint folder, which fixes the partition of every row; the
-    per-partition counts then give the offsets.
+    per-partition counts give the offsets, which join back by partition number
+    (one row per partition, so the plan does not grow with them).
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols)
               .withColumn("_bucket", F.spark_partition_id())
               .checkpoint(eager=True))
-    counts = {r["_bucket"]: r["_n"] for r in ranged.groupBy("_bucket").agg(
-        F.count(F.lit(1)).alias("_n")).collect()}
-    ordered = [counts.get(i, 0) for i in range(max(counts, default=-1) + 1)]
-    offsets = [0] + list(accumulate(ordered))[:-1]
-    off = F.element_at(F.array(*[F.lit(o) for o in offsets] or [F.lit(0)]), F.col("_bucket") + 1)
+    counts = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # at most one row per partition
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_bucket").orderBy(*order_cols)
-    return ranged.withColumn(out, (off + F.row_number().over(w) - 1).cast("bigint")).drop("_bucket")
+    numbered = ranged.withColumn("_r", F.row_number().over(w))
+    return (numbered.join(F.broadcast(offsets), "_bucket")
+            .withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("bigint")).drop("_bucket", "_off", "_r"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspots.config import LIMITS, N_ESTIMATORS, QUANTILE, RANDOM_STATE
@@ -102,9 +102,12 @@ class QuantileForestModel:
         cum = F.transform("_w", lambda x, i: F.aggregate(F.slice("_w", 1, i + 1), F.lit(0.0), lambda a, b: a + b))
         total = F.aggregate("_w", F.lit(0.0), lambda a, b: a + b)
         with_cum = weighted.select(*key, cum.alias("_c"), total.alias("_t"))
-        return with_cum.select(*key, *[
-            F.get(values, F.size(F.filter("_c", lambda c, q=q: c / F.col("_t") < F.lit(q - EPS)))).alias(name)
-            for name, q in wanted.items()])
+
+        def quantile(q: float) -> Column:
+            below = F.filter("_c", lambda c: c / F.col("_t") < F.lit(q - EPS))
+            return F.get(values, F.size(below))
+
+        return with_cum.select(*key, *[quantile(q).alias(name) for name, q in wanted.items()])
 
 
 def _adder(sent, n_labels: int):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotspots.config import QUANTILE
+from hotspots.operators.quantiles import exact_percentiles
 
 
 def merge_layers(*layers: DataFrame, keys=("longitude", "latitude")) -> DataFrame:
@@ -17,9 +18,12 @@ def merge_layers(*layers: DataFrame, keys=("longitude", "latitude")) -> DataFram
 
 def winsorise(df: DataFrame, col: str = "pop_density", q: float = QUANTILE) -> DataFrame:
     """Cap ``col`` at its exact linearly interpolated ``q`` percentile computed
-    over the same frame; NULL stays NULL. The percentile is a scalar subquery,
-    evaluated once and inlined, so no join is needed."""
-    p = df.select(F.percentile(F.col(col), F.lit(q))).scalar()
+    over the same frame; NULL stays NULL. The percentile is a fitted number,
+    found by distributed ranks."""
+    found = exact_percentiles(df.select(F.lit(col).alias("feature"), F.col(col).alias("x")), [q])
+    if col not in found:
+        return df
+    p = F.lit(found[col][0])
     return df.withColumn(col, F.when(F.col(col) > p, p).otherwise(F.col(col)))
 
 
@@ -27,5 +31,5 @@ def static_layers(*layers: DataFrame, cap_col: str | None = "pop_density") -> Da
     merged = merge_layers(*layers)
     if cap_col and cap_col in merged.columns:
         # the merged layers feed both the percentile and the capped values
-        merged = winsorise(merged.cache(), cap_col)
+        merged = winsorise(merged.checkpoint(eager=True), cap_col)
     return merged

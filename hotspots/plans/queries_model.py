@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from hotspots.config import FEATURES, FIXTURE_PERIODS
 from hotspots.functions.calendar import date_lit
 from hotspots.operators import densify as D
-from hotspots.operators.explain import fit_explainer, quartile_table, stack_features
+from hotspots.operators.explain import quartile_table, stack_features
 from hotspots.operators.imputer import fit_knn_imputer
 from hotspots.operators.kmeans import kmeans_groups
+from hotspots.operators.nearest_days import NearestDays
 from hotspots.operators.neighbors import nearest
 from hotspots.operators.pca import fit_pca
 from hotspots.operators.qforest import weighted_quantile
@@ -192,23 +193,13 @@ def nearest_training_days(spark, sf):
     """Per test cell-day, the nearest training cell-day with fires and without
     (J11 / M9 on the feature matrix): scaled and imputed features, exact search.
     Returns the match's original features and fire count."""
-    from hotspots.operators.prefix import dense_index
     f = _features(spark, sf)
     tr, te = _period(f, TR), _period(f, TE)
     sc = fit_scaler(tr, FEATURES)
-    ztr = sc.transform(tr).select(*KEY, *FEATURES)
-    imp = fit_knn_imputer(ztr, FEATURES, KEY)
-    z = F.array(*[F.col(c) for c in FEATURES]).alias("z")
-    cand = dense_index(imp.transform(ztr, KEY).join(tr.select(*KEY, "fire_count"), KEY), KEY, "cid")
-    cand = cand.select("cid", *KEY, F.when(F.col("fire_count") > 0, 1).otherwise(0).cast("bigint").alias("cls"), z)
-    qry = dense_index(imp.transform(sc.transform(te).select(*KEY, *FEATURES), KEY), KEY, "qid")
-    nn = nearest(qry.select("qid", z), cand.select("cid", "cls", "z"), "qid", "cid", "z", group="cls", k=1)
-    orig = tr.select(*[F.col(c).alias(f"match_{c}") for c in KEY], "fire_count", *FEATURES)
-    return (nn.join(qry.select("qid", *KEY), "qid")
-            .join(cand.select("cid", *[F.col(c).alias(f"match_{c}") for c in KEY]), "cid")
-            .join(orig, [f"match_{c}" for c in KEY])
-            .select(*KEY, F.col("cls").alias("class"), *[f"match_{c}" for c in KEY],
-                    "fire_count", *FEATURES, r6("distance").alias("distance")))
+    imp = fit_knn_imputer(sc.transform(tr).select(*KEY, *FEATURES), FEATURES, KEY)
+    ready = lambda df: imp.transform(sc.transform(df).select(*KEY, *FEATURES), KEY)
+    days = NearestDays.fit(tr, ready(tr), FEATURES, KEY, "fire_count")
+    return days.search(ready(te)).withColumn("distance", r6("distance"))
 
 
 @register("m9_nearest_training_days")
@@ -244,14 +235,11 @@ def q_m10(spark, sf):
 @register("m11_m12_explanations")
 def q_m11(spark, sf):
     pipe, f = _pipeline(spark, sf)
-    tr = _period(f, TR)
-    ex = fit_explainer(tr, FEATURES)
     # every abnormal cell-day of the test period gets its explanation
     flagged = pipe.predict(_period(f, TE)).filter(F.col("abnormal_label") == 1).select(*KEY)
     rows = (_period(f, TE).join(flagged, KEY)
             .withColumn("row_id", F.concat_ws("|", "grid_cell", F.col("acq_date").cast("string"))))
-    out = ex.explain(rows.select("row_id", *FEATURES), "row_id", pipe.predict_fn(), num_samples=5000)
-    return out
+    return pipe.explain(rows, "row_id")
 
 
 # ---------------------------------------------------------------- M13 (rows)

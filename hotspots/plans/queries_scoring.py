@@ -71,7 +71,7 @@ def q_w5(spark, sf):
     _, s = _series(spark, sf)
     g = (s.select(clipped_error("fire_count", "y_hat").alias("err"), "fire_count")
          .groupBy("err").agg(F.sum("fire_count").alias("ys")))
-    c = running_total(g, "err", "ys", "cum", buckets=16)
+    c = running_total(g, "err", "ys", "cum")
     return c.select(r6("err").alias("err"), F.col("ys").cast("bigint").alias("ys"),
                     F.col("cum").cast("bigint").alias("cum"))
 

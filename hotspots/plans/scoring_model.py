@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 
 from hotspots.config import FEATURES, QUANTILE
 from hotspots.operators.decay import decay_scores
+from hotspots.operators.explain import Explainer, fit_explainer
 from hotspots.operators.imputer import KNNImputerModel, fit_knn_imputer
+from hotspots.operators.nearest_days import NearestDays
 from hotspots.operators.pca import PCAModelLite, fit_pca
 from hotspots.operators.qforest import MAX_DEPTH, QuantileForestModel, fit_quantile_forest
 from hotspots.operators.scaler import ScalerModel, fit_scaler
@@ -37,6 +39,8 @@ class FirePredictionPipeline:
     pca: PCAModelLite | None = None
     forest: QuantileForestModel | None = None
     threshold: ThresholdModel | None = None
+    nearest_days: NearestDays | None = None
+    explainer: Explainer | None = None
 
     # ---------------------------------------------------------------- stages
     def prepare(self, df: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -46,6 +50,10 @@ class FirePredictionPipeline:
         p = self.pca.transform(s)
         return VectorAssembler(inputCols=self.pca.out_cols(), outputCol="features").transform(p)
 
+    def imputed(self, df: DataFrame, key: list[str] = KEY) -> DataFrame:
+        """Scaled and imputed features by key."""
+        return self.imputer.transform(self.scaler.transform(df.select(*key, *self.features)), key)
+
     def fit_rf(self, train: DataFrame) -> "FirePredictionPipeline":
         base = train.select(*KEY, self.label, *self.features)
         self.scaler = fit_scaler(base, self.features)
@@ -80,8 +88,27 @@ class FirePredictionPipeline:
         cal.unpersist()
         return self
 
+    def fit_views(self, train: DataFrame) -> "FirePredictionPipeline":
+        """The nearest training days and the explainer."""
+        self.nearest_days = NearestDays.fit(train, self.imputed(train), self.features, KEY, self.label)
+        self.explainer = fit_explainer(train, self.features)
+        return self
+
     def fit(self, train: DataFrame, calibration: DataFrame) -> "FirePredictionPipeline":
-        return self.fit_rf(train).fit_threshold(calibration)
+        """All fitted parts: scaler, imputer, PCA, forest, threshold, nearest
+        days and explainer. Empty input is an error."""
+        for name, df in (("training", train), ("calibration", calibration)):
+            if df.isEmpty():
+                raise ValueError(f"no {name} rows")
+        return self.fit_rf(train).fit_threshold(calibration).fit_views(train)
+
+    def nearest(self, df: DataFrame) -> DataFrame:
+        """Nearest training cell-day with and without fires of every row."""
+        return self.nearest_days.search(self.imputed(df))
+
+    def explain(self, df: DataFrame, key: str, num_samples: int = 5000) -> DataFrame:
+        """Local explanations of the rows of ``df``."""
+        return self.explainer.explain(df.select(key, *self.features), key, self.predict_fn(), num_samples=num_samples)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Raw and decayed labels and scores per cell-day."""
