@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotspots.config import RANDOM_STATE
@@ -90,19 +90,14 @@ _D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754
 _TAIL = 0.02425
 
 
-def normal_quantile(p: Column) -> Column:
-    """Standard normal quantile of a column between 0 and 1, exclusive."""
-    def poly(coefficients, x):
-        out = F.lit(coefficients[0])
-        for c in coefficients[1:]:
-            out = out * x + F.lit(c)
-        return out
-
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Standard normal quantiles of shares between 0 and 1."""
+    p = np.clip(p, 1e-12, 1 - 1e-12)
     q = p - 0.5
-    middle = poly(_A, q * q) * q / poly(_B, q * q)
-    low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
-    return (F.when(p < _TAIL, poly(_C, low) / poly(_D, low))
-            .when(p > 1 - _TAIL, -poly(_C, high) / poly(_D, high)).otherwise(middle))
+    low, high = np.sqrt(-2 * np.log(p)), np.sqrt(-2 * np.log(1 - p))
+    middle = np.polyval(_A, q * q) * q / np.polyval(_B, q * q)
+    return np.where(p < _TAIL, np.polyval(_C, low) / np.polyval(_D, low),
+                    np.where(p > 1 - _TAIL, -np.polyval(_C, high) / np.polyval(_D, high), middle))
 
 
 @dataclass
@@ -116,38 +111,36 @@ class Explainer:
         return rule_texts(c, self.quart[c])
 
     def perturb(self, rows: DataFrame, key: str, num_samples: int, seed: int) -> DataFrame:
-        """Copies (key, sample, features..., z_<f> same-bin flags). The steps are
-        columns of successive projections, so no expression is written out twice."""
-        s = rows.select(key, *self.cols, F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("sample"))
+        """Copies (key, sample, features..., z_<f> same-bin flags). Spark makes the
+        copies and their seeded uniforms; a vectorised function turns those into
+        a bin and a normal value truncated to it."""
+        cols, quart, bins = self.cols, self.quart, self.bins
+        copies = rows.select(key, *cols, F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("sample"))
 
         def uniform(c, stream):
             return (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("sample"), F.lit(c), F.lit(stream)),
                            F.lit(1_000_000)) + 0.5) / 1e6
 
-        def pick(c, what):
-            return F.element_at(F.array(*[F.lit(float(b[what])) for b in self.bins[c]]), F.col(f"_bin_{c}") + 1)
-
-        drawn = []
-        for c in self.cols:
-            cum = np.cumsum([b["freq"] for b in self.bins[c]])
-            u = uniform(c, 1)
-            drawn.append(F.when(u < F.lit(float(cum[0])), 0).when(u < F.lit(float(cum[1])), 1)
-                         .when(u < F.lit(float(cum[2])), 2).otherwise(3).alias(f"_bin_{c}"))
-        s = s.select("*", *drawn)
-        # a normal value truncated to the bin: the inverse of its distribution
-        # function between the bin's ends
-        s = s.select("*", *[F.least(F.greatest(
-            pick(c, "low") + uniform(c, 2) * (pick(c, "high") - pick(c, "low")), F.lit(1e-12)),
-            F.lit(1 - 1e-12)).alias(f"_p_{c}") for c in self.cols])
-        s = s.select("*", *[normal_quantile(F.col(f"_p_{c}")).alias(f"_n_{c}") for c in self.cols])
-        itself = F.col("sample") == 0
-        out, flags = [], []
-        for c in self.cols:
-            val = F.least(F.greatest(pick(c, "mean") + pick(c, "std") * F.col(f"_n_{c}"), pick(c, "min")), pick(c, "max"))
-            out.append(F.when(itself, F.col(c)).otherwise(val).alias(c))
-            own = bin_of(F.col(c), *self.quart[c])
-            flags.append(F.when(itself, F.lit(1.0)).otherwise((F.col(f"_bin_{c}") == own).cast("double")).alias(f"z_{c}"))
-        return s.select(key, "sample", *out, *flags)
+        given = copies.select(key, "sample", *[F.col(c).cast("double").alias(c) for c in cols],
+                              *[uniform(c, 1).alias(f"_u_{c}") for c in cols], *[uniform(c, 2).alias(f"_v_{c}") for c in cols])
+
+        def draw(it):
+            for pdf in it:
+                itself = (pdf["sample"] == 0).to_numpy()
+                out = {key: pdf[key], "sample": pdf["sample"]}
+                for c in cols:
+                    own = pdf[c].to_numpy(float)
+                    drawn = np.searchsorted(np.cumsum([b["freq"] for b in bins[c]])[:3], pdf[f"_u_{c}"].to_numpy(), "right")
+                    mean, std, least, most, low, high = (np.array([b[k] for b in bins[c]])[drawn] for k in
+                                                         ("mean", "std", "min", "max", "low", "high"))
+                    value = mean + std * normal_quantile(low + pdf[f"_v_{c}"].to_numpy() * (high - low))
+                    out[c] = np.where(itself, own, np.clip(value, least, most))
+                    out[f"z_{c}"] = np.where(itself, 1.0, drawn == np.searchsorted(quart[c], own, "left"))
+                yield pd.DataFrame(out)
+
+        key_type = rows.schema[key].dataType.simpleString()
+        schema = ", ".join([f"{key} {key_type}", "sample int", *[f"`{c}` double" for c in cols], *[f"`z_{c}` double" for c in cols]])
+        return given.mapInPandas(draw, schema).select(key, "sample", *cols, *[f"z_{c}" for c in cols])
 
     def explain(self, rows: DataFrame, key: str, predict: Callable[[DataFrame, str], DataFrame],
                 num_features: int | None = None, num_samples: int = 5000,

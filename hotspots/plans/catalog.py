@@ -15,14 +15,18 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
+_LAZY: dict[str, Callable[[], str]] = {}
 
 
-def register(name: str, oracle: str | None = None):
+def register(name: str, oracle: str | Callable[[], str] | None = None):
+    """Register a query; ``oracle`` is its SQL, or makes it once all modules are loaded."""
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
-        if oracle is not None:
+        if callable(oracle):
+            _LAZY[name] = oracle
+        elif oracle is not None:
             ORACLE[name] = oracle
         return fn
     return deco
@@ -32,3 +36,6 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from hotspots.plans import (queries_core, queries_ingest, queries_model,  # noqa: F401
                                 queries_scoring, queries_views)
+    while _LAZY:
+        name, make = _LAZY.popitem()
+        ORACLE[name] = make()

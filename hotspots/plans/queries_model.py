@@ -122,6 +122,21 @@ def q_m3(spark, sf):
     return p.transform(z).select(*KEY, *p.out_cols())
 
 
+@register("m3_pca_rotation", lambda: W(["features"], _imputed_sql() + f"""
+SELECT grid_cell, acq_date, round({' + '.join(
+        f'({c} - (SELECT avg({c}) FROM imp)) * ({c} - (SELECT avg({c}) FROM imp))' for c in FEATURES)}, 6) AS squared_norm
+FROM imp"""))
+def q_m3r(spark, sf):
+    """All components together turn the centred rows without changing their
+    length: the sign-free form of the projection."""
+    tr = _period(_features(spark, sf), TR)
+    scaled = fit_scaler(tr, FEATURES).transform(tr).select(*KEY, *FEATURES)
+    z = fit_knn_imputer(scaled, FEATURES, KEY).transform(scaled, KEY)
+    p = fit_pca(z, FEATURES, variance=1.0)
+    total = sum((F.col(c) * F.col(c) for c in p.out_cols()), F.lit(0.0))
+    return p.transform(z).select(*KEY, r6(total).alias("squared_norm"))
+
+
 # ---------------------------------------------------------------- M5 step (O)
 @register("m5_weighted_quantile", W(["series"], """
 , g AS (SELECT grid_cell, fire_count AS y, COUNT(*) AS w FROM series GROUP BY ALL),
@@ -148,6 +163,21 @@ def q_m4(spark, sf):
     return pipe.expected(_period(f, TE)).select(*KEY, "fire_count", "y_hat")
 
 
+@register("m5_forest_weights", W(["features"], """
+SELECT grid_cell, acq_date, CAST(1.0 AS DOUBLE) AS weight, TRUE AS in_labels
+FROM features WHERE acq_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'"""))
+def q_m5f(spark, sf):
+    """Every row's weights over the training labels sum to one, and its
+    quantile is a training label."""
+    f = _features(spark, sf)
+    pipe = FirePredictionPipeline().fit_rf(_period(f, TR))
+    weighted, labels = pipe.forest.weights(pipe.prepare(_period(f, TE)), KEY)
+    total = F.aggregate("_w", F.lit(0.0), lambda a, b: a + b)
+    known = F.array(*[F.lit(y) for y in labels])
+    return (weighted.join(pipe.forest.predict(pipe.prepare(_period(f, TE)), KEY), KEY)
+            .select(*KEY, r6(total).alias("weight"), F.array_contains(known, F.col("y_hat")).alias("in_labels")))
+
+
 @register("m14_fire_scoring_model")
 def q_m14(spark, sf):
     pipe, f = _pipeline(spark, sf)
@@ -202,7 +232,48 @@ def nearest_training_days(spark, sf):
     return days.search(ready(te)).withColumn("distance", r6("distance"))
 
 
-@register("m9_nearest_training_days")
+def _imputed_sql(extra: str = "") -> str:
+    """CTEs up to ``imp``: scaled and imputed features of the training rows
+    (``part`` 'tr') and, with ``extra``, of further rows (``part`` 'te')."""
+    n = len(FEATURES)
+    both = lambda c: f"r.{c} IS NOT NULL AND d.{c} IS NOT NULL"
+    sq = " + ".join(f"CASE WHEN {both(c)} THEN (r.{c} - d.{c}) * (r.{c} - d.{c}) ELSE 0 END" for c in FEATURES)
+    cnt = " + ".join(f"CASE WHEN {both(c)} THEN 1 ELSE 0 END" for c in FEATURES)
+    vals = ", ".join(f"d.{c} AS v_{c}, r.{c} IS NULL AS n_{c}" for c in FEATURES)
+    cand = " UNION ALL ".join(
+        f"SELECT rk, '{c}' AS feature, dist, dk, v_{c} AS value FROM dist WHERE n_{c} AND v_{c} IS NOT NULL AND dist IS NOT NULL"
+        for c in FEATURES)
+    outs = ", ".join(f"COALESCE(z.{c}, p.{c}, (SELECT avg({c}) FROM zt)) AS {c}" for c in FEATURES)
+    tops = ", ".join(f"max(value) FILTER (feature = '{c}') AS {c}" for c in FEATURES)
+    anynull = " OR ".join(f"{c} IS NULL" for c in FEATURES)
+    return f""", {_TRAIN_SQL}, {_STATS_SQL}, zt AS ({_scaled('tr')}), {extra}
+z AS (SELECT 'tr' AS part, * FROM zt {"UNION ALL SELECT 'te', * FROM ze" if extra else ""}),
+r AS (SELECT * FROM z WHERE {anynull}),
+pr AS (SELECT r.k AS rk, d.k AS dk, ({sq}) AS sq, ({cnt}) AS cnt, {vals} FROM r, zt d),
+dist AS (SELECT *, CASE WHEN cnt = 0 THEN NULL ELSE round(sqrt(sq * {n} / cnt), 9) END AS dist FROM pr),
+cand AS ({cand}),
+top AS (SELECT rk, feature, avg(value) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY rk, feature ORDER BY dist, dk) AS rn FROM cand) WHERE rn <= 10
+  GROUP BY rk, feature),
+filled AS (SELECT rk, {tops} FROM top GROUP BY rk),
+imp AS (SELECT z.part, z.grid_cell, z.acq_date, {outs} FROM z LEFT JOIN filled p ON p.rk = z.k)"""
+
+
+_TE_SQL = "te AS (SELECT * FROM features WHERE acq_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'), "
+M9_DAYS_SQL = W(["features"], _imputed_sql(_TE_SQL + f"ze AS ({_scaled('te')}),") + f"""
+, pairs AS (SELECT q.grid_cell, q.acq_date, CAST(CASE WHEN t.fire_count > 0 THEN 1 ELSE 0 END AS BIGINT) AS class,
+    c.grid_cell AS match_grid_cell, c.acq_date AS match_acq_date,
+    round(sqrt({' + '.join(f'(q.{c} - c.{c}) * (q.{c} - c.{c})' for c in FEATURES)}), 9) AS distance
+  FROM imp q, imp c JOIN tr t ON t.grid_cell = c.grid_cell AND t.acq_date = c.acq_date
+  WHERE q.part = 'te' AND c.part = 'tr'),
+best AS (SELECT *, row_number() OVER (PARTITION BY grid_cell, acq_date, class
+  ORDER BY distance, match_grid_cell, match_acq_date) AS rn FROM pairs)
+SELECT b.grid_cell, b.acq_date, b.class, b.match_grid_cell, b.match_acq_date, t.fire_count,
+  {', '.join('t.' + c for c in FEATURES)}, round(b.distance, 6) AS distance
+FROM best b JOIN tr t ON t.grid_cell = b.match_grid_cell AND t.acq_date = b.match_acq_date WHERE b.rn = 1""")
+
+
+@register("m9_nearest_training_days", M9_DAYS_SQL)
 def q_m9d(spark, sf):
     return nearest_training_days(spark, sf)
 
