@@ -20,10 +20,6 @@ def percent(score) -> Column:
     return F.round(_c(score) * F.lit(100.0), 2)
 
 
-def percent_text(score) -> Column:
-    return F.concat(percent(score).cast("string"), F.lit("%"))
-
-
 def signed_for_label(score, label) -> Column:
     """Normal fires show the negated score."""
     return F.when(_c(label) == F.lit("normal"), -_c(score)).otherwise(_c(score))

@@ -57,13 +57,6 @@ def snap(col: Column | str, resolution: str = "50km") -> Column:
     return scaled / F.lit(k) + F.lit(0.0)
 
 
-def grid_index(col: Column | str, resolution: str = "50km") -> Column:
-    """Integer grid index of a coordinate (join key that avoids double equality)."""
-    k = grid_scale(resolution)
-    c = F.col(col) if isinstance(col, str) else col
-    return F.rint(c * F.lit(k)).cast("bigint")
-
-
 def cell_key(lat: Column | str, lon: Column | str) -> Column:
     """``"<lat>_<lon>"`` from already snapped coordinates."""
     la = F.col(lat) if isinstance(lat, str) else lat

@@ -126,12 +126,6 @@ def overlays(t: Tables) -> DataFrame:
         F.date_add(F.lit("2024-01-01").cast("date"), k * 2 + k % 3).alias("end_date"))
 
 
-def hourly(t: Tables) -> DataFrame:
-    """Hourly cloud readings per region (region = event type)."""
-    return t.events.select(F.col("event_type").alias("oblast_id"), "ts",
-                           F.col("value").alias("cloud_cover"))
-
-
 def hourly_regions(t: Tables) -> DataFrame:
     """Hourly cloud readings keyed like the weather regions (UA0..UA24)."""
     return t.events.select(F.concat(F.lit("UA"), (F.col("user_id") % 25).cast("string")).alias("oblast_id"),

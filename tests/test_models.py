@@ -9,7 +9,7 @@ from hotspots.operators.qforest import fit_quantile_forest
 
 
 def test_one_nn_literal_fixture(spark):
-    # feature1 = 1..10, feature2 = 10..1, target 0 0 0 1 1 0 0 1 1 0
+    # feature1 = 1..10, feature2 = 10..1, target 0 0 0 1 1 0 0 1 1 0
     f1 = list(range(1, 11))
     f2 = list(range(10, 0, -1))
     y = [0, 0, 0, 1, 1, 0, 0, 1, 1, 0]
