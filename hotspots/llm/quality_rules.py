@@ -112,7 +112,9 @@ def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         ratio("n_exclamations", "n_words").alias("exclamations_per_word"),
         ratio("n_stop_words", "n_words").alias("stop_word_ratio"),
         ratio("n_letters", "word_chars").alias("letter_ratio"),
-        F.size("lines").cast("long").alias("n_lines"))
+        F.size("lines").cast("long").alias("n_lines"),
+        # never negative: see judge()
+        F.monotonically_increasing_id().alias("_at"))
 
 
 def compile_rules(rules=RULES) -> Column:
@@ -130,10 +132,15 @@ def compile_rules(rules=RULES) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules=RULES, keep: list[str] | None = None) -> DataFrame:
-    """``row``, the measures, base_failed, failed_rules and kept."""
+    """``row``, the measures, base_failed, failed_rules and kept.
+
+    A filter on ``kept`` would be pushed down to the scan with all its measures
+    written out once per use; it refers to the row number made beside them, so
+    it stays above and the measures are computed once."""
     m = measures(docs, text, keep).withColumn(
         "dup_line_ratio", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (m.withColumn("base_failed", base_failed)
             .withColumn("failed_rules", compile_rules(rules))
-            .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)))
+            .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col("_at") >= 0))
+            .drop("_at"))
