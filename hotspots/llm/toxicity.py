@@ -2,8 +2,10 @@
 
 Each word enters as the sum of what is known of it: a learned vector for words
 of the training sample, and learned vectors for its character n-grams, which
-also reach unseen words. Two recurrent passes read a window of ``WINDOW``
-words in both directions, attention pools their states, and one logit comes
+also reach unseen words. A word of more than ``WORD`` characters (a glued run, a
+sentence of a script without spaces) enters as overlapping parts that cover all
+of it, each like a word of its own. Two recurrent passes read a window of
+``WINDOW`` words in both directions, attention pools their states, and one logit comes
 out. A text is cut into overlapping windows that cover all of it (every
 ``STRIDE`` words), and its score is that of its worst window.
 
@@ -38,8 +40,11 @@ HIDDEN, DIM = 8, 6
 BATCH = 2048
 #: Words whose input a worker remembers.
 CACHE = 200_000
-#: Longest word part that is read, in characters.
-WORD = 40
+#: Longest part of a word that is one input, in characters, and what two parts share:
+#: an insult of up to OVERLAP characters is whole in one of them.
+WORD, OVERLAP = 40, 20
+#: Put where a part does not start or end its word; no word holds this byte.
+_MORE = b" "
 
 
 @dataclass(frozen=True)
@@ -56,12 +61,28 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def words(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+    """Words, long ones in parts."""
+    found = text.translate(_FOLD).split()
+    if max(map(len, found), default=0) <= WORD:
+        return found
+    return [p for w in found for p in ((w,) if len(w) <= WORD else parts(w))]
+
+
+def parts(word: bytes) -> list[bytes]:
+    """Overlapping parts of at most WORD characters that cover the word."""
+    w = word.decode("utf-8", "replace")
+    if len(w) <= WORD:
+        return [word]
+    step = WORD - OVERLAP
+    return [(_MORE if a else b"") + w[a:a + WORD].encode() + (_MORE if a + WORD < len(w) else b"")
+            for a in range(0, len(w) - OVERLAP, step)]
 
 
 def grams(word: bytes) -> set[str]:
-    """Character n-grams (3 to 5) with a mark at the start and the end."""
-    w = f"^{word[:4 * WORD].decode('utf-8', 'replace')[:WORD]}$"
+    """Character n-grams (3 to 5) with a mark at the start and the end of a
+    word; a part of a word has none where the word goes on."""
+    w = word.strip(_MORE).decode("utf-8", "replace")
+    w = f"{'' if word.startswith(_MORE) else '^'}{w}{'' if word.endswith(_MORE) else '$'}"
     return {w[i:i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
 
 

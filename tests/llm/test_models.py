@@ -109,6 +109,28 @@ def test_insult_anywhere_in_a_long_text(toxic_model):
         assert scorer.scores([" ".join(w).encode()])[0] >= 0.5, at
 
 
+@pytest.mark.parametrize("fill", ["x", "é", "日", "、"])
+def test_insult_anywhere_in_a_long_run(toxic_model, fill):
+    scorer = toxicity.Scorer(toxic_model)
+    plain = scorer.scores([(fill * 200).encode(), b"w1 w2 " + (fill * 5000).encode()])
+    assert (plain < 0.5).all()
+    runs = [(fill * a + "insult1" + fill * (200 - a)).encode() for a in range(201)]
+    runs.append((fill * 100_000 + "insult1" + fill * 9).encode())
+    assert [i for i, s in enumerate(scorer.scores(runs)) if s < 0.5] == []
+    assert scorer.scores(["　".join(["日本"] * 300 + ["insult1"]).encode()])[0] >= 0.5
+
+
+def test_parts_cover_every_word():
+    for n in (*range(1, 200), 100_003):
+        word = "".join(chr(0x4E00 + i % 997) for i in range(n))
+        own = toxicity.parts(word.encode())
+        want = f"^{word}$"
+        assert set().union(*map(toxicity.grams, own)) == {
+            want[i:i + k] for k in (3, 4, 5) for i in range(len(want) - k + 1)}
+        assert all(len(p.strip(b" ").decode()) <= toxicity.WORD for p in own)
+    assert toxicity.words(b"Ab " + b"c" * 40) == [b"ab", b"c" * 40]
+
+
 def test_windows_cover_every_word():
     for n in range(1, 200):
         starts = toxicity.window_starts(n)
