@@ -38,7 +38,8 @@ from hotspots.operators.joins import broadcast_if_small
 CHUNK = 1 << 18
 REVISIT_BYTES = 1000
 
-_START = "WARC/1.1\r\n"
+_MARK = "WARC/1.1"
+_START = _MARK + "\r\n"
 _END = "\r\n\r\n"
 
 
@@ -46,15 +47,16 @@ _END = "\r\n\r\n"
 
 def chunk_rows(records: DataFrame, payload: str, chunk: int = CHUNK) -> DataFrame:
     """Columns of ``records`` but the payload, plus n_chunks, chunk_no, chunk:
-    at most ``chunk`` characters each, and no chunk holds a record start."""
+    at most ``chunk`` characters each, and no chunk holds ``WARC/1.1``: the line
+    end behind a block must not complete a record start."""
     text = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
-    safe = F.split(text, "(?<=WARC)(?=/1\\.1\r\n)")
+    safe = F.split(text, "(?<=WARC)(?=/1\\.1)")
 
     def cut(part: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(part) - 1, F.lit(0)) / chunk).cast("int")),
                            lambda i: F.substring(part, i * chunk + 1, F.lit(chunk)))
 
-    plain = (F.length(text) <= chunk) & ~F.contains(text, F.lit(_START))
+    plain = (F.length(text) <= chunk) & ~F.contains(text, F.lit(_MARK))
     chunks = F.when(plain, F.array(text)).otherwise(F.flatten(F.transform(safe, cut)))
     rest = [c for c in records.columns if c != payload]
     return (records.select(*[F.col(f"`{c}`") for c in rest], chunks.alias("_chunks"))

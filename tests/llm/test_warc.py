@@ -48,6 +48,18 @@ def test_chunks_are_small_and_give_the_text_back(spark):
     assert [r.chunk_no for r in rows if r.id == "1"] == list(range(5)) and rows[0].n_chunks == 5
 
 
+def test_mark_at_the_end_of_a_payload_or_chunk(spark):
+    pages = [(1, "WARC/1.1"), (2, "x WARC/1.1"), (3, "WARC/1.1abc"), (4, "WARC/1.1WARC/1.1"), (5, "WARC/1.1" * 200),
+             (6, "WARC/1.1\r"), (7, "WARC/1.1\n" * 3)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    for chunk in (warc.CHUNK, 8):
+        _, table = round_trip(spark, df, chunk)
+        rows = sorted(table.collect(), key=lambda r: (r.id, r.chunk_no))
+        assert {i: "".join(r.chunk for r in rows if r.id == str(i)) for i, _ in pages} == dict(pages)
+        got = {int(r.id): (r.payload_bytes, r.payload_digest) for r in warc.summarise(table).collect()}
+        assert got == {i: (len(t), sha(t)) for i, t in pages}
+
+
 def test_archive_is_a_warc_file(spark):
     path, _ = round_trip(spark, spark.createDataFrame([(1, "hello")], "page_id long, html string"))
     text = "".join(r.value for r in spark.read.option("lineSep", "\x00").text(path).collect())
