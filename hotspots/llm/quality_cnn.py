@@ -170,7 +170,7 @@ class Model:
 
         for i, t in enumerate(texts):
             for a in range(0, len(t), RUN * STRIDE):
-                if a and len(t) - a <= CHUNK - STRIDE:
+                if a and len(t) - a <= CHUNK - STRIDE - WIDTH - 1:
                     continue  # covered by the run before
                 batch.append(t[a:a + RUN * STRIDE + CHUNK - STRIDE - WIDTH - 1] if len(t) > RUN * STRIDE else t)
                 owner.append(i)

@@ -157,6 +157,16 @@ def test_convolution_scores_whole_texts_alike(quality_model, monkeypatch):
     assert np.allclose(quality_model.logits(texts[:-1]), [quality_model.logits([t])[0] for t in texts[:-1]], atol=1e-4)
 
 
+def test_last_byte_of_a_text_in_several_runs(monkeypatch):
+    model = quality_cnn.Model.start()
+    model.p = {k: np.zeros_like(v) for k, v in model.p.items()}
+    model.p["T"][3, ord("z"), 0] = model.p["w"][0] = 1
+    model.ready()
+    monkeypatch.setattr(quality_cnn, "RUN", 4)
+    for n in range(4 * quality_cnn.STRIDE, 4 * quality_cnn.STRIDE + 70):
+        assert model.logits([b"a" * (n - 1) + b"z"])[0] > 0, n
+
+
 def test_junk_part_of_a_long_text_counts(quality_model):
     good = b"abcde fghij klmno " * 3000
     junk = b"abcde$$$ fghij$$$ " * 9000
