@@ -29,7 +29,8 @@ a 64-bit hash.
 Defined results: a null text is the empty text (one end token); a null id is
 never held out; repeated rows count and are scored each; without training rows
 every decision has probability one half; an empty table gives an empty result;
-columns other than id and text are ignored.
+columns other than id and text are ignored. A text of n bytes has n + 1 bytes to
+code, its end byte too; the code length per byte is in bits.
 """
 
 from __future__ import annotations
@@ -428,7 +429,8 @@ def _deal(keys: np.ndarray, values: np.ndarray, bucket: np.ndarray) -> dict:
 def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
           keep: list[str] | None = None) -> DataFrame:
     """``row`` (the columns ``keep``, default all), held_out, n_tokens, n_known,
-    train_tokens, base_score, score."""
+    train_tokens, base_score, n_bytes (with the end byte), score (log10) and
+    code_length_per_byte (bits)."""
     buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     packs = packed(docs, text, keep)
     flag = F.coalesce(fold(doc_id, 10) == 0, F.lit(False))
@@ -506,12 +508,13 @@ def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
             lookups[kind] = Lookup(
                 np.concatenate([unpack_keys(x) for x in own.column("keys").to_pylist()]),
                 np.concatenate([unpack(x, number) for x in own.column("found").to_pylist()]))
-        out = {"row": [], "held_out": [], "n_tokens": [], "n_known": [], "logs": [], "score": []}
+        out = {"row": [], "held_out": [], "n_tokens": [], "n_known": [], "logs": [], "n_bytes": [], "score": []}
         for batch in texts.to_batches():
             for i in range(batch.num_rows):
                 own = _texts(batch.column("lengths")[i].as_py(), batch.column("texts")[i].as_py())
                 out["row"].append(batch.column("rows").slice(i, 1).flatten())
                 out["held_out"].append(batch.column("held").slice(i, 1).flatten())
+                out["n_bytes"].append(np.array([len(t) + 1 for t in own], np.int64))
                 for run in _runs(own):
                     keys, first = gram_keys(own[run])
                     out["score"].append(np.add.reduceat(lookups["gram"](keys).astype(np.float64), first))
@@ -523,7 +526,8 @@ def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
         return pa.table({k: pa.concat_arrays(v) if k in ("row", "held_out") else np.concatenate(v) for k, v in out.items()})
 
     done = text_rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(
-        finish, f"row {row_type}, held_out boolean, n_tokens long, n_known long, logs double, score double")
+        finish, f"row {row_type}, held_out boolean, n_tokens long, n_known long, logs double, n_bytes long, score double")
     scale = float(np.log10(size.n + 0.1 * (size.v + 1)))
     return done.select("row", "held_out", "n_tokens", "n_known", F.lit(int(size.n)).cast("long").alias("train_tokens"),
-                       (F.col("logs") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")
+                       (F.col("logs") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "n_bytes", "score",
+                       (-F.col("score") * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("code_length_per_byte"))

@@ -50,4 +50,4 @@ def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context-tree and unigram scores of every document."""
     scored = ctw.score(spark, Tables(spark, sf_dir).documents, keep=["doc_id"])
     return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "n_tokens", "n_known",
-                         "train_tokens", "base_score", "score")
+                         "train_tokens", "base_score", "score", "n_bytes", "code_length_per_byte")

@@ -5,7 +5,8 @@ import zlib
 
 import numpy as np
 
-from hotspots.llm import ctw
+from hotspots.llm import ctw, queries
+from hotspots.session import scratch_dir
 
 D = ctw.DEPTH
 
@@ -106,6 +107,18 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
     check(ctw.score(spark, df).selectExpr("row.doc_id AS i", "*"), rows)
 
 
+def test_registered_query_gives_the_code_length(spark):
+    folder = f"{scratch_dir(spark, 'ctw-test')}"
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op2_ctw_score"](spark, folder).collect()}
+    assert len(got) == len(ROWS)
+    for (i, t), want, (n_tokens, n_known, n, b) in zip(ROWS, restated(ROWS), base(ROWS)):
+        r, size = got[i], len((t or "").encode()) + 1
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.n_bytes) == (held(i), n_tokens, n_known, n, size)
+        assert math.isclose(r.base_score, b, rel_tol=1e-9) and math.isclose(r.score, want, rel_tol=1e-6)
+        assert math.isclose(r.code_length_per_byte, -want * math.log2(10) / size, rel_tol=1e-6)
+
+
 def test_groups_of_one_run(spark, monkeypatch):
     monkeypatch.setattr(ctw, "GROUP_BYTES", 16)
     monkeypatch.setattr(ctw, "RUN_BYTES", 16)
