@@ -252,16 +252,36 @@ def link_edges(codes: DataFrame, distance: int = 4, bucket: int = BUCKET) -> Dat
             break
         found.append(_bucket_links(rows.join(hot, ["node", "value"], "left_anti"), distance))
         rows = _deal(rows.join(hot, ["node", "value"], "left_semi"), below)
+    else:
+        # what is still hot meets in pairs of sub-blocks
+        rows = rows.checkpoint()
+        hot = (rows.groupBy("node", "value").agg(F.count(F.lit(1)).alias("n"))
+               .filter(F.col("n") > bucket).checkpoint())
+        if not hot.isEmpty():
+            found.append(_bucket_links(_sub_blocks(rows.join(hot, ["node", "value"]), bucket), distance))
+            rows = rows.join(hot, ["node", "value"], "left_anti")
     out = _bucket_links(rows, distance)
     for f in found:
         out = out.union(f)
     return out
 
 
+def _sub_blocks(rows: DataFrame, bucket: int) -> DataFrame:
+    """Rows of hot buckets of ``n`` members, once for each pair of sub-blocks
+    that theirs is in: every two members meet, about ``bucket`` at a time."""
+    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    pair = F.struct(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return (rows.withColumn("k", F.greatest(F.lit(2), F.ceil(2 * F.col("n") / bucket)).cast("int"))
+            .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+            .filter("own != other").withColumn("pair", pair)
+            .select("node", "value", "fp", (F.col("pair.low").cast("long") * F.col("k") + F.col("pair.high")).alias("pair")))
+
+
 def _bucket_links(rows: DataFrame, distance: int) -> DataFrame:
-    """Forest edges of every bucket. A partition streams its sorted buckets;
+    """Forest edges of every bucket, or of every pair of sub-blocks of one. A partition streams its sorted buckets;
     one bucket is in memory at a time."""
-    sorted_rows = rows.repartition("node", "value").sortWithinPartitions("node", "value")
+    rows = rows.select("node", "value", "fp", "pair" if "pair" in rows.columns else F.lit(0).cast("long").alias("pair"))
+    sorted_rows = rows.repartition("node", "value", "pair").sortWithinPartitions("node", "value", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -277,13 +297,13 @@ def _bucket_links(rows: DataFrame, distance: int) -> DataFrame:
                     out.append(index.codes[np.array(pairs)].view(np.int64))
 
         for batch in batches:
-            node, value = batch.column("node").to_numpy(), batch.column("value").to_numpy()
+            node, value, pair = (batch.column(c).to_numpy() for c in ("node", "value", "pair"))
             fp = batch.column("fp").to_numpy().view(np.uint64)
             if not len(fp):
                 continue
-            cuts = np.flatnonzero((node[1:] != node[:-1]) | (value[1:] != value[:-1])) + 1
+            cuts = np.flatnonzero((node[1:] != node[:-1]) | (value[1:] != value[:-1]) | (pair[1:] != pair[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
-                k = (node[a], value[a])
+                k = (node[a], value[a], pair[a])
                 if key is not None and k != key:
                     close()
                     held = []

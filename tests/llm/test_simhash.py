@@ -128,6 +128,25 @@ def test_small_buckets_are_dealt_again(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_no_task_takes_a_bucket_that_stays_hot(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = sorted({int(x) for x in rng.integers(0, 1 << 16, 400)})
+    links, most = simhash._bucket_links, []
+
+    def watched(rows, distance):
+        keys = [c for c in rows.columns if c != "fp"]
+        most.append(rows.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0)
+        return links(rows, distance)
+
+    monkeypatch.setattr(simhash, "_bucket_links", watched)
+    df = spark.createDataFrame([(c,) for c in codes], "fp long")
+    edges = [(r.a, r.b) for r in simhash.link_edges(df, 2, bucket=40).collect()]
+    assert max(most) <= 80
+    assert all((a ^ b).bit_count() <= 2 for a, b in edges)
+    want = components(codes, [(codes[i], codes[j]) for i, j in close_pairs(codes, 2)])
+    assert components(codes, edges) == want
+
+
 def test_stars_on_chains_and_loops(spark):
     chain = [(i, i + 1) for i in range(40)]
     edges = spark.createDataFrame(chain + [(100, 102), (102, 101), (100, 100), (101, 100)], "a long, b long")
