@@ -251,6 +251,17 @@ def test_percentiles_equal_numpy(spark, monkeypatch):
         assert np.allclose(got[k], np.quantile(v, [0.25, 0.5, 0.75, 0.95]), atol=1e-12)
 
 
+def test_population_percentile_gathers_no_column(spark):
+    from hotspots.plans import queries_core as q
+    from hotspots.sources import fixtures as X
+    from hotspots.sources.tables import Tables
+    t = Tables(spark, SF)
+    values = [r.pop_density for r in q.merge_layers(X.grid(t), X.land_use(t)).collect() if r.pop_density is not None]
+    out = q.q_a1p(spark, SF)
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    assert out.columns == ["p95"] and math.isclose(out.first().p95, np.quantile(values, 0.95), abs_tol=1e-6)
+
+
 def test_normal_quantile():
     ps = np.array([1e-9, 0.001, 0.02, 0.3, 0.5, 0.77, 0.98, 0.9999])
     for p, z in zip(ps, normal_quantile(ps)):
