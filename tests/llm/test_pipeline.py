@@ -1,14 +1,17 @@
 """The corpus pipeline against stage-by-stage brute force."""
 import hashlib
+import re
+import unicodedata
 
 import sentencepiece
 
 import corpus_pipeline as cp
 from hotspots.llm import toxicity
+from hotspots.llm.quality_rules import RULES, STOP_WORDS
 from hotspots.llm.queries_text import tokenizer_path
 from hotspots.sources.tables import Tables
 from tests.llm.test_decontaminate import brute
-from tests.llm.test_native import restated
+from tests.llm.test_native import WORD, restated
 from tests.llm.test_simhash import close_pairs, components, fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +48,24 @@ def test_run_equals_brute_force(spark):
     assert got == want and 0 < len(got) < 200
 
 
+def test_quality_stage_keeps_what_the_rules_keep(spark):
+    docs = Tables(spark, SF).documents
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    want = set()
+    for d, t in rows:
+        n, chars, symbols, dup, repeated = restated(t)
+        lines = sum(1 for x in t.split("\n") if re.search(WORD, x))
+        measure = {"mean_word_chars": chars / max(1, n), "symbols_per_word": symbols / max(1, n),
+                   "exclamations_per_word": t.count("!") / max(1, n), "dup_line_ratio": dup / max(1, lines),
+                   "stop_word_ratio": sum(w in STOP_WORDS for w in re.findall(WORD, t)) / max(1, n),
+                   "letter_ratio": sum(unicodedata.category(c)[0] == "L" for c in t) / max(1, chars)}
+        failed = [r for r in RULES if n >= r.from_words and (
+            r.low is not None and measure[r.measure] < r.low or r.high is not None and measure[r.measure] > r.high)]
+        if not (n < 10 or 100 * repeated > 20 * n or failed):
+            want.add(d)
+    assert {r.doc_id for r in cp.drop_low_quality(spark, docs, SF).collect()} == want and 0 < len(want) < len(rows)
+
+
 def test_stages_on_odd_rows_and_empty_tables(spark, odd, none):
     for docs in (odd, none):
         for _, stage in cp.STAGES[:-1]:
