@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspots.llm import spelling_variants, token_alignment
+from hotspots.llm import language_id, spelling_variants, token_alignment
 from hotspots.llm.catalog import register
 from hotspots.llm.queries_text import tokenizer_path
+from hotspots.llm.training import fold
 from hotspots.sources.tables import Tables
 
 
+@register("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = Tables(spark, sf_dir).documents
+    held = fold("doc_id", 4) == 2
+    found = language_id.predict(spark, docs, language_id.fit(docs, ~held), keep=["doc_id"])
+    return (found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
+            .select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score"))
+
+
 @register("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups, links and corpus link counts of every document under two tokenizers."""
