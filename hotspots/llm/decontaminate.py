@@ -12,20 +12,23 @@ where its bytes occur. Windows of similar length form one matcher:
 * what is left is confirmed by direct comparison.
 
 All positions of a text buffer advance together (numpy lanes), each lane by
-its own shift. The benchmark side is sent to the tasks in blocks of bounded
-size (``PATTERN_BYTES`` of item text); documents are read once per block, and
-with the usual single block nothing is shuffled.
+its own shift. The tables are built once, on the driver, from blocks of the
+benchmark of bounded size (``PATTERN_BYTES`` of item text), and sent to the
+tasks as arrays: one pass over the documents searches for up to ``PASS_BLOCKS``
+blocks, and only a larger benchmark needs a further pass. Nothing is shuffled.
 
 Defined results: null texts and texts without words have no hits; an item
 without words has no window; a null item id counts as an item with an empty
 id; repeated items and repeated documents are each reported as they are; an
 empty benchmark leaves every document clean; columns other than the ids and
-texts are ignored.
+texts are ignored. Words and windows may be of any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,12 @@ from pyspark.sql import functions as F
 from hotspots.llm.batches import packed, slices
 
 WINDOW = 13
-#: Bytes of benchmark text that one broadcast may hold (or a single longer item).
+#: Bytes of benchmark text in one block (or a single longer item), and blocks
+#: that one pass over the documents searches for.
 PATTERN_BYTES = 4 << 20
-_TABLE_BITS = 18
+PASS_BLOCKS = 6
+_TABLE_BITS = (16, 22)
+_FAR = (1 << 16) - 1
 _LANE = 1 << 11
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -50,75 +56,70 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def windows(item_words: list[bytes]) -> list[bytes]:
-    """Normalised windows of one item, a space at either end."""
-    n = len(item_words)
-    return [b" " + b" ".join(item_words[i:i + WINDOW]) + b" " for i in range(max(1, n - WINDOW + 1))] if n else []
-
-
+@dataclass
 class Matcher:
-    """Shift table, suffix buckets and patterns of similar length."""
-
-    def __init__(self, patterns: list[bytes]):
-        self.patterns = patterns
-        self.shortest = min(map(len, patterns))
-        self.block = b = max(2, min(16, self.shortest // 2))
-        self.mask = [np.uint64((1 << (8 * min(8, max(0, b - 8 * k)))) - 1 if b - 8 * k < 8 else 2**64 - 1)
-                     for k in (0, 1)]
-        m = self.shortest
-        self.shift = np.full(1 << _TABLE_BITS, m - b + 1, np.uint16)
-        suffixes = np.empty(len(patterns), np.uint64)
-        for i, p in enumerate(patterns):
-            view = _view(p)
-            ends = np.arange(b, m + 1)
-            # the table speaks of the last m bytes of each pattern
-            codes = self.codes(view, ends + (len(p) - m))
-            np.minimum.at(self.shift, (codes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64), (m - ends).astype(np.uint16))
-            suffixes[i] = codes[-1]
+    """Shift table and suffix buckets of the patterns ``first`` to ``last`` - 1,
+    whose length is at least ``shortest``."""
+
+    shortest: int
+    block: int
+    shift: np.ndarray
+    suffixes: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def build(cls, view: np.ndarray, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> "Matcher":
+        """Matcher of the patterns ``which``; pattern i is the bytes from
+        ``start[i]`` to ``end[i]`` of the buffer behind ``view``."""
+        shortest = int((end[which] - start[which]).min())
+        block = max(2, min(16, shortest // 2))
+        bits = min(_TABLE_BITS[1], max(_TABLE_BITS[0], (4 * len(which)).bit_length()))
+        # a jump shorter than possible is never wrong, so large ones may be cut to the type
+        table = np.full(1 << bits, min(shortest - block + 1, _FAR), np.uint16)
+        # the table speaks of the last ``shortest`` bytes of each pattern; the
+        # larger shifts are entered first, so that the smallest one stays
+        for back in range(shortest - block, -1, -1):
+            for i in range(0, len(which), 1 << 18):
+                codes = _codes(view, end[which[i:i + (1 << 18)]] - back, block)
+                table[codes >> np.uint64(64 - bits)] = min(back, _FAR)
+        suffixes = _codes(view, end[which], block)
         order = np.argsort(suffixes, kind="stable")
-        self.suffixes, self.order = suffixes[order], order
-
-    def codes(self, view: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of the ``block`` bytes before each end position."""
-        start = ends - self.block
-        h = (view[start] & self.mask[0]) * _K1
-        if self.block > 8:
-            h ^= (view[start + 8] & self.mask[1]) * _K2
-        h ^= h >> np.uint64(29)
-        return h * _K1
-
-    def find(self, text: bytes, view: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(end position, pattern index) of every occurrence in ``text``."""
-        n, m = len(text), self.shortest
-        if n < m:
-            return
+        return cls(shortest, block, table, suffixes[order], which[order])
+
+    def candidates(self, view: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(end position, place of the first pattern of its bucket) wherever the
+        block before a position of a text of ``n`` bytes ends a pattern."""
+        m = self.shortest
         pos = np.arange(m, n + 1, _LANE)
         stop = np.minimum(pos + _LANE, n + 1)
-        found = []
-        shift_bits = np.uint64(64 - _TABLE_BITS)
+        ends, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        shift_bits = np.uint64(64 - (len(self.shift).bit_length() - 1))
         while len(pos):
-            codes = self.codes(view, pos)
-            step = self.shift[(codes >> shift_bits).astype(np.int64)]
-            zero = step == 0
-            if zero.any():
-                at = np.flatnonzero(zero)
-                low = np.searchsorted(self.suffixes, codes[at], "left")
+            codes = _codes(view, pos, self.block)
+            step = self.shift[codes >> shift_bits]
+            at = np.flatnonzero(step == 0)
+            if len(at):
+                low = np.searchsorted(self.suffixes, codes[at])
                 known = low < len(self.suffixes)
                 known[known] = self.suffixes[low[known]] == codes[at][known]
-                found.append((pos[at[known]], low[known]))
+                ends.append(pos[at[known]])
+                places.append(low[known])
             pos = pos + np.maximum(step, 1)
             live = pos < stop
             if not live.all():
                 pos, stop = pos[live], stop[live]
-        for ends, lows in found:
-            for end, low in zip(ends.tolist(), lows.tolist()):
-                code = self.suffixes[low]
-                while low < len(self.suffixes) and self.suffixes[low] == code:
-                    p = self.patterns[self.order[low]]
-                    start = end - len(p)
-                    if start >= 0 and text.startswith(p[:8], start) and text.startswith(p, start):
-                        yield end, int(self.order[low])
-                    low += 1
+        return np.concatenate(ends), np.concatenate(places)
+
+
+def _codes(view: np.ndarray, ends: np.ndarray, block: int) -> np.ndarray:
+    """Hash of the ``block`` bytes before each end position."""
+    start = ends - block
+    low, high = (np.uint64((1 << (8 * k)) - 1) for k in (min(8, block), max(0, block - 8)))
+    h = (view[start] & low) * _K1
+    if block > 8:
+        h ^= (view[start + 8] & high) * _K2
+    h ^= h >> np.uint64(29)
+    return h * _K1
 
 
 def _view(text: bytes) -> np.ndarray:
@@ -128,37 +129,75 @@ def _view(text: bytes) -> np.ndarray:
 
 
 class Search:
-    """All windows of a block of items."""
+    """All different windows of a block of items, as spans of one buffer of the
+    items' normalised texts, and the items of each (CSR). Built once, on the
+    driver; tasks receive its arrays."""
 
     def __init__(self, items: list[tuple[str | None, bytes]]):
-        owners: dict[bytes, set[str]] = {}
+        self.names = sorted({"" if i is None else i for i, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        known: dict[bytes, int] = {}
+        parts, start, end, owner = [], [], [], []
+        at = 0
         for item_id, text in items:
-            for w in windows(words(text)):
-                owners.setdefault(w, set()).add("" if item_id is None else item_id)
-        self.owners = owners
-        classes: dict[int, list[bytes]] = {}
-        for w in owners:
-            classes.setdefault(min(6, len(w).bit_length()), []).append(w)
-        self.matchers = [Matcher(sorted(ps)) for _, ps in sorted(classes.items())]
+            found = words(text)
+            if not found:
+                continue
+            line = b" " + b" ".join(found) + b" "
+            edge = [0, *accumulate(len(w) + 1 for w in found)]  # the space before each word
+            size = min(WINDOW, len(found))
+            own = number["" if item_id is None else item_id]
+            for a, b in zip(edge, edge[size:]):
+                k = known.setdefault(line[a:b + 1], len(start))
+                if k == len(start):
+                    start.append(at + a)
+                    end.append(at + b + 1)
+                owner.append((k, own))
+            parts.append(line)
+            at += len(line)
+        del known
+        self.buffer = b"".join(parts)
+        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
+        pairs = np.unique(np.array(owner, np.int64).reshape(-1, 2), axis=0)
+        self.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(start) + 1))
+        self.owner = pairs[:, 1]
+        # similar lengths meet in one matcher: under 32 bytes by powers of two, and all others
+        size = np.minimum(6, np.frexp((self.end - self.start).astype(np.float64))[1])
+        view = _view(self.buffer)
+        self.matchers = [Matcher.build(view, np.flatnonzero(size == k), self.start, self.end) for k in np.unique(size)]
 
     def hits(self, texts: list[list[bytes]]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
         """(text index, byte spans hit, item ids) for texts with an occurrence.
         The texts are searched as one buffer; a zero byte keeps them apart."""
         parts = [b" " + b" ".join(w) + b" " for w in texts]
         starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-        buffer = b"\0".join(parts)
-        view = _view(buffer)
+        text = b"\0".join(parts)
+        view = _view(text)
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
         for matcher in self.matchers:
-            for end, k in matcher.find(buffer, view):
-                p = matcher.patterns[k]
-                doc = int(np.searchsorted(starts, end - len(p), "right")) - 1
-                spans.setdefault(doc, []).append((end - len(p) - int(starts[doc]), end - int(starts[doc])))
-                items.setdefault(doc, set()).update(self.owners[p])
+            for stop, k in self._occurrences(matcher, text, view):
+                begin = stop - int(self.end[k] - self.start[k])
+                doc = int(np.searchsorted(starts, begin, "right")) - 1
+                spans.setdefault(doc, []).append((begin - int(starts[doc]), stop - int(starts[doc])))
+                items.setdefault(doc, set()).update(
+                    self.names[i] for i in self.owner[self.owner_at[k]:self.owner_at[k + 1]].tolist())
         for doc in sorted(spans):
             yield doc, spans[doc], items[doc]
 
+    def _occurrences(self, matcher: Matcher, text: bytes, view: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(end position, pattern) of every occurrence: the patterns of a suffix
+        bucket are compared, their first bytes first."""
+        for stop, place in zip(*(x.tolist() for x in matcher.candidates(view, len(text)))):
+            code = matcher.suffixes[place]
+            while place < len(matcher.suffixes) and matcher.suffixes[place] == code:
+                k = int(matcher.order[place])
+                a, b = int(self.start[k]), int(self.end[k])
+                begin = stop - (b - a)
+                if begin >= 0 and text.startswith(self.buffer[a:min(b, a + 8)], begin) and text.startswith(self.buffer[a:b], begin):
+                    yield stop, k
+                place += 1
+
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted ranges [first, last) without overlap."""
@@ -196,40 +235,41 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
 
 
 def find_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text",
-              keep: list[str] | None = None, block_bytes: int = PATTERN_BYTES) -> DataFrame:
+              keep: list[str] | None = None, block_bytes: int = PATTERN_BYTES,
+              pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """The columns ``keep`` of ``docs`` (default: all) in the struct ``row``,
     plus n_words, hit_ranges (merged ranges [first, last) of word numbers) and
-    item_ids (sorted). Each further block of the benchmark reads what the one
-    before it found from the checkpoint folder."""
+    item_ids (sorted). Each further pass reads what the one before it found
+    from the checkpoint folder."""
     rows = packed(docs, text, keep).select(
         "row", "body", F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<first:int,last:int>>").alias("hit_ranges"),
         F.array().cast("array<string>").alias("item_ids"))
     blocks = item_blocks(benchmark, block_bytes=block_bytes)
-    block = next(blocks, [])
-    while block is not None:
-        following = next(blocks, None)
-        sent = spark.sparkContext.broadcast(block)
-        more = following is not None
-        rows = rows.mapInArrow(_task(sent, more), rows.schema if more else rows.drop("body").schema)
-        if more:
+    some = list(islice(blocks, pass_blocks)) or [[]]
+    while some:
+        following = list(islice(blocks, pass_blocks))
+        sent = [spark.sparkContext.broadcast(Search(block)) for block in some]
+        rows = rows.mapInArrow(_task(sent, bool(following)), rows.schema if following else rows.drop("body").schema)
+        if following:
             rows = rows.checkpoint()
-        block = following
+        some = following
     return rows
 
 
-def _task(sent, keep_body: bool):
+def _task(sent: list, keep_body: bool):
     range_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(sent.value)
+        searches = [s.value for s in sent]
         for batch, texts in slices(batches, "body"):
             lists = [words(t) for t in texts]
             ranges = [[(r["first"], r["last"]) for r in x] for x in batch.column("hit_ranges").to_pylist()]
             items = [set(x) for x in batch.column("item_ids").to_pylist()]
-            for doc, spans, ids in search.hits(lists):
-                ranges[doc] = merge(ranges[doc] + hit_words(lists[doc], spans))
-                items[doc] |= ids
+            for search in searches:
+                for doc, spans, ids in search.hits(lists):
+                    ranges[doc] = merge(ranges[doc] + hit_words(lists[doc], spans))
+                    items[doc] |= ids
             out = {"row": batch.column("row"), "body": batch.column("body"),
                    "n_words": pa.array(list(map(len, lists)), pa.int64()),
                    "hit_ranges": pa.array([[{"first": a, "last": b} for a, b in x] for x in ranges], range_type),

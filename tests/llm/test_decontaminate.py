@@ -1,6 +1,9 @@
 """Wu-Manber search against brute force over words."""
 import re
+import time
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,6 +63,7 @@ def test_odd_rows_short_items_and_blocks(spark, odd):
     want = sorted(brute([(r.doc_id, r.text) for r in odd.collect()], [(r.item_id, r.text) for r in items.collect()]), key=str)
     assert sorted(judged(spark, odd, items), key=str) == want
     assert sorted(judged(spark, odd, items, block_bytes=20), key=str) == want
+    assert sorted(judged(spark, odd, items, block_bytes=20, pass_blocks=2), key=str) == want
 
 
 def test_empty_tables(spark, odd, none):
@@ -87,3 +91,34 @@ def test_long_passage_at_lane_edges():
         search = decontaminate.Search([("p", passage.encode())])
         [(_, spans, ids)] = list(search.hits([decontaminate.words(text)]))
         assert ids == {"p"} and decontaminate.hit_words(decontaminate.words(text), spans) == [(1, 61)]
+
+
+@pytest.mark.parametrize("n", [65_535 - 40, 65_535, 65_535 + 40, 70_000])
+def test_windows_of_very_long_words(n):
+    word = ("é" * n)[:n]
+    items = [("long", word), ("two", word + " b"), ("none", "")]
+    search = decontaminate.Search([(i, t.encode()) for i, t in items])
+    docs = [word, "a " + word + " b c", word + "x", "b " + word[:-1], "x" + word]
+    got = {k: ids for k, _, ids in search.hits([decontaminate.words(t.encode()) for t in docs])}
+    assert got == {0: {"long"}, 1: {"long", "two"}}
+
+
+def test_tables_are_built_quickly_and_once():
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{i}" for i in range(20_000)])
+    items = [(str(i), " ".join(rng.choice(vocabulary, 1000)).encode()) for i in range(600)]
+    begun = time.process_time()
+    search = decontaminate.Search(items)
+    assert sum(len(t) for _, t in items) > 3_500_000 and time.process_time() - begun < 8
+    [(_, spans, ids)] = list(search.hits([decontaminate.words(b"x " + items[77][1][:400] + b" y")]))
+    assert ids == {"77"} and spans
+
+
+def test_a_pass_over_the_documents_takes_several_blocks(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "five")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{w}") for i, w in enumerate("one two three four five six".split())],
+                                  "item_id long, text string")
+    found = decontaminate.find_hits(spark, docs, items, block_bytes=4, pass_blocks=6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {r.row.doc_id: r.item_ids for r in found.collect()} == {1: ["0", "1", "2", "3"], 2: ["4"]}
