@@ -7,8 +7,9 @@ of it; each filter is max-pooled over a chunk, the pooled responses give the
 chunk's logit, and the mean of the chunk logits gives the text's probability.
 
 Training is numpy on the driver over a bounded, documented sample
-(``SampleSize``); scoring runs in the tasks over whole texts, a bounded run of
-chunks at a time (a longer text is read in several runs).
+(``SampleSize``); scoring runs in the tasks over whole texts. A text is laid out
+once, however long, and convolved ``BYTES`` bytes at a time, each run seeing the
+bytes that follow it; a score does not depend on where a run ends.
 
 Defined results: a null or empty text scores 0; with no labelled text of
 either class every score is 0; equal texts score equally up to rounding;
@@ -33,8 +34,7 @@ WIDTH, FILTERS = 4, 16
 BLOCK = 32
 CHUNK, STRIDE = 16 * BLOCK, 15 * BLOCK
 _TAIL = 3
-#: Chunks of one text read at a time, and bytes convolved at a time.
-RUN = 512
+#: Bytes convolved at a time.
 BYTES = 1 << 18
 
 
@@ -169,15 +169,13 @@ class Model:
                 count[i] += len(z)
 
         for i, t in enumerate(texts):
-            for a in range(0, len(t), RUN * STRIDE):
-                if a and len(t) - a <= CHUNK - STRIDE - WIDTH - 1:
-                    continue  # covered by the run before
-                batch.append(t[a:a + RUN * STRIDE + CHUNK - STRIDE - WIDTH - 1] if len(t) > RUN * STRIDE else t)
+            if t:
+                batch.append(t)
                 owner.append(i)
-                size += len(batch[-1])
-                if size >= BYTES:
-                    flush()
-                    batch, owner, size = [], [], 0
+                size += len(t)
+            if size >= BYTES:
+                flush()
+                batch, owner, size = [], [], 0
         if batch:
             flush()
         return np.where(count > 0, total / np.maximum(count, 1), -np.inf)
