@@ -3,13 +3,13 @@
 The sample is bounded: at most ``per_class`` rows of each label whose text has
 at most ``max_bytes`` bytes, taken in the order of a hash of the id, so it is
 the same on every run and any partitioning. Everything else a classifier does
-reads all rows and whole texts.
+reads all rows and whole texts. The documents are scanned once for both labels.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,15 +27,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
         F.col(f"`{doc_id}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).distinct()
     short = (docs.select(F.col(f"`{doc_id}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
              .filter(F.octet_length("t").between(1, max_bytes)))
-    texts, ys = [], []
+    # twice as many ids of each label as wanted: some texts are missing or too long
+    ids = None
     for y in (0, 1):
-        # twice as many ids as wanted: some texts are missing or too long
-        ids = usable.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(2 * per_class)
-        rows = (short.join(F.broadcast(ids), "k").orderBy(F.xxhash64("k"), "k", F.xxhash64("t"))
-                .limit(per_class).select("t").collect())
-        texts += [r.t.encode() for r in rows]
-        ys += [y] * len(rows)
-    return texts, np.array(ys, np.float32)
+        own = usable.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(2 * per_class)
+        ids = own if ids is None else ids.union(own)
+    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k", F.xxhash64("t"))
+    rows = (short.join(F.broadcast(ids), "k").withColumn("place", F.row_number().over(order))
+            .filter(F.col("place") <= per_class).orderBy("y", "place").select("y", "t").collect())
+    return [r.t.encode() for r in rows], np.array([r.y for r in rows], np.float32)
 
 
 class Adam:
