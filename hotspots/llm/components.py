@@ -3,9 +3,9 @@
 Each round joins every edge with the smallest neighbour of its ends and
 reconnects to it, until the edges form stars around the smallest vertex of
 each component. Smallest neighbours are partially aggregated before their
-shuffle and come back by a join whose hot vertices adaptive execution splits,
-so no vertex needs its edges in one task. Every round is written to the
-checkpoint folder.
+shuffle. They are written to the checkpoint folder before they are joined back:
+with an exchange right under both sides of the join, adaptive execution splits
+the edges of a hot vertex over tasks. Every half round is written there too.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
     joined = near.join(least, "u")
     if large:
         moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -44,7 +44,7 @@ def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = _distinct(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))).checkpoint()
     state = _state(now)
     while state[0]:
-        now = _star(_star(now, True), False).checkpoint()
+        now = _star(_star(now, True).checkpoint(), False).checkpoint()
         before, state = state, _state(now)
         if state == before:
             break

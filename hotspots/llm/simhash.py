@@ -339,7 +339,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = classes(marked, distance)
     smallest = (marked.groupBy("fingerprint").agg(F.min("id").alias("least"))
                 .join(rooted, F.col("fingerprint") == F.col("fp")))
-    component = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first: then the members of a hot root can be split over tasks
+    component = smallest.groupBy("root").agg(F.min("least").alias("component_id")).checkpoint()
     of_code = rooted.join(component, "root").select("fp", "component_id")
     return (marked.join(of_code, marked.fingerprint == of_code.fp)
             .select("id", "fingerprint", "component_id"))
@@ -362,7 +363,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("row._id").alias("_id"), F.col("row._h").alias("_h"), "fingerprint").checkpoint()
     rooted = classes(marked, distance)
     by_code = marked.groupBy("fingerprint", "_id", "_h").agg(F.count(F.lit(1)).alias("n"))
-    best = (by_code.withColumn("k", F.struct(*[key("_id")[f].alias(f) for f in ("no_id", "id", "h")], "n"))
+    # one row per fingerprint meets the classes, however many copies it has
+    best = (by_code.groupBy("fingerprint")
+            .agg(F.min(F.struct(*[key("_id")[f].alias(f) for f in ("no_id", "id", "h")], "n")).alias("k"))
             .join(rooted, F.col("fingerprint") == F.col("fp"))
             .groupBy("root").agg(F.min("k").alias("k"))
             .select(F.col("k.id").alias("k_id"), F.col("k.h").alias("k_h"), F.col("k.n").alias("k_n"))).checkpoint()

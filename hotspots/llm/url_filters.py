@@ -160,7 +160,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url",
     best = (tokens.join(index, "token")
             .filter(F.rlike(F.col("place"), F.col("regex")))
             .groupBy("place")
-            .agg(F.max(F.struct("rank", "rule", "verdict")).alias("best")))
+            .agg(F.max(F.struct("rank", "rule", "verdict")).alias("best"))
+            .checkpoint())  # written first: then the rows of a hot place can be split over tasks
     is_host = F.col("best.rank.is_host") == 1
     return (parts.join(best, "place", "left")
             .select("row", "host", "path",
