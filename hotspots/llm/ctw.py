@@ -52,6 +52,8 @@ from hotspots.session import scratch_dir
 DEPTH = 5
 #: Text bytes of a group, and of a run of texts inside it.
 GROUP_BYTES = 32 << 20
+#: Bytes of text that one bucket of keys stands for: the number of buckets grows with the corpus.
+BUCKET_BYTES = 64 << 20
 RUN_BYTES = 2 << 20
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
@@ -431,7 +433,8 @@ def score(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: st
     """``row`` (the columns ``keep``, default all), held_out, n_tokens, n_known,
     train_tokens, base_score, n_bytes (with the end byte), score (log10) and
     code_length_per_byte (bits)."""
-    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     packs = packed(docs, text, keep)
     flag = F.coalesce(fold(doc_id, 10) == 0, F.lit(False))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row"),
