@@ -13,9 +13,10 @@ of them that differ by one inserted, deleted or replaced letter:
 * candidates are verified on the original words (edit distance one).
 
 The hash of a neighbour follows from the word's prefix hashes, so a word of n
-letters costs n times the symbols, never n strings of n letters. Rows of long
-words (over ``CARRIED`` letters) carry the word's hash and fetch the word for
-the verification.
+letters costs n times the symbols, never n strings of n letters. Neighbours that
+are no reduced word are mostly dropped before the join, by a bitmap of the
+reduced vocabulary of bounded size. Long words (over ``CARRIED`` letters) are
+joined among themselves by their hashes and fetched for the verification.
 
 A reduced word that more than ``BUCKET`` words share is hot: its words are left
 out of that join and meet their neighbours in a second one in which every letter
@@ -54,6 +55,8 @@ SYMBOLS = 8
 #: Words that may share a reduced word in the first join; letters up to which a row carries its word.
 BUCKET = 1000
 CARRIED = 64
+#: Bits (as a power of two) of the largest bitmap of present keys: 128 MB.
+MAP_BITS = 30
 #: Letters whose neighbours are generated at a time (or one longer word).
 SLICE = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
@@ -142,13 +145,14 @@ class Reduced:
                 yield own[at], self._key(changed, self.length[own[at]])
 
 
-def _keyed(vocab: DataFrame, symbols: int, neighbours: bool) -> DataFrame:
+def _keyed(vocab: DataFrame, symbols: int, carry: bool, present=None) -> DataFrame:
     """Rows (key, own, id, word, n): each word under the key of its reduced word
-    (``own``) and, with ``neighbours``, under those of its lower neighbours. Long
-    words are left out, their ids stand for them."""
+    (``own``) and, given a bitmap of the present keys, under those of its lower
+    neighbours that are among them. Without ``carry`` the id stands for the word."""
     rows = vocab.select("word", "n", F.xxhash64("word").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if present is None else np.frombuffer(present.value, np.uint8)
         for batch in batches:
             names = batch.column("word").to_pylist()
             sizes = np.cumsum([0, *map(len, names)])
@@ -156,57 +160,81 @@ def _keyed(vocab: DataFrame, symbols: int, neighbours: bool) -> DataFrame:
             while first < len(names):
                 last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + SLICE, "right")) - 1)
                 block = Reduced(names[first:last], symbols)
-                carried = pa.array([w if len(w) <= CARRIED else None for w in names[first:last]], pa.string())
                 part = batch.slice(first, last - first)
 
                 def out(index, key, own):
                     index = pa.array(index)
+                    word = part.column("word").take(index) if carry else pa.nulls(len(index), pa.string())
                     return pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(np.full(len(key), own)), part.column("id").take(index),
-                         carried.take(index), part.column("n").take(index)], names=["key", "own", "id", "word", "n"])
+                        [pa.array(key), pa.array(np.full(len(key), own)), part.column("id").take(index), word,
+                         part.column("n").take(index)], names=["key", "own", "id", "word", "n"])
 
                 yield out(np.arange(last - first), block.own(), True)
-                if neighbours:
+                if bits is not None:
                     for index, key in block.lower():
-                        yield out(index, key, False)
+                        slot = key & (8 * len(bits) - 1)
+                        known = np.flatnonzero(bits[slot >> 3] >> (slot & 7) & 1)
+                        yield out(index[known], key[known], False)
                 first = last
 
     return rows.mapInArrow(run, "key long, own boolean, id long, word string, n long")
 
 
-def _verified(vocab: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def _present(spark: SparkSession, keyed: DataFrame, words: int):
+    """Broadcast bitmap of the keys of ``keyed``, by their low bits: about eight
+    bits a word, at most ``2 ** MAP_BITS``. What it lets through by chance only
+    finds no partner."""
+    bits = min(MAP_BITS, max(15, (8 * words).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    parts = (keyed.groupBy(F.bitmap_bucket_number(slot).alias("at"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("map")).toLocalIterator())
+    out = bytearray(1 << (bits - 3))
+    size = 1 << 12  # bytes of one bitmap
+    for r in parts:
+        out[(r["at"] - 1) * size:r["at"] * size] = bytes(r["map"])
+    return spark.sparkContext.broadcast(bytes(out))
+
+
+def _verified(vocab: DataFrame, left: DataFrame, right: DataFrame, carry: bool) -> DataFrame:
     """(a, n_a, b, n_b): words of equal keys at edit distance one."""
-    candidates = (left.select("key", "own", F.col("id").alias("id_a"), F.col("word").alias("a"), F.col("n").alias("n_a"))
-                  .join(right.select("key", F.col("id").alias("id_b"), F.col("word").alias("b"), F.col("n").alias("n_b")),
-                        "key").drop("key"))
-    near = F.levenshtein("a", "b", 1) == 1
-    # two words of one reduced word meet twice; the greater one generates the pair
-    short = candidates.filter(F.col("a").isNotNull() & F.col("b").isNotNull()
-                              & (~F.col("own") | (F.col("a") > F.col("b"))) & near)
-    long = (candidates.filter((F.col("a").isNull() | F.col("b").isNull()) & (F.col("id_a") != F.col("id_b")))
-            .select("id_a", "id_b").distinct())
-    names = vocab.select(F.xxhash64("word").alias("id"), "word", "n").filter(F.length("word") >= CARRIED)
-    fetched = (long.join(names.toDF("id_a", "a", "n_a"), "id_a").join(names.toDF("id_b", "b", "n_b"), "id_b"))
-    columns = ["a", "n_a", "b", "n_b"]
-    return short.select(columns).union(fetched.filter(near).select(columns))
+    found = (left.select("key", "own", F.col("id").alias("id_a"), F.col("word").alias("a"), F.col("n").alias("n_a"))
+             .join(right.select("key", F.col("id").alias("id_b"), F.col("word").alias("b"), F.col("n").alias("n_b")), "key"))
+    if carry:
+        # two words of one reduced word meet twice; the greater one generates the pair
+        found = found.filter(~F.col("own") | (F.col("a") > F.col("b")))
+    else:
+        names = vocab.select(F.xxhash64("word").alias("id"), "word", "n")
+        found = (found.filter("id_a != id_b").select("id_a", "id_b").distinct()
+                 .join(names.toDF("id_a", "a", "n_a"), "id_a").join(names.toDF("id_b", "b", "n_b"), "id_b"))
+    return found.filter(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
+
+
+def _near(vocab: DataFrame, symbols: int, bucket: int, carry: bool) -> DataFrame:
+    spark = vocab.sparkSession
+    every = len(LETTERS)
+    count = vocab.count()
+    right = _keyed(vocab, symbols, carry)
+    left = _keyed(vocab, symbols, carry, _present(spark, right, count))
+    hot = (right.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > bucket)
+           .select("key").checkpoint())
+    if hot.isEmpty():
+        return _verified(vocab, left, right, carry)
+    hot = broadcast_if_small(hot)
+    ids = lambda rows: rows.join(hot, "key", "left_semi").select("id").distinct()
+    of = lambda chosen: vocab.join(chosen, F.xxhash64("word") == F.col("id"), "left_semi")
+    fine = _keyed(of(ids(right)), every, carry)
+    return _verified(vocab, left, right.join(hot, "key", "left_anti"), carry).union(
+        _verified(vocab, _keyed(of(ids(left)), every, carry, _present(spark, fine, count)), fine, carry))
 
 
 def near_pairs(vocab: DataFrame, symbols: int = SYMBOLS, bucket: int = BUCKET) -> DataFrame:
     """(a, n_a, b, n_b): every two words of ``vocab`` at edit distance one, once.
     ``vocab`` (word, n) should be materialised."""
-    right = _keyed(vocab, symbols, False)
-    left = _keyed(vocab, symbols, True)
-    hot = (right.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > bucket)
-           .select("key").checkpoint())
-    if hot.isEmpty():
-        found = _verified(vocab, left, right)
-    else:
-        hot = broadcast_if_small(hot)
-        found = _verified(vocab, left, right.join(hot, "key", "left_anti"))
-        ids = lambda rows: rows.join(hot, "key", "left_semi").select("id").distinct()
-        of = lambda chosen: vocab.join(chosen, F.xxhash64("word") == F.col("id"), "left_semi")
-        every = len(LETTERS)
-        found = found.union(_verified(vocab, _keyed(of(ids(left)), every, True), _keyed(of(ids(right)), every, False)))
+    found = _near(vocab.filter(F.length("word") <= CARRIED), symbols, bucket, True)
+    # a near word of a long one has CARRIED letters or more itself
+    long = vocab.filter(F.length("word") >= CARRIED)
+    if not long.filter(F.length("word") > CARRIED).isEmpty():
+        found = found.union(_near(long, symbols, bucket, False))
     a_first = F.col("a") < F.col("b")
     pick = lambda x, y, name: F.when(a_first, F.col(x)).otherwise(F.col(y)).alias(name)
     return found.select(pick("a", "b", "a"), pick("n_a", "n_b", "n_a"), pick("b", "a", "b"),
