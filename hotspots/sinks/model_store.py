@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from hotspots.operators.explain import Explainer
 from hotspots.operators.imputer import KNNImputerModel
 from hotspots.operators.nearest_days import NearestDays
+from hotspots.operators.neighbors import BlockIndex
 from hotspots.operators.pca import PCAModelLite
 from hotspots.operators.qforest import QuantileForestModel
 from hotspots.operators.scaler import ScalerModel
@@ -26,7 +27,7 @@ def save_pipeline(pipe, path: str) -> None:
     p = path.rstrip("/")
     pipe.forest.forest.write().overwrite().save(f"{p}/forest")
     pipe.forest.leaves.write.mode("overwrite").parquet(f"{p}/leaves")
-    pipe.imputer.donors.write.mode("overwrite").parquet(f"{p}/donors")
+    pipe.imputer.index.rows.select("_cid", "_grp", "_vec").write.mode("overwrite").parquet(f"{p}/donors")
     if pipe.nearest_days is not None:
         pipe.nearest_days.candidates.write.mode("overwrite").parquet(f"{p}/nearest_days")
     params = {
@@ -50,7 +51,7 @@ def load_pipeline(spark: SparkSession, path: str):
     params = json.loads(spark.read.text(f"{p}/params").first()[0])
     forest = RandomForestRegressionModel.load(f"{p}/forest")
     leaves = spark.read.parquet(f"{p}/leaves")
-    donors = spark.read.parquet(f"{p}/donors")
+    donors = BlockIndex(spark.read.parquet(f"{p}/donors"))
     pipe = FirePredictionPipeline(features=params["features"], label=params["label"],
                                   quantile=params["quantile"], num_trees=params["num_trees"])
     pipe.scaler = ScalerModel(**params["scaler"])
