@@ -15,11 +15,15 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
-def to_date_any(col) -> Column:
-    """Parse a date-like value; NULL when nothing matches (F1)."""
-    c = _c(col)
-    parsed = [F.try_to_timestamp(c.cast("string"), F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(*parsed).cast("date")
+def to_date_any(col, strict: bool = True) -> Column:
+    """Parse a date-like value (F1). NULL stays NULL; a text that no format
+    matches is an error, or NULL unless ``strict``."""
+    c = _c(col).cast("string")
+    parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    if not strict:
+        return parsed
+    return (F.when(c.isNull() | parsed.isNotNull(), parsed)
+            .otherwise(F.raise_error(F.concat(F.lit("Invalid date format: "), c)).cast("date")))
 
 
 def as_date(value) -> dt.date:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hotspots.functions.geo import round_scaled_exact
+
 
 def _c(x):
     return F.col(x) if isinstance(x, str) else x
@@ -20,6 +22,21 @@ def percent(score) -> Column:
     return F.round(_c(score) * F.lit(100.0), 2)
 
 
+def percent_text(score) -> Column:
+    """The percentage as shown beside a marker."""
+    return F.concat(F.lit("Significance: "), _rounded(_c(score) * F.lit(100.0), 100.0).cast("string"), F.lit("%"))
+
+
+def position_text(name: str, value) -> Column:
+    """A coordinate with 4 places as shown beside a marker (``Lat`` or ``Lon``)."""
+    return F.concat(F.lit(f"{name}: "), _rounded(_c(value), 10_000.0).cast("string"))
+
+
+def _rounded(x: Column, scale: float) -> Column:
+    """Decimal rounding of the exact binary value."""
+    return round_scaled_exact(x, scale) / F.lit(scale)
+
+
 def signed_for_label(score, label) -> Column:
     """Normal fires show the negated score."""
     return F.when(_c(label) == F.lit("normal"), -_c(score)).otherwise(_c(score))

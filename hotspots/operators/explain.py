@@ -13,10 +13,10 @@ seeded by ``xxhash64(seed, row, sample, feature)`` so a re-run gives the same
 samples. Copy 0 is the row itself. All copies are scored by one call of the
 prediction function (a DataFrame -> DataFrame model, e.g. the quantile
 forest). A copy's binary form is "same bin as the row" per feature; its
-weight is the exponential kernel of its distance to the row. Per row, a
-weighted ridge regression on the binary form (alpha = 1, intercept) is solved
-in ``applyInPandas`` on exactly ``num_samples`` rows, and the features are
-reported with their rule text, ordered by absolute weight.
+weight is the exponential kernel of its distance to the row. Per row, the sums
+of the normal equations of a weighted ridge regression on the binary form
+(alpha = 1, intercept) are partially aggregated, one row of sums is solved, and
+the features are reported with their rule text, ordered by absolute weight.
 """
 
 from __future__ import annotations
@@ -142,51 +142,76 @@ class Explainer:
         schema = ", ".join([f"{key} {key_type}", "sample int", *[f"`{c}` double" for c in cols], *[f"`z_{c}` double" for c in cols]])
         return given.mapInPandas(draw, schema).select(key, "sample", *cols, *[f"z_{c}" for c in cols])
 
-    def explain(self, rows: DataFrame, key: str, predict: Callable[[DataFrame, str], DataFrame],
+    def scored_copies(self, rows: DataFrame, key: str, predict: Callable[[DataFrame, list[str]], DataFrame],
+                      num_samples: int, seed: int) -> DataFrame:
+        """(key, sample, _z, y_hat): the prediction of every copy, beside its
+        same-bin flags as bits. The prediction carries them as part of its key."""
+        bits = sum((F.col(f"z_{c}").cast("long") * F.lit(1 << i) for i, c in enumerate(self.cols)), F.lit(0).cast("long"))
+        copies = self.perturb(rows, key, num_samples, seed).select(key, "sample", bits.alias("_z"), *self.cols)
+        return predict(copies, [key, "sample", "_z"]).select(key, "sample", "_z", "y_hat")
+
+    def flag(self, i: int):
+        """Same-bin flag of feature ``i`` as 0 or 1."""
+        return F.shiftright("_z", i).bitwiseAND(F.lit(1).cast("long")).cast("double")
+
+    def weight(self):
+        """Kernel weight of a copy. Binned features are categorical: the distance is
+        taken on the flags themselves to the row, whose flags are all one."""
+        d = len(self.cols)
+        width = math.sqrt(d) * 0.75
+        return F.sqrt(F.exp(-(F.lit(float(d)) - F.bit_count("_z")) / F.lit(width ** 2)))
+
+    def coefficients(self, rows: DataFrame, key: str, predict: Callable[[DataFrame, list[str]], DataFrame],
+                     num_samples: int = 5000, seed: int = RANDOM_STATE) -> DataFrame:
+        """(key, features, coef, intercept): weighted ridge (alpha 1) of the
+        predictions on the flags, per row. The sums of its normal equations are
+        partially aggregated; one row of sums per explained row is solved."""
+        cols, d = self.cols, len(self.cols)
+        given = rows.select(key, *[F.coalesce(F.col(c), F.lit(self.means.get(c, 0.0))).cast("double").alias(c) for c in cols])
+        scored = self.scored_copies(given, key, predict, num_samples, seed).withColumn("_w", self.weight())
+        w, y = F.col("_w"), F.col("y_hat")
+        z = [self.flag(i) for i in range(d)]
+        sums = [F.sum(w), F.sum(w * y), *[F.sum(w * x) for x in z], *[F.sum(w * x * y) for x in z],
+                *[F.sum(w * z[i] * z[j]) for i in range(d) for j in range(i)]]
+        stats = scored.groupBy(key).agg(F.array(*sums).alias("_sums"))
+
+        def solve(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                s = np.stack(pdf["_sums"].to_numpy())
+                total, wy, wz, wzy = s[:, 0], s[:, 1], s[:, 2:2 + d], s[:, 2 + d:2 + 2 * d]
+                zz = np.zeros((len(s), d, d))
+                low = np.tril_indices(d, -1)
+                zz[:, low[0], low[1]] = s[:, 2 + 2 * d:]
+                zz += zz.transpose(0, 2, 1)
+                zz[:, np.arange(d), np.arange(d)] = wz  # flags are 0 or 1
+                mean_z, mean_y = wz / total[:, None], wy / total
+                A = zz - wz[:, :, None] * mean_z[:, None, :] + np.eye(d)
+                coef = np.linalg.solve(A, (wzy - wz * mean_y[:, None])[:, :, None])[:, :, 0]
+                yield pdf[[key, "features"]].assign(coef=list(coef), intercept=mean_y - (coef * mean_z).sum(1))
+
+        kind = given.schema[key].dataType.simpleString()
+        return (given.select(key, F.array(*cols).alias("features")).join(stats, key)
+                .mapInPandas(solve, f"{key} {kind}, features array<double>, coef array<double>, intercept double"))
+
+    def explain(self, rows: DataFrame, key: str, predict: Callable[[DataFrame, list[str]], DataFrame],
                 num_features: int | None = None, num_samples: int = 5000,
                 seed: int = RANDOM_STATE) -> DataFrame:
-        """One row per explained row: (key, explanation array<struct<rule,weight>>).
-        A missing value is explained as the training mean of its feature, in the
-        same-bin flags as in the rule texts."""
-        rows = rows.select(key, *[F.coalesce(F.col(c), F.lit(self.means.get(c, 0.0))).alias(c) for c in self.cols])
-        d = len(self.cols)
-        k = num_features or d
-        samples = self.perturb(rows, key, num_samples, seed).withColumn(
-            "_sid", F.concat_ws("#", F.col(key).cast("string"), F.col("sample").cast("string")))
-        scored = predict(samples, "_sid")  # (_sid, y_hat)
-        data = samples.join(scored, "_sid")
-        width = math.sqrt(d) * 0.75  # kernel width
-        rules_lookup = {c: self.rules(c) for c in self.cols}
-        quart = self.quart
-        cols = self.cols
-        zcols = [f"z_{c}" for c in cols]
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("sample")
-            Z = pdf[zcols].to_numpy(dtype=float)
-            y = pdf["y_hat"].to_numpy(dtype=float)
-            # binned features are categorical: the distance is taken on the
-            # binary form itself (no rescaling) to the row, which is all ones
-            dist = np.sqrt(((Z - Z[0]) ** 2).sum(axis=1))
-            w = np.sqrt(np.exp(-(dist ** 2) / width ** 2))
-            sw = w.sum()
-            zm, ym = (w[:, None] * Z).sum(0) / sw, (w * y).sum() / sw
-            Zc, yc = Z - zm, y - ym
-            A = (Zc * w[:, None]).T @ Zc + np.eye(d)
-            coef = np.linalg.solve(A, (Zc * w[:, None]).T @ yc)
-            first = pdf.iloc[0]
-            items = []
-            for j, c in enumerate(cols):
-                x = float(first[c])
-                q1, q2, q3 = quart[c]
-                b = 0 if x <= q1 else 1 if x <= q2 else 2 if x <= q3 else 3
-                items.append((rules_lookup[c][b], float(coef[j])))
-            items.sort(key=lambda t: -abs(t[1]))
-            return pd.DataFrame({key: [first[key]], "explanation": [items[:k]]})
-
-        key_type = dict(rows.dtypes)[key]
-        return data.groupBy(key).applyInPandas(
-            solve, f"{key} {key_type}, explanation array<struct<rule:string,weight:double>>")
+        """One row per explained row: (key, explanation array<struct<rule,weight>>),
+        by absolute weight. ``key`` identifies a row. A missing value is explained
+        as the training mean of its feature, in the same-bin flags as in the rule texts."""
+        found = self.coefficients(rows, key, predict, num_samples, seed)
+        k = num_features or len(self.cols)
+
+        def text(i: int, c: str):
+            x, (q1, q2, q3), rules = F.col("features")[i], self.quart[c], [F.lit(r) for r in self.rules(c)]
+            return F.when(x <= q1, rules[0]).when(x <= q2, rules[1]).when(x <= q3, rules[2]).otherwise(rules[3])
+
+        entries = F.array(*[F.struct(-F.abs(F.col("coef")[i]).alias("less"), F.lit(i).alias("place"), text(i, c).alias("rule"),
+                                     F.col("coef")[i].alias("weight")) for i, c in enumerate(self.cols)])
+        ordered = F.slice(F.array_sort(entries), 1, k)
+        return found.select(key, F.transform(ordered, lambda e: F.struct(e["rule"], e["weight"])).alias("explanation"))
 
 
 def fit_explainer(train: DataFrame, cols: list[str]) -> Explainer:

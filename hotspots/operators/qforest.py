@@ -1,41 +1,39 @@
 """Quantile regression forest (M4, M5) after Meinshausen (2006).
 
 Fit: ``pyspark.ml`` random forest with a leaf-index column, grown to Spark's
-own depth bound (30); every training row is mapped to its leaf in every tree
-and the training labels are kept per (tree, leaf) as a histogram
-(tree, leaf, y, w) - the counts are aggregated on the map side, so the table is
-bounded by trees x leaves x distinct labels. The rows are dealt by a hash of
-their values to a fixed number of partitions and sorted there, so the
-per-partition bootstrap seeds, and the forest, do not depend on how the input
-was partitioned or how many rows there are.
+own depth bound (30). The rows are dealt by a hash of their values to a number
+of partitions that follows the number of rows (``ROWS_PER_PARTITION``) and
+sorted there, so the per-partition bootstrap seeds, and the forest, depend on
+the training rows alone and not on how they were partitioned or on the cluster.
+Every training row is mapped to its leaf in every tree, and the training labels
+are kept as one sparse array (label, weight) per (tree, leaf), labels
+ascending: a partitioned table of at most trees x rows entries.
 
 Predict: a row's weight on training label y is the mean over trees of
-count(tree, leaf, y) / size(tree, leaf); the q-quantile is the smallest y
-whose cumulative weight reaches q. The leaf table travels to the tasks in
-blocks of trees of bounded size; each block adds its weights to the row's
-weight per label, so a row stays one row and nothing is shuffled.
+count(tree, leaf, y) / size(tree, leaf). Rows meet the arrays of their leaves by
+a join on (tree, leaf) - broadcast after a size check, else a shuffle - and the
+weights of a row's labels are added by partial aggregation. The q-quantile is
+the smallest label whose cumulative weight reaches q, found in one walk over the
+row's own sorted labels: no array of all labels, nothing through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspots.config import LIMITS, N_ESTIMATORS, QUANTILE, RANDOM_STATE
+from hotspots.config import N_ESTIMATORS, QUANTILE, RANDOM_STATE
+from hotspots.operators.joins import broadcast_if_small
 
 EPS = 1e-9  # cumulative weights of one row end within a few ulps of 1
-PARTITIONS = 8  # fixed: part of the model, like the seed; more for larger training sets
+LEAST_PARTITIONS, ROWS_PER_PARTITION = 8, 10_000  # part of the model, like the seed
 MAX_DEPTH = 30  # Spark's own bound; the original grows without one
 PASS_MB = 48  # split statistics of one pass, per task
-BYTES_PER_LEAF_ROW = 24
 
 
 def weighted_quantile(df: DataFrame, key: list[str], y: str, w: str, q: float,
@@ -53,41 +51,20 @@ def weighted_quantile(df: DataFrame, key: list[str], y: str, w: str, q: float,
 @dataclass
 class QuantileForestModel:
     forest: RandomForestRegressionModel
-    leaves: DataFrame  # tree, leaf, y, w
+    leaves: DataFrame  # tree, leaf, hist: array<struct<y, w>> by y
     num_trees: int
     features_col: str = "features"
 
-    def _tree_blocks(self) -> list[tuple[int, int]]:
-        """Ranges [first, last) of trees whose leaf rows fit the broadcast bound."""
-        sizes = {r["tree"]: r["n"] for r in self.leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
-        most = max(1, LIMITS.broadcast_bytes // BYTES_PER_LEAF_ROW)
-        blocks, first, held = [], 0, 0
-        for t in range(self.num_trees):
-            n = sizes.get(t, 0)
-            if held and held + n > most:
-                blocks.append((first, t))
-                first, held = t, 0
-            held += n
-        return [*blocks, (first, self.num_trees)]
-
-    def weights(self, df: DataFrame, key: list[str]) -> tuple[DataFrame, list[float]]:
-        """(key, _w): per row the weight of every training label, and the labels
-        in order. Labels are counts per cell-day: few distinct values."""
-        spark = df.sparkSession
-        labels = [float(r[0]) for r in self.leaves.select("y").distinct().orderBy("y").collect()]
-        rows = self.forest.transform(df.select(*key, self.features_col)).select(
-            *key, vector_to_array("leaf").cast("array<int>").alias("_leaf"),
-            F.array_repeat(F.lit(0.0), len(labels)).alias("_w"))
-        for first, last in self._tree_blocks():
-            part = (self.leaves.filter(F.col("tree").between(first, last - 1))
-                    .select("tree", "leaf", "y", "w").toPandas().sort_values(["tree", "leaf", "y"]))
-            table = {}
-            for tree, own in part.groupby("tree"):
-                leaf = own["leaf"].to_numpy(np.int64)
-                table[int(tree)] = (np.searchsorted(leaf, np.arange(leaf[-1] + 2)),
-                                    np.searchsorted(labels, own["y"].to_numpy()), own["w"].to_numpy())
-            rows = rows.mapInPandas(_adder(spark.sparkContext.broadcast(table), len(labels)), rows.schema)
-        return rows.drop("_leaf"), labels
+    def weights(self, df: DataFrame, key: list[str]) -> DataFrame:
+        """(key, labels: array<struct<y, w>> by y): the weight of every training
+        label that a row's leaves hold. ``key`` identifies a row."""
+        found = self.forest.transform(df.select(*key, self.features_col)).select(
+            *key, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+        each = (found.join(broadcast_if_small(self.leaves), ["tree", "leaf"])
+                .select(*key, F.explode("hist").alias("h")).select(*key, "h.y", "h.w"))
+        # integer counts per leaf, divided per leaf: the order of adding moves only the last bits
+        summed = each.groupBy(*key, "y").agg(F.sum("w").alias("w"))
+        return summed.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("y", "w"))).alias("labels"))
 
     def predict(self, df: DataFrame, key: list[str], q: float = QUANTILE,
                 out: str = "y_hat") -> DataFrame:
@@ -97,41 +74,27 @@ class QuantileForestModel:
         return self._quantiles(df, key, {f"q{int(round(q * 100)):02d}": q for q in qs})
 
     def _quantiles(self, df: DataFrame, key: list[str], wanted: dict[str, float]) -> DataFrame:
-        weighted, labels = self.weights(df, key)
-        values = F.array(*[F.lit(y) for y in labels])
-        cum = F.transform("_w", lambda x, i: F.aggregate(F.slice("_w", 1, i + 1), F.lit(0.0), lambda a, b: a + b))
-        total = F.aggregate("_w", F.lit(0.0), lambda a, b: a + b)
-        with_cum = weighted.select(*key, cum.alias("_c"), total.alias("_t"))
-
-        def quantile(q: float) -> Column:
-            below = F.filter("_c", lambda c: c / F.col("_t") < F.lit(q - EPS))
-            return F.get(values, F.size(below))
-
-        return with_cum.select(*key, *[quantile(q).alias(name) for name, q in wanted.items()])
-
-
-def _adder(sent, n_labels: int):
-    """Adds the leaf weights of a block of trees to the rows' weights per label."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = sent.value
-        for batch in batches:
-            if len(batch):
-                leaf = np.stack(batch["_leaf"].to_numpy())
-                total = np.stack(batch["_w"].to_numpy()).ravel()
-                for tree, (start, label, w) in table.items():
-                    a, b = start[leaf[:, tree]], start[leaf[:, tree] + 1]
-                    n = b - a
-                    row = np.repeat(np.arange(len(leaf)), n)
-                    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-                    total = total + np.bincount(row * n_labels + label[at], w[at], len(total))
-                batch = batch.assign(_w=list(total.reshape(len(leaf), n_labels)))
-            yield batch
-    return run
+        total = F.aggregate("labels", F.lit(0.0), lambda n, x: n + x["w"])
+        weighted = self.weights(df, key).withColumn("_total", total)
+        return weighted.select(*key, *[sorted_quantile("labels", "_total", q).alias(name) for name, q in wanted.items()])
+
+
+def sorted_quantile(labels: str, total: str, q: float) -> Column:
+    """Smallest y of an array (y, w) sorted by y whose cumulative weight reaches
+    the share ``q`` of the total, in one walk."""
+    limit = F.lit(q - EPS) * F.col(total)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("y"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = acc["sum"] + x["w"]
+        return F.struct(now.alias("sum"), F.coalesce(acc["y"], F.when(now >= limit, x["y"])).alias("y"))
+
+    return F.aggregate(labels, start, step, lambda acc: acc["y"])
 
 
 def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features",
                         num_trees: int = N_ESTIMATORS, seed: int = RANDOM_STATE,
-                        max_depth: int = MAX_DEPTH, max_bins: int = 32, partitions: int = PARTITIONS,
+                        max_depth: int = MAX_DEPTH, max_bins: int = 32, partitions: int | None = None,
                         checkpoint: bool = True) -> QuantileForestModel:
     # deep trees have many nodes: a task's statistics of one pass are bounded by
     # PASS_MB; checkpoints of the node-id cache go to the shared folder
@@ -141,6 +104,8 @@ def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features
                                maxMemoryInMB=PASS_MB, cacheNodeIds=True, checkpointInterval=10)
     train = df.select(features_col, F.col(label).cast("double").alias(label))
     place = F.xxhash64(vector_to_array(features_col), label)
+    if partitions is None:
+        partitions = max(LEAST_PARTITIONS, -(-train.count() // ROWS_PER_PARTITION))
     train = (train.withColumn("_h", place).repartition(partitions, "_h").sortWithinPartitions("_h", label)
              .drop("_h").persist(StorageLevel.MEMORY_AND_DISK))
     forest = rf.fit(train)
@@ -148,10 +113,11 @@ def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features
         F.col(label).alias("y"), F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
     hist = (leaf.withColumn("leaf", F.col("leaf").cast("int"))
             .groupBy("tree", "leaf", "y").agg(F.count(F.lit(1)).alias("cnt")))
-    size = Window.partitionBy("tree", "leaf")
-    leaves = hist.withColumn(
-        "w", F.col("cnt") / F.sum("cnt").over(size) / F.lit(float(num_trees))).select(
-        "tree", "leaf", "y", "w")
+    one = F.sort_array(F.collect_list(F.struct("y", "cnt")))
+    size = F.aggregate("one", F.lit(0).cast("long"), lambda n, x: n + x["cnt"])
+    share = lambda x: F.struct(x["y"].alias("y"), (x["cnt"] / F.col("size") / F.lit(float(num_trees))).alias("w"))
+    leaves = (hist.groupBy("tree", "leaf").agg(one.alias("one")).withColumn("size", size)
+              .select("tree", "leaf", F.transform("one", share).alias("hist")))
     leaves = leaves.checkpoint(eager=True) if checkpoint else leaves.cache()
     train.unpersist()
     return QuantileForestModel(forest, leaves, num_trees, features_col)

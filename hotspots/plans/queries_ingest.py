@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hotspots.config import FIXTURE_END, FIXTURE_PERIODS, FIXTURE_START
-from hotspots.functions.calendar import to_date_any
+from hotspots.functions.calendar import DATE_FORMATS, to_date_any
 from hotspots.operators import densify as D
 from hotspots.operators.prefix import dense_index
 from hotspots.operators.spatial import ring_edges
@@ -365,6 +365,22 @@ def q_f1(spark, sf):
                     to_date_any(F.date_format("acq_date", "yyyy/MM/dd")).alias("d_slash"))
 
 
+@register("f1_mixed_dates", W(["fires"], """
+SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL ELSE acq_date END AS parsed, event_id % 7 = 5 AS refused FROM fires"""))
+def q_f1m(spark, sf):
+    """Dates as texts of all accepted formats in one column: those that parse,
+    and the invalid ones that the strict form would raise an error for."""
+    f = X.fires(Tables(spark, sf))
+    d = F.col("acq_date")
+    kind = F.col("event_id") % 7
+    text = F.coalesce(*[F.when(kind == i, F.date_format(d, form)) for i, form in enumerate(DATE_FORMATS)])
+    valid = F.when(kind < 5, text)
+    checked = F.coalesce(to_date_any(valid), F.when(kind == 5, d))
+    spoilt = F.when(kind == 5, F.concat(F.lit("day "), F.date_format(d, "D")))
+    return f.select("event_id", checked.alias("parsed"),
+                    (spoilt.isNotNull() & to_date_any(spoilt, strict=False).isNull()).alias("refused"))
+
+
 @register("f2_f5_date_functions", W(["fires"], """
 SELECT event_id, CAST(year(acq_date) AS INTEGER) AS year, CAST(dayofyear(acq_date) AS INTEGER) AS day_of_year,
   CAST(date_diff('day', DATE '2024-01-01', acq_date) AS DOUBLE) AS days_since_start,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from hotspots.config import FEATURES, FIXTURE_PERIODS
+from hotspots.config import FEATURES, FIXTURE_PERIODS, PCA_VARIANCE, RANDOM_STATE
 from hotspots.functions.calendar import date_lit
 from hotspots.operators import densify as D
 from hotspots.operators.explain import quartile_table, stack_features
 from hotspots.operators.imputer import fit_knn_imputer
+from hotspots.operators.joins import broadcast_if_small
 from hotspots.operators.kmeans import kmeans_groups
 from hotspots.operators.nearest_days import NearestDays
 from hotspots.operators.neighbors import nearest
@@ -137,6 +138,83 @@ def q_m3r(spark, sf):
     return p.transform(z).select(*KEY, r6(total).alias("squared_norm"))
 
 
+def _eigen_sql() -> str:
+    """CTEs up to ``kept``: the principal components in SQL. The covariance matrix
+    (a list, row by row) is squared ``_SQUARINGS`` times, which leaves its leading
+    eigenvector in every column; its part is taken out and the next one follows."""
+    d = len(FEATURES)
+    cov = ", ".join(f"covar_pop({a}, {b})" for a in FEATURES for b in FEATURES)
+    product = (f"list_transform(range({d * d}), lambda i: list_sum(list_transform(range({d}), "
+               f"lambda k: m[(i // {d}) * {d} + k + 1] * m[k * {d} + i % {d} + 1])))")
+    # the column of the largest diagonal entry, so that it is not orthogonal to the vector
+    column = (f"list_transform(range({d}), lambda i: m[i * {d} + 1 + list_position(list_transform(range({d}), lambda j: m[j * {d} + j + 1]), "
+              f"list_max(list_transform(range({d}), lambda j: m[j * {d} + j + 1]))) - 1])")
+    times = f"list_sum(list_transform(range({d * d}), lambda i: c[i + 1] * v[i // {d} + 1] * v[i % {d} + 1]))"
+    scaled = lambda x: f"list_transform({x}, lambda q: q / list_max(list_transform({x}, lambda z: abs(z))))"
+    return _imputed_sql() + f"""
+, ready AS MATERIALIZED (SELECT * FROM imp), cov AS MATERIALIZED (SELECT [{cov}] AS c FROM ready),
+steps AS (
+  SELECT 1 AS component, 0 AS squared, c, {scaled('c')} AS m, CAST([] AS DOUBLE[]) AS v, CAST(0 AS DOUBLE) AS variance FROM cov
+  UNION ALL
+  SELECT CASE WHEN squared = {_SQUARINGS} + 1 THEN component + 1 ELSE component END,
+    CASE WHEN squared = {_SQUARINGS} + 1 THEN 0 ELSE squared + 1 END,
+    CASE WHEN squared = {_SQUARINGS} + 1 THEN list_transform(range({d * d}), lambda i: c[i + 1] - variance * v[i // {d} + 1] * v[i % {d} + 1]) ELSE c END,
+    CASE WHEN squared < {_SQUARINGS} THEN {scaled(product)}
+         WHEN squared = {_SQUARINGS} + 1 THEN {scaled(f"list_transform(range({d * d}), lambda i: c[i + 1] - variance * v[i // {d} + 1] * v[i % {d} + 1])")}
+         ELSE m END,
+    CASE WHEN squared = {_SQUARINGS} THEN list_transform({column}, lambda x: x / sqrt(list_sum(list_transform({column}, lambda z: z * z)))) ELSE v END,
+    CASE WHEN squared = {_SQUARINGS} + 1 THEN 0 ELSE variance END
+  FROM (SELECT component, squared, c, m, v, CASE WHEN squared = {_SQUARINGS} + 1 THEN {times} ELSE 0 END AS variance FROM steps) s
+  WHERE component <= {d}),
+found AS (SELECT component, v, {times} AS variance FROM steps WHERE squared = {_SQUARINGS} + 1 AND component <= {d}),
+shares AS (SELECT *, variance / SUM(variance) OVER () AS share,
+  SUM(variance) OVER (ORDER BY component) / SUM(variance) OVER () AS reached FROM found),
+kept AS (SELECT * FROM shares WHERE reached - share <= {PCA_VARIANCE})"""
+
+
+def _recursive(body: str) -> str:
+    return W(["features"], body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_SQUARINGS = 14
+
+
+@register("m3_pca_components", lambda: _recursive(_eigen_sql() + """
+SELECT CAST(component AS INTEGER) AS component, round(variance, 6) AS variance, round(share, 6) AS share FROM kept"""))
+def q_m3c(spark, sf):
+    """The kept components: how much variance the scores have along each, as a
+    value and as a share; the fewest that reach more than 0.95 together. A wrong
+    basis has other variances, a wrong cut another number of rows."""
+    z = _imputed_training(spark, sf)
+    p = fit_pca(z, FEATURES)
+    spread = p.transform(z).agg(*[F.var_pop(c).alias(c) for c in p.out_cols()])
+    total = z.agg(sum((F.var_pop(c) for c in FEATURES), F.lit(0.0)).alias("total"))
+    each = F.array(*[F.struct(F.lit(i + 1).alias("component"), F.col(c).alias("variance")) for i, c in enumerate(p.out_cols())])
+    return (spread.join(F.broadcast(total)).select(F.explode(each).alias("c"), "total")  # one row each
+            .select("c.component", r6("c.variance").alias("variance"), r6(F.col("c.variance") / F.col("total")).alias("share")))
+
+
+@register("m3_pca_kept_length", lambda: _recursive(_eigen_sql() + f"""
+, means AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in FEATURES)} FROM ready)
+SELECT grid_cell, acq_date, CAST(COUNT(*) AS INTEGER) AS k, round(SUM(score * score), 5) AS squared_length
+FROM (SELECT grid_cell, acq_date, {' + '.join(f'v[{i + 1}] * ({c} - m_{c})' for i, c in enumerate(FEATURES))} AS score
+  FROM ready, means, kept) s GROUP BY grid_cell, acq_date"""))
+def q_m3k(spark, sf):
+    """Squared length of every row's kept scores: the sign-free form of the
+    projection, which only the right subspace gives."""
+    z = _imputed_training(spark, sf)
+    p = fit_pca(z, FEATURES)
+    total = sum((F.col(c) * F.col(c) for c in p.out_cols()), F.lit(0.0))
+    return p.transform(z).select(*KEY, F.lit(p.k).alias("k"), F.round(total, 5).alias("squared_length"))
+
+
+def _imputed_training(spark, sf):
+    """Scaled and imputed features of the training rows."""
+    tr = _period(_features(spark, sf), TR)
+    scaled = fit_scaler(tr, FEATURES).transform(tr).select(*KEY, *FEATURES)
+    return fit_knn_imputer(scaled, FEATURES, KEY).transform(scaled, KEY).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 # ---------------------------------------------------------------- M5 step (O)
 @register("m5_weighted_quantile", W(["series"], """
 , g AS (SELECT grid_cell, fire_count AS y, COUNT(*) AS w FROM series GROUP BY ALL),
@@ -168,16 +246,29 @@ SELECT grid_cell, acq_date, CAST(1.0 AS DOUBLE) AS weight, TRUE AS in_labels
 FROM features WHERE acq_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'"""))
 def q_m5f(spark, sf):
     """Every row's weights over the training labels sum to one, and its
-    quantile is a training label."""
+    quantile is one of the labels that its leaves hold."""
     f = _features(spark, sf)
     pipe = FirePredictionPipeline().fit_rf(_period(f, TR))
-    weighted, labels = pipe.forest.weights(pipe.prepare(_period(f, TE)), KEY)
-    total = F.aggregate("_w", F.lit(0.0), lambda a, b: a + b)
-    known = F.array(*[F.lit(y) for y in labels])
-    return (weighted.join(pipe.forest.predict(pipe.prepare(_period(f, TE)), KEY), KEY)
+    ready = pipe.prepare(_period(f, TE))
+    total = F.aggregate("labels", F.lit(0.0), lambda n, x: n + x["w"])
+    known = F.transform("labels", lambda x: x["y"])
+    return (pipe.forest.weights(ready, KEY).join(pipe.forest.predict(ready, KEY), KEY)
             .select(*KEY, r6(total).alias("weight"), F.array_contains(known, F.col("y_hat")).alias("in_labels")))
 
 
+@register("m5_label_weights", W(["features"], f""", {_TRAIN_SQL}
+SELECT CAST(fire_count AS DOUBLE) AS y, CAST(COUNT(*) AS DOUBLE) AS weight FROM tr GROUP BY fire_count"""))
+def q_m5l(spark, sf):
+    """Over the training rows themselves, the weights of a label add up to the
+    number of rows that have it: a tree's leaf of n rows gives each of its n
+    rows 1/n of its labels. A lost, doubled or moved weight shows here."""
+    f = _features(spark, sf)
+    train = _period(f, TR)
+    pipe = FirePredictionPipeline().fit_rf(train)
+    return (pipe.forest.weights(pipe.prepare(train), KEY).select(F.explode("labels").alias("l"))
+            .groupBy(F.col("l.y").alias("y")).agg(r6(F.sum("l.w")).alias("weight")))
+
+
 @register("m14_fire_scoring_model")
 def q_m14(spark, sf):
     pipe, f = _pipeline(spark, sf)
@@ -313,6 +404,49 @@ def q_m11(spark, sf):
     return pipe.explain(rows, "row_id")
 
 
+def _explained_sql() -> str:
+    quart = ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}, avg({c}) AS m_{c}" for c in FEATURES)
+
+    def rule(c):
+        x, two = f"COALESCE(e.{c}, m_{c})", lambda i: f"format('{{:.2f}}', CAST(q_{c}[{i}] AS DOUBLE))"
+        return (f"CASE WHEN {x} <= q_{c}[1] THEN '{c} <= ' || {two(1)} WHEN {x} <= q_{c}[2] THEN {two(1)} || ' < {c} <= ' || {two(2)} "
+                f"WHEN {x} <= q_{c}[3] THEN {two(2)} || ' < {c} <= ' || {two(3)} ELSE '{c} > ' || {two(3)} END")
+
+    rules = " || '; ' || ".join(rule(c) for c in FEATURES)
+    return W(["features"], f""", {_TRAIN_SQL}, q AS (SELECT {quart} FROM tr)
+SELECT grid_cell, acq_date, {rules} AS rules, CAST(2000 AS BIGINT) AS copies, CAST(0.0 AS DOUBLE) AS equation_error
+FROM features e, q WHERE acq_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-30' AND fire_count >= 9""")
+
+
+@register("m12_explained_equations", _explained_sql())
+def q_m12e(spark, sf):
+    """The days of many fires explained: the rule of every feature, and how far
+    the reported weights are from solving the weighted normal equations, summed
+    again from the copies (sum of w r = 0 and of w z r = weight for each flag z,
+    r being what the surrogate leaves of a copy's prediction)."""
+    f = _features(spark, sf)
+    pipe = FirePredictionPipeline(num_trees=20).fit_rf(_period(f, TR)).fit_views(_period(f, TR))
+    ex, predict = pipe.explainer, pipe.predict_fn()
+    rows = (_period(f, TE).filter("fire_count >= 9")
+            .withColumn("row_id", F.concat_ws("|", "grid_cell", F.col("acq_date").cast("string"))))
+    given = rows.select("row_id", *[F.coalesce(F.col(c), F.lit(ex.means[c])).cast("double").alias(c) for c in FEATURES])
+    explained = ex.explain(rows, "row_id", predict, num_samples=2000).checkpoint()
+    named = F.map_from_entries("explanation")
+    # the weights as reported, brought back to the order of the features by their rules
+    fitted = ex.coefficients(rows, "row_id", predict, 2000).join(explained, "row_id")
+    texts = [[F.lit(r) for r in ex.rules(c)] for c in FEATURES]
+    own = [F.when(named[r[0]].isNotNull(), r[0]).when(named[r[1]].isNotNull(), r[1]).when(named[r[2]].isNotNull(), r[2])
+           .otherwise(r[3]) for r in texts]
+    known = fitted.select("row_id", F.array(*own).alias("_rules"), F.array(*[named[r] for r in own]).alias("_b"), "intercept")
+    copies = ex.scored_copies(given, "row_id", predict, 2000, RANDOM_STATE).join(broadcast_if_small(known), "row_id")
+    left = F.col("y_hat") - F.col("intercept") - sum((F.col("_b")[i] * ex.flag(i) for i in range(len(FEATURES))), F.lit(0.0))
+    errors = [F.abs(F.sum(ex.weight() * left)), *[F.abs(F.sum(ex.weight() * ex.flag(i) * left) - F.first(F.col("_b")[i]))
+                                                  for i in range(len(FEATURES))]]
+    checked = copies.groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"), F.round(F.greatest(*errors), 6).alias("equation_error"),
+                                           F.first(F.array_join("_rules", "; ")).alias("rules"))
+    return rows.select(*KEY, "row_id").join(checked, "row_id").select(*KEY, "rules", "copies", "equation_error")
+
+
 # ---------------------------------------------------------------- M13 (rows)
 def _scored_points(spark, sf):
     from hotspots.plans.queries_scoring import _series

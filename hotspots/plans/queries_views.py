@@ -110,7 +110,9 @@ cg AS (SELECT acq_date, CASE WHEN abnormal_label_decay = 1 THEN 'abnormal' ELSE
   FROM sfc GROUP BY ALL),
 cs AS (SELECT *, CASE WHEN label = 'normal' THEN -ms ELSE ms END AS sm FROM cg)
 SELECT acq_date, label, cluster, clat AS center_lat, clon AS center_lon,
-  round(sm * 100, 2) AS significance_pct, size, round(5 + ln(1 + CAST(size AS DOUBLE)) * 2, 6) AS marker_size,
+  'Lat: ' || CAST(CAST(format('{:.4f}', clat) AS DOUBLE) AS VARCHAR) AS lat_text,
+  'Lon: ' || CAST(CAST(format('{:.4f}', clon) AS DOUBLE) AS VARCHAR) AS lon_text,
+  round(sm * 100, 2) AS significance_pct, 'Significance: ' || CAST(CAST(format('{:.2f}', sm * 100) AS DOUBLE) AS VARCHAR) || '%' AS significance_text, size, round(5 + ln(1 + CAST(size AS DOUBLE)) * 2, 6) AS marker_size,
   CASE WHEN label = 'abnormal' THEN 'War-related' ELSE 'Non war-related' END AS fire_type,
   CASE WHEN size > 1 THEN 'Cluster of ' || CAST(size AS VARCHAR) || ' fires' ELSE 'Single fire' END AS cluster_size
 FROM cs""").replace("\n\n,", ",", 1))
@@ -118,8 +120,8 @@ def q_a10(spark, sf):
     f = scored_fire_frame(spark, sf, keep_cell=True).withColumnRenamed("grid_cell", "cluster")
     c = V.cluster_summary(f)
     # score in percent with 2 places (display precision); centres are exact micro-degree means
-    return c.select("acq_date", "label", "cluster", "center_lat", "center_lon", "significance_pct",
-                    "size", r6("marker_size").alias("marker_size"), "fire_type", "cluster_size")
+    return c.select("acq_date", "label", "cluster", "center_lat", "center_lon", "lat_text", "lon_text",
+                    "significance_pct", "significance_text", "size", r6("marker_size").alias("marker_size"), "fire_type", "cluster_size")
 
 
 @register("j7_region_day_layers", vsql("""

@@ -76,10 +76,9 @@ class FirePredictionPipeline:
         return df.join(pred, key, "left")
 
     def predict_fn(self):
-        """DataFrame -> DataFrame scoring function for the explainer: (key, y_hat)."""
-        def fn(df: DataFrame, key: str) -> DataFrame:
-            prepared = self.prepare(df, [key])
-            return self.forest.predict(prepared, [key], self.quantile)
+        """DataFrame -> DataFrame scoring function for the explainer: (key columns, y_hat)."""
+        def fn(df: DataFrame, key: list[str]) -> DataFrame:
+            return self.forest.predict(self.prepare(df, key), key, self.quantile)
         return fn
 
     def fit_threshold(self, calibration: DataFrame) -> "FirePredictionPipeline":

@@ -144,8 +144,9 @@ def cluster_summary(scored_with_cluster: DataFrame, cluster_col: str = "cluster"
     return g.select(
         "acq_date", "label", cluster_col, "center_lat", "center_lon",
         s.alias("mean_significance"), "size", display.marker_size("size").alias("marker_size"),
-        F.round("center_lat", 4).alias("lat_text"), F.round("center_lon", 4).alias("lon_text"),
-        display.percent(s).alias("significance_pct"),
+        display.position_text("Lat", "center_lat").alias("lat_text"),
+        display.position_text("Lon", "center_lon").alias("lon_text"),
+        display.percent(s).alias("significance_pct"), display.percent_text(s).alias("significance_text"),
         F.when(F.col("label") == "abnormal", F.lit(ABNORMAL_TEXT)).otherwise(F.lit(NORMAL_TEXT))
         .alias("fire_type"),
         F.when(F.col("size") > 1, F.concat(F.lit("Cluster of "), F.col("size").cast("string"),

@@ -3,11 +3,14 @@ plain table writers for neighbours and explanations (SK2, SK3)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspots.sources.landing import read_kind
-from hotspots.sources.paths import exists
+from hotspots.sources.landing import COMMITS, MANIFEST, committed, read_kind
+from hotspots.sources.paths import exists, write_new_text
 
 
 def write_scored_fires(scored: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -57,22 +60,31 @@ def keep_last(old: DataFrame, new: DataFrame, keys: list[str] | None,
 
 def upsert_yearly(new: DataFrame, root: str, kind: str, keys: list[str] | None,
                   order: list[str] | None = None) -> DataFrame:
-    """Merge ``new`` into ``<root>/<kind>/year=YYYY`` and rewrite only the years
-    it touches (dynamic partition overwrite). The merged rows are checkpointed
-    to the shared checkpoint folder first, so the rewrite never reads the files
-    it replaces and a lost executor recomputes from the checkpoint. Only a table
-    that is not there counts as a first load: any read error is raised before
-    anything is written."""
+    """Merge ``new`` into the years of ``<root>/<kind>`` that it touches; rows
+    without a date are a year of their own. The merged years are written beside
+    the table, as one commit, and become visible together when the next manifest
+    is: a job that dies before leaves every old year as it was. Only a table that
+    is not there counts as a first load (keys hold there, too): any read error is
+    raised before anything is written. Two writers that started from the same
+    manifest cannot both commit: the later one gets an error."""
     spark = new.sparkSession
     new = new.withColumn("acq_date", F.col("acq_date").cast("date"))
-    years = [r[0] for r in new.select(F.year("acq_date")).distinct().collect()]  # a few years
-    if exists(spark, f"{root.rstrip('/')}/{kind}"):
-        old = read_kind(spark, root, kind).filter(F.col("year").isin(years)).drop("year")
-        merged = keep_last(old, new, keys, order)
-    else:
-        merged = new.distinct()
-    merged = merged.withColumn("year", F.year("acq_date")).checkpoint(eager=True)
-    (merged.sortWithinPartitions("acq_date").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("year")
-     .option("header", True).csv(f"{root.rstrip('/')}/{kind}"))
+    base = f"{root.rstrip('/')}/{kind}"
+    touched = [r[0] for r in new.select(F.year("acq_date")).distinct().collect()]  # a few years
+    number, years = committed(spark, root, kind)
+    old = new.limit(0)
+    if exists(spark, base):
+        own = F.col("year").isin([y for y in touched if y is not None])
+        old = (read_kind(spark, root, kind)
+               .filter(own | F.col("year").isNull() if None in touched else own).drop("year"))
+    merged = keep_last(old, new, keys, order).withColumn("year", F.year("acq_date"))
+    commit = uuid.uuid4().hex
+    (merged.repartition("year").sortWithinPartitions("acq_date").write.partitionBy("year")
+     .option("header", True).csv(f"{base}/{COMMITS}/commit={commit}"))
+    names = ["null" if y is None else str(y) for y in touched]
+    _switch(spark, f"{base}/{MANIFEST}-{number + 1:09d}.json", {**years, **dict.fromkeys(names, commit)})
     return read_kind(spark, root, kind).drop("year")
+
+
+def _switch(spark: SparkSession, path: str, years: dict[str, str]) -> None:
+    write_new_text(spark, path, json.dumps(years, sort_keys=True))

@@ -3,6 +3,8 @@
 Layout of a landing root (written by ``land_yearly`` and the upsert sink)::
 
     <root>/<kind>/year=<YYYY>/part-*.csv      kind = fire | weather
+    <root>/<kind>/_commits/commit=<id>/year=<YYYY>/part-*.csv, years an upsert wrote
+    <root>/<kind>/_manifest-<n>.json          which commit holds each of those years
 
 ``year`` is a partition column, so a date window prunes whole years before
 any file is opened (SC1, SC2). Static layers are folders whose names end with
@@ -11,6 +13,7 @@ the grid resolution (``<layer>_<res>.csv``), matched with a path glob (SC3).
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from pyspark.sql import types as T
 
 from hotspots.functions.calendar import as_date, date_lit
 from hotspots.functions.scoring import nan_to_null
-from hotspots.sources.paths import glob
+from hotspots.sources.paths import glob, read_text
 
 FIRE_SCHEMA = T.StructType([
     T.StructField("latitude", T.DoubleType()),
@@ -34,6 +37,7 @@ WEATHER_SCHEMA = T.StructType([
     T.StructField("cloud_cover", T.DoubleType()),
 ])
 
+COMMITS, MANIFEST = "_commits", "_manifest"
 KIND_SCHEMA = {"fire": FIRE_SCHEMA, "weather": WEATHER_SCHEMA}
 
 
@@ -44,11 +48,37 @@ def land_yearly(df: DataFrame, root: str, kind: str, mode: str = "append") -> No
      .csv(f"{root.rstrip('/')}/{kind}"))
 
 
+def committed(spark: SparkSession, root: str, kind: str) -> tuple[int, dict[str, str]]:
+    """Number of the newest manifest (0: none) and, per year that an upsert has
+    written, the commit that holds it. The year of rows without a date is ``null``."""
+    found = glob(spark, f"{root.rstrip('/')}/{kind}/{MANIFEST}-*.json")
+    if not found:
+        return 0, {}
+    return int(found[-1].rsplit("-", 1)[1].split(".")[0]), json.loads(read_text(spark, found[-1]))
+
+
+def year_folder(year: str) -> str:
+    return f"year={'__HIVE_DEFAULT_PARTITION__' if year == 'null' else year}"
+
+
 def read_kind(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """All landed rows of one kind, with the ``year`` partition column."""
-    schema = T.StructType(list(KIND_SCHEMA[kind].fields) + [T.StructField("year", T.IntegerType())])
-    return nan_to_null(spark.read.schema(schema).option("header", True)
-                       .csv(f"{root.rstrip('/')}/{kind}"))
+    """All landed rows of one kind, with the ``year`` partition column. Years that
+    the newest manifest names are read from their commits, all others as landed."""
+    base = f"{root.rstrip('/')}/{kind}"
+    year = T.StructField("year", T.IntegerType())
+    schema = T.StructType([*KIND_SCHEMA[kind].fields, year])
+    _, years = committed(spark, root, kind)
+    read = lambda: spark.read.option("header", True)  # noqa: E731  a reader keeps its options
+    if not years:
+        return nan_to_null(read().schema(schema).csv(base))
+    parts = [read().schema(T.StructType([*schema.fields, T.StructField("commit", T.StringType())]))
+             .option("basePath", f"{base}/{COMMITS}")
+             .csv([f"{base}/{COMMITS}/commit={c}/{year_folder(y)}" for y, c in sorted(years.items())]).drop("commit")]
+    if glob(spark, f"{base}/year=*"):
+        known = [int(y) for y in years if y != "null"]
+        as_landed = F.col("year").isNull() if "null" not in years else F.lit(False)
+        parts.append(read().schema(schema).csv(base).filter(~F.col("year").isin(known) | as_landed))
+    return nan_to_null(reduce(DataFrame.unionByName, parts))
 
 
 def scan_years(spark: SparkSession, root: str, kind: str, start, end) -> DataFrame:

@@ -3,6 +3,8 @@ system layer (local folders, object stores and HDFS alike)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -33,3 +35,28 @@ def size(spark: SparkSession, path: str) -> int:
     """Bytes of a file or of everything below a folder."""
     fs, p = _fs(spark, path)
     return int(fs.getContentSummary(p).getLength())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that appears whole or not at all: written under another
+    name and renamed. An error if it is there already."""
+    fs, p = _fs(spark, path)
+    _, draft = _fs(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(p) or not fs.rename(draft, p):
+        fs.delete(draft, False)
+        raise FileExistsError(path)

@@ -86,3 +86,16 @@ def test_literal_scores_and_classes(spark):
     assert [r[0] for r in pop.select(display.cap("p", 250.0)).collect()] == [250.0, None, 10.0]
     ms = spark.range(1).select(display.marker_size(F.lit(3))).first()[0]
     assert abs(ms - (5 + 2 * math.log1p(3))) < 1e-12
+
+
+def test_a_date_that_no_format_matches_is_an_error(spark):
+    import pytest
+
+    from hotspots.functions.calendar import to_date_any
+
+    good = spark.createDataFrame([("2024-01-05",), ("05.01.2024",), ("2024/01/05",), (None,)], "d string")
+    assert [str(r[0]) for r in good.select(to_date_any("d")).collect()] == ["2024-01-05"] * 3 + ["None"]
+    bad = spark.createDataFrame([("2024-01-05",), ("soon",)], "d string")
+    with pytest.raises(Exception, match="Invalid date format: soon"):
+        bad.select(to_date_any("d")).collect()
+    assert bad.select(to_date_any("d", strict=False)).collect()[1][0] is None

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -108,9 +110,35 @@ def test_explainer_recovers_linear_model(spark):
     target = spark.createDataFrame([("r1", 9.0, 5.0, 5.0)], "row_id string, a double, b double, c double")
 
     def predict(df, key):
-        return df.select(key, (F.col("a") * 3.0).alias("y_hat"))
+        return df.select(*key, (F.col("a") * 3.0).alias("y_hat"))
     out = ex.explain(target, "row_id", predict, num_samples=2000).first()
     rules = [e.rule for e in out.explanation]
     weights = [abs(e.weight) for e in out.explanation]
     assert len(rules) == 3 and rules[0].startswith("a > ")
     assert weights == sorted(weights, reverse=True)
+
+
+def test_explainer_weights_solve_the_weighted_least_squares(spark):
+    """The partially aggregated sums give the solution found from the copies themselves."""
+    from hotspots.operators.explain import fit_explainer
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, r)) for i, r in enumerate(rng.normal(0, 1, (300, 3)))]
+    train = spark.createDataFrame(rows, "row_id long, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    ex = fit_explainer(train, cols)
+    target = train.filter("row_id < 5").repartition(3)
+
+    def predict(df, key):
+        return df.select(*key, (F.col("a") * 2 + F.sin(F.col("b") * 3) - F.col("a") * F.col("c")).alias("y_hat"))
+    got = {r.row_id: (r.coef, r.intercept) for r in ex.coefficients(target, "row_id", predict, 700).collect()}
+    copies = ex.scored_copies(target.select("row_id", *cols), "row_id", predict, 700, 42).collect()
+    assert len(got) == 5
+    for i, (coef, intercept) in got.items():
+        own = [r for r in copies if r.row_id == i]
+        Z = np.array([[r._z >> k & 1 for k in range(3)] for r in own], float)
+        y = np.array([r.y_hat for r in own])
+        w = np.sqrt(np.exp(-(3 - Z.sum(1)) / (math.sqrt(3) * 0.75) ** 2))
+        X = np.concatenate([np.ones((len(Z), 1)), Z], 1)
+        ridge = np.diag([0.0, 1.0, 1.0, 1.0])
+        want = np.linalg.solve(X.T @ (X * w[:, None]) + ridge, X.T @ (w * y))
+        assert len(own) == 700 and np.allclose([intercept, *coef], want, atol=1e-8)

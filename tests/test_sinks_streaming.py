@@ -112,3 +112,70 @@ def test_request_windows_short_and_long(spark):
     assert short == [(dt.date(2024, 1, 25), 6)]
     long = [(r.window_start, r.n_days) for r in request_windows(spark, "2024-01-01", "2024-01-21").collect()]
     assert long == [(dt.date(2024, 1, 1), 10), (dt.date(2024, 1, 11), 10), (dt.date(2024, 1, 21), 10)]
+
+
+KEYS = ["acq_date", "oblast_id"]
+
+
+def table(spark, root):
+    return sorted(((r.oblast_id, r.acq_date, r.t_mean) for r in L.read_kind(spark, root, "weather").collect()), key=str)
+
+
+def test_rows_without_a_date_survive_an_upsert(spark):
+    root = scratch_dir(spark, "t-null")
+    d = dt.date
+    upsert_yearly(_w(spark, [("A", None, 1.0, 1.0), ("B", None, 2.0, 2.0), ("A", d(2024, 1, 1), 3.0, 3.0)]), root, "weather", KEYS)
+    upsert_yearly(_w(spark, [("C", None, 4.0, 4.0), ("A", None, 5.0, 5.0)]), root, "weather", KEYS)
+    assert table(spark, root) == sorted(
+        [("A", None, 5.0), ("B", None, 2.0), ("C", None, 4.0), ("A", d(2024, 1, 1), 3.0)], key=str)
+    upsert_yearly(_w(spark, [("A", d(2025, 1, 1), 6.0, 6.0)]), root, "weather", KEYS)
+    assert len(table(spark, root)) == 5
+
+
+def test_first_load_keeps_one_row_per_key(spark):
+    root = scratch_dir(spark, "t-first")
+    day = dt.date(2024, 1, 1)
+    first = _w(spark, [("A", day, 1.0, 1.0), ("A", day, 2.0, 2.0)]).coalesce(1)
+    upsert_yearly(first, root, "weather", KEYS, order=["cloud_cover"])
+    assert table(spark, root) == [("A", day, 2.0)]
+
+
+def test_a_job_that_dies_before_the_switch_leaves_the_old_years(spark, monkeypatch):
+    from hotspots.sinks import writers
+
+    root = scratch_dir(spark, "t-dies")
+    d = dt.date
+    L.land_yearly(_w(spark, [("A", d(2023, 5, 1), 1.0, 1.0), ("A", d(2024, 1, 1), 2.0, 2.0)]), root, "weather")
+    upsert_yearly(_w(spark, [("A", d(2024, 1, 1), 3.0, 3.0)]), root, "weather", KEYS)
+    before = table(spark, root)
+    assert before == [("A", d(2023, 5, 1), 1.0), ("A", d(2024, 1, 1), 3.0)]
+    new = _w(spark, [("A", d(2023, 5, 1), 9.0, 9.0), ("A", d(2024, 1, 1), 9.0, 9.0), ("B", d(2025, 1, 1), 9.0, 9.0)])
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_switch", dies)
+        try:
+            upsert_yearly(new, root, "weather", KEYS)
+        except RuntimeError:
+            pass
+    assert table(spark, root) == before
+    upsert_yearly(new, root, "weather", KEYS)
+    assert table(spark, root) == [("A", d(2023, 5, 1), 9.0), ("A", d(2024, 1, 1), 9.0), ("B", d(2025, 1, 1), 9.0)]
+
+
+def test_two_writers_from_one_manifest(spark, monkeypatch):
+    from hotspots.sinks import writers
+
+    root = scratch_dir(spark, "t-two")
+    rows = _w(spark, [("A", dt.date(2024, 1, 1), 1.0, 1.0)])
+    upsert_yearly(rows, root, "weather", KEYS)
+    with monkeypatch.context() as m:
+        m.setattr(writers, "committed", lambda *_: (0, {}))
+        try:
+            upsert_yearly(_w(spark, [("B", dt.date(2024, 1, 1), 1.0, 1.0)]), root, "weather", KEYS)
+            raise AssertionError("both committed")
+        except FileExistsError:
+            pass
+    assert table(spark, root) == [("A", dt.date(2024, 1, 1), 1.0)]

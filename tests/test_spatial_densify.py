@@ -27,7 +27,7 @@ def test_pip_against_ray_casting(spark):
         "poly_id int, ring array<struct<lat:double,lon:double>>")
     pts = [(i, rng.uniform(-1, 7), rng.uniform(-1, 8)) for i in range(400)]
     df = spark.createDataFrame(pts, "pid int, latitude double, longitude double")
-    got = {(r.pid, r.poly_id) for r in points_in_polygons(df, ring_edges(rings), keep_poly=True, side=0.5).collect()}
+    got = {(r.pid, r.poly_id) for r in points_in_polygons(df, ring_edges(rings), keep_poly=True).collect()}
     exp = {(i, k) for i, la, lo in pts for k, ring in polys.items() if py_inside(lo, la, ring)}
     assert got == exp
 

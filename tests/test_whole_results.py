@@ -151,9 +151,8 @@ def test_polygons_with_holes_and_parts(spark):
     pts += [(9000, None, 1.0), (9001, 5.0, None)]
     df = spark.createDataFrame(pts, "pid long, latitude double, longitude double")
     want = {(p, k) for p, a, b in pts if a is not None and b is not None for k, rs in polygons.items() if _crossings(a, b, rs)}
-    for side in (None, 0.7, 50.0):
-        got = points_in_polygons(df, ring_edges(rings), keep_poly=True, side=side)
-        assert {(r.pid, r.poly_id) for r in got.collect()} == want
+    got = points_in_polygons(df, ring_edges(rings), keep_poly=True)
+    assert {(r.pid, r.poly_id) for r in got.collect()} == want
 
 
 def test_points_are_not_shuffled_for_the_spatial_join(spark):
@@ -177,7 +176,7 @@ def test_forest_predictions_equal_the_definition(spark):
     m = fit_quantile_forest(vec, "y", num_trees=7)
     leaves = {}
     for r in m.leaves.collect():
-        leaves.setdefault((r.tree, r.leaf), []).append((r.y, r.w))
+        leaves[r.tree, r.leaf] = [(h.y, h.w) for h in r.hist]
     where = {r.id: r.leaf for r in m.forest.transform(vec).select("id", vector_to_array("leaf").alias("leaf")).collect()}
     got = {r.id: (r.q50, r.q95) for r in m.predict_many(vec, ["id"], [0.5, 0.95]).collect()}
     assert len(got) == 400
@@ -203,13 +202,12 @@ def test_forest_does_not_depend_on_partitioning(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
-def test_forest_blocks_of_trees_add_up(spark, monkeypatch):
-    from hotspots.operators import qforest
+def test_forest_predictions_without_a_broadcast(spark, monkeypatch):
+    from hotspots.operators import joins
     vec = _forest_input(spark)
     m = fit_quantile_forest(vec, "y", num_trees=5)
     whole = sorted(map(tuple, m.predict(vec, ["id"]).collect()))
-    monkeypatch.setattr(qforest.LIMITS, "broadcast_bytes", 1)
-    assert len(m._tree_blocks()) == 5
+    monkeypatch.setattr(joins.LIMITS, "broadcast_bytes", 1)
     assert sorted(map(tuple, m.predict(vec, ["id"]).collect())) == whole
 
 
@@ -280,7 +278,7 @@ def test_explanations_of_missing_values_and_wide_form(spark):
         # a drawn value lies in the bin that was drawn for it
         own = np.searchsorted(ex.quart[f], ex.means[f] if f == "a" else 9.0, "left")
         assert all((np.searchsorted(ex.quart[f], x, "left") == own) == (z == 1.0) for x, z in inside)
-    out = ex.explain(rows, "row_id", lambda df, key: df.select(key, F.col("b").alias("y_hat")), num_samples=500)
+    out = ex.explain(rows, "row_id", lambda df, key: df.select(*key, F.col("b").alias("y_hat")), num_samples=500)
     w = wide(out, "row_id", 2)
     assert w.columns == ["row_id", "explanation_0", "explanation_1"]
     assert w.first().explanation_0.rule.startswith("b > ")
