@@ -171,10 +171,12 @@ class BlockIndex:
         of = lambda f, name, n: F.array(*[f(bare(F.col(name)[i])) for i in range(n)])
         table = self.rows.groupBy("_block", "_pattern", "_grp").agg(
             F.count(F.lit(1)).alias("n"), of(F.min, "_vec", self.width).alias("low"), of(F.max, "_vec", self.width).alias("high"),
-            of(F.min, "_to", len(points)).alias("near"), of(F.max, "_to", len(points)).alias("far")).checkpoint()
-        if table.count() * (64 + 16 * (self.width + len(points))) > LIMITS.broadcast_bytes:
+            of(F.min, "_to", len(points)).alias("near"), of(F.max, "_to", len(points)).alias("far"))
+        most = LIMITS.broadcast_bytes // (64 + 16 * (self.width + len(points)))
+        got = table.limit(most + 1).toPandas()
+        if len(got) > most:
             return None
-        got = table.orderBy("_block").toPandas()
+        got = got.sort_values("_block", ignore_index=True)
         wide = lambda c, n: (np.array([[np.nan if v is None else v for v in x] for x in got[c]], np.float64)
                              .reshape(len(got), n))
         pattern = got["_pattern"].to_numpy(np.int64)
@@ -215,7 +217,7 @@ class BlockIndex:
     def _visit(self, visits: DataFrame, best: Callable, schema: str) -> DataFrame:
         """``best`` of every block and chunk of the queries that visit it."""
         visits = visits.checkpoint()
-        counts = visits.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+        counts = visits.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
         self.visited.append(counts)
         chunks = F.broadcast(counts.select("_block", F.ceil(F.col("_n") / CHUNK_ROWS).cast("int").alias("_chunks")))
         q = visits.join(chunks, "_block").withColumn("_chunk", F.pmod(F.xxhash64("_qid"), F.col("_chunks")).cast("int"))

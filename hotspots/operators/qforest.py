@@ -103,7 +103,8 @@ def fit_quantile_forest(df: DataFrame, label: str, features_col: str = "features
                                featureSubsetStrategy="all", leafCol="leaf",
                                maxMemoryInMB=PASS_MB, cacheNodeIds=True, checkpointInterval=10)
     train = df.select(features_col, F.col(label).cast("double").alias(label))
-    place = F.xxhash64(vector_to_array(features_col), label)
+    # rounded: the last bits of projected features follow the order of summation
+    place = F.xxhash64(F.transform(vector_to_array(features_col), lambda x: F.round(x, 6)), label)
     if partitions is None:
         partitions = max(LEAST_PARTITIONS, -(-train.count() // ROWS_PER_PARTITION))
     train = (train.withColumn("_h", place).repartition(partitions, "_h").sortWithinPartitions("_h", label)
