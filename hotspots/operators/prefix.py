@@ -1,78 +1,51 @@
 """Distributed running totals and dense indexes (W5, PF3).
 
 A window ``ORDER BY`` without ``PARTITION BY`` moves every row into one task.
-Instead the rows are cut into buckets along the order key (bucket bounds from
-approximate quantiles, a fitted parameter of bounded size), each bucket gets
-the total of all buckets before it as an offset, and the running total inside
-a bucket is an ordinary partitioned window.
+Instead the rows are range-partitioned along the order key and written to the
+shared checkpoint folder, which fixes the partition of every row; each partition
+gets what all partitions before it hold as an offset, joined by the partition
+number (one row per partition, so the plan does not grow with them), and inside
+a partition the window is an ordinary partitioned one.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-ROWS_PER_BUCKET = 100_000
-MAX_BUCKETS = 4096
-
+def _ranged(df: DataFrame, order_cols: list[str], buckets: int | None) -> DataFrame:
+    """``df`` range-partitioned, checkpointed, with the partition as ``_bucket``."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartitionByRange(n, *order_cols).withColumn("_bucket", F.spark_partition_id()).checkpoint(eager=True))
 
-def _bucket_of(x: Column, bounds: list) -> Column:
-    """Number of bounds strictly below ``x`` (0..len(bounds))."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.aggregate(arr, F.lit(0), lambda acc, b: acc + F.when(x > b, 1).otherwise(0))
 
-
-def quantile_bounds(df: DataFrame, col: str, buckets: int, rel_err: float = 0.001) -> list:
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = df.approxQuantile(col, probs, rel_err) if buckets > 1 else []
-    return sorted(set(q for q in qs if q is not None))
+def _offsets(ranged: DataFrame, total, out: str) -> DataFrame:
+    """(_bucket, out): what the partitions before each hold. At most one row per partition."""
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.groupBy("_bucket").agg(total.alias("_n"))
+            .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(out)))
 
 
 def running_total(df: DataFrame, order_col: str, value_col: str, out: str = "cum",
                   buckets: int | None = None) -> DataFrame:
     """``out`` = sum of ``value_col`` over rows with order key <= this row's key.
 
-    ``order_col`` must be unique (group by it first); then the bucketed result
-    equals a global ``ROWS UNBOUNDED PRECEDING`` window. The number of buckets
-    follows the number of rows (``ROWS_PER_BUCKET`` each).
+    ``order_col`` must be unique (group by it first); then the result equals a
+    global ``ROWS UNBOUNDED PRECEDING`` window.
     """
-    if buckets is None:
-        buckets = min(MAX_BUCKETS, max(1, -(-df.count() // ROWS_PER_BUCKET)))
-    bounds = quantile_bounds(df, order_col, buckets)
-    b = df.withColumn("_bucket", _bucket_of(F.col(order_col), bounds))
-    totals = {r["_bucket"]: r["_t"] for r in
-              b.groupBy("_bucket").agg(F.sum(value_col).alias("_t")).collect()}
-    # offsets: totals of all lower buckets (len(bounds)+1 values, bounded)
-    ordered = [totals.get(i, 0) or 0 for i in range(len(bounds) + 1)]
-    offsets = [0] + list(accumulate(ordered))[:-1]
-    off = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_bucket") + 1)
+    ranged = _ranged(df, [order_col], buckets)
+    offsets = _offsets(ranged, F.sum(value_col), "_off")
     w = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn(out, off + F.sum(value_col).over(w)).drop("_bucket")
+    return (ranged.withColumn("_own", F.sum(value_col).over(w)).join(F.broadcast(offsets), "_bucket")
+            .withColumn(out, F.col("_off") + F.col("_own")).drop("_bucket", "_off", "_own"))
 
 
 def dense_index(df: DataFrame, order_cols: list[str], out: str = "row_id",
                 buckets: int | None = None) -> DataFrame:
-    """0..n-1 along a total order of ``order_cols`` (PF3).
-
-    Rows are range-partitioned on the order key and the result is written to
-    the shared checkpoint folder, which fixes the partition of every row; the
-    per-partition counts give the offsets, which join back by partition number
-    (one row per partition, so the plan does not grow with them).
-    """
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .withColumn("_bucket", F.spark_partition_id())
-              .checkpoint(eager=True))
-    counts = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most one row per partition
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    """0..n-1 along a total order of ``order_cols`` (PF3)."""
+    ranged = _ranged(df, order_cols, buckets)
+    offsets = _offsets(ranged, F.count(F.lit(1)), "_off")
     w = Window.partitionBy("_bucket").orderBy(*order_cols)
     numbered = ranged.withColumn("_r", F.row_number().over(w))
     return (numbered.join(F.broadcast(offsets), "_bucket")

@@ -26,3 +26,13 @@ def test_dense_index_is_sorted_enumeration(spark):
     exp = sorted(rows)
     assert [g[0] for g in got] == list(range(len(rows)))
     assert [(g[1], g[2]) for g in got] == exp
+
+
+def test_the_plan_of_a_running_total_does_not_grow_with_its_partitions(spark):
+    df = spark.range(2000).selectExpr("cast(id as double) AS k", "cast(id % 7 as double) AS v")
+
+    def size(buckets):
+        return len(running_total(df, "k", "v", buckets=buckets)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(200) - size(4)) < 200
+    assert running_total(df, "k", "v", buckets=200).agg({"cum": "max"}).first()[0] == sum(i % 7 for i in range(2000))
+    assert running_total(df.limit(0), "k", "v").count() == 0
