@@ -19,6 +19,14 @@ query region is one task's work. No (query, candidate) pair is ever a row; a
 task returns the best k per query and group, and a final ranking picks the
 overall best.
 
+The second round's visits are counted before any is made. Where the bounds prune
+little (many coordinates without clusters) they would be copies of the queries,
+one for almost every block; if that is more than the copies that comparing all
+large query blocks with all large candidate blocks needs, and above
+``LEAST_VISIT_BYTES``, the latter is done. A batch of visits is handed on in
+pieces of ``PIECE_BYTES``, so a task's memory follows neither the number of
+blocks nor the width of a vector.
+
 What reaches the driver and is broadcast is the block table, at most
 ``MOST_BLOCKS`` rows besides one for every (pattern, group, partition); blocks
 grow with the candidates beyond that. If there are too many groups for it (see
@@ -41,6 +49,12 @@ PIVOTS = 8
 BLOCK_ROWS = 512
 CHUNK_ROWS = 4096
 MOST_BLOCKS = 1 << 16
+#: Query rows of a block where everything is compared, four times as many candidates.
+TILE_ROWS = 8192
+#: Visits up to this size are made in any case; and what one piece of them holds.
+LEAST_VISIT_BYTES, PIECE_BYTES = 256 << 20, 8 << 20
+#: Entries of one (query, block) or (query, candidate) matrix.
+MATRIX_ENTRIES = 1 << 20
 #: Bounds may be off by rounding; distances are compared after rounding, too.
 _SLACK = 1e-8
 
@@ -65,6 +79,51 @@ def nan_distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.where(shared > 0, np.sqrt(total * d / shared), np.nan)
 
 
+def k_nearest(q: np.ndarray, c: np.ndarray, k: int, round_to: int, ids: np.ndarray,
+              skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``c``, distance) of the k nearest per query, by rounded
+    distance, then by ``ids``; ``skip`` holds the id that a query leaves out.
+
+    The matrix product gives every squared distance up to a rounding error that
+    is bounded by the norms; only pairs within that error (and the rounding of
+    distances) of the k-th are measured, coordinate by coordinate."""
+    rows, cols, dists = [], [], []
+    with np.errstate(over="ignore", invalid="ignore"):
+        q2, c2 = (q * q).sum(1), (c * c).sum(1)
+    quick = bool(np.isfinite(q2).all() and np.isfinite(c2).all())
+    step = max(1, MATRIX_ENTRIES // max(1, len(c)))
+    for s in range(0, len(q) if len(c) else 0, step):
+        part = q[s:s + step]
+        same = None if skip is None else skip[s:s + step, None] == ids[None, :]
+        if quick:
+            error = 4 * (q.shape[1] + 2) * np.finfo(np.float64).eps * (q2[s:s + step] + c2.max())
+            near = (q2[s:s + step, None] + c2[None, :]) - 2 * (part @ c.T)
+            if same is not None:
+                near[same] = np.inf
+            kth = near.min(1) if k == 1 else np.partition(near, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
+            reach = np.sqrt(np.maximum(kth + error, 0.0)) * (1 + 1e-12) + 2 * 10.0 ** -round_to
+            i, j = np.nonzero((near <= (reach * reach + error)[:, None]) & np.isfinite(near))
+            total = np.zeros(len(i))
+            for d in range(q.shape[1]):
+                diff = part[i, d] - c[j, d]
+                total += diff * diff
+            dist = np.round(np.sqrt(total), round_to)
+        else:
+            far = np.round(nan_distances(part, c), round_to)
+            if same is not None:
+                far = np.where(same, np.inf, far)
+            i, j = np.nonzero(np.isfinite(far))
+            dist = far[i, j]
+        order = np.lexsort((ids[j], dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        rows.append(s + i[place < k])
+        cols.append(j[place < k])
+        dists.append(dist[place < k])
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return join(rows, np.int64), join(cols, np.int64), join(dists, np.float64)
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -198,10 +257,10 @@ class BlockIndex:
         (block, target) of what a block's rows can be the answer to,
         ``wants(vectors, targets)`` a matrix (query, target) of what is asked."""
         place = Window.partitionBy("_qid", target).orderBy("distance", "_cid")
-        self.visited = []
+        self.visited, self.whole = [], 0
         queries = queries.select("_qid", "_qvec").checkpoint()
         if self.blocks is None:
-            found = in_block_pairs(queries, self.rows.select("_cid", "_grp", "_vec"), "_qid", "_cid", best, schema)
+            found = self._everything(queries, best, schema)
         else:
             sent = self.spark.sparkContext.broadcast(self.blocks)
             first = self._visit(queries.mapInPandas(_visits(sent, k, serves, wants, False), _visit_schema(queries)),
@@ -210,10 +269,23 @@ class BlockIndex:
                    .groupBy("_qid").agg(F.map_from_entries(F.collect_list(F.struct(
                        F.col(target).cast("long"), "distance"))).alias("_kth")))
             asked = queries.join(kth, "_qid", "left")
-            found = first.union(self._visit(asked.mapInPandas(_visits(sent, k, serves, wants, True), _visit_schema(queries)),
-                                            best, schema))
+            counts = asked.mapInPandas(_visits(sent, k, serves, wants, True, True), "n long, visits long")
+            n, visits = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("visits"), F.lit(0))).first()
+            m = int(self.blocks.rows.sum())
+            qb, cb = _tiles(n, m, TILE_ROWS, self.spark)
+            row = 32 + 8 * self.width
+            if visits * row <= max(LEAST_VISIT_BYTES, (n * cb + m * qb) * row):
+                found = first.union(self._visit(asked.mapInPandas(_visits(sent, k, serves, wants, True), _visit_schema(queries)),
+                                                best, schema))
+            else:
+                found = self._everything(queries, best, schema, n, m)
         return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
+    def _everything(self, queries: DataFrame, best: Callable, schema: str, n: int | None = None, m: int | None = None) -> DataFrame:
+        n, m = queries.count() if n is None else n, self.rows.count() if m is None else m
+        self.visited, self.whole = [], n * m
+        return in_block_pairs(queries, self.rows.select("_cid", "_grp", "_vec"), "_qid", "_cid", best, schema, TILE_ROWS, (n, m))
+
     def _visit(self, visits: DataFrame, best: Callable, schema: str) -> DataFrame:
         """``best`` of every block and chunk of the queries that visit it."""
         visits = visits.checkpoint()
@@ -229,20 +301,22 @@ class BlockIndex:
     def comparisons(self) -> int:
         """Distances that the last search computed."""
         rows = self.rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_rows"))
-        return sum(v.join(rows, "_block").agg(F.sum(F.col("_n") * F.col("_rows"))).first()[0] or 0 for v in self.visited)
+        return self.whole + sum(v.join(rows, "_block").agg(F.sum(F.col("_n") * F.col("_rows"))).first()[0] or 0
+                                for v in self.visited)
 
 
 def _visit_schema(queries: DataFrame) -> str:
     return f"_block long, _qid {queries.schema['_qid'].dataType.simpleString()}, _qvec array<double>"
 
 
-def _visits(sent, k: int, serves: Callable, wants: Callable, further: bool):
+def _visits(sent, k: int, serves: Callable, wants: Callable, further: bool, counted: bool = False):
     """Blocks that queries visit: in the first round one for each target they
-    want, in the second all others whose bound is within the k-th distance."""
+    want, in the second all others whose bound is within the k-th distance.
+    ``counted``: only how many queries there are, and how many visits."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks = sent.value
         targets, serving = serves(blocks)
-        step = max(1, (1 << 22) // max(1, len(blocks.block)))
+        step = max(1, MATRIX_ENTRIES // max(1, len(blocks.block)))
         for pdf in batches:
             for at in range(0, len(pdf) if len(blocks.block) else 0, step):
                 part = pdf.iloc[at:at + step]
@@ -267,9 +341,15 @@ def _visits(sent, k: int, serves: Callable, wants: Callable, further: bool):
                         reach = (limit * (1 + _SLACK) + _SLACK)[:, None]
                         go |= asked[:, t, None] & serving[None, :, t] & (bound <= reach) & np.isfinite(bound)
                     go &= ~before
+                if counted:
+                    yield pd.DataFrame({"n": [len(part)], "visits": [int(go.sum())]})
+                    continue
                 i, b = np.nonzero(go)
-                yield pd.DataFrame({"_block": blocks.block[b], "_qid": part["_qid"].to_numpy()[i],
-                                    "_qvec": part["_qvec"].to_numpy()[i]})
+                piece = max(1, PIECE_BYTES // (32 + 8 * q.shape[1]))
+                for s in range(0, len(i), piece):
+                    own = i[s:s + piece]
+                    yield pd.DataFrame({"_block": blocks.block[b[s:s + piece]], "_qid": part["_qid"].to_numpy()[own],
+                                        "_qvec": part["_qvec"].to_numpy()[own]})
     return run
 
 
@@ -279,15 +359,19 @@ def _block_count(rows: int, most: int, least: int, cores: int) -> int:
     return max(1, -(-rows // most), min(cores, rows // least))
 
 
+def _tiles(n: int, m: int, most: int, spark) -> tuple[int, int]:
+    """Into how many blocks n queries and m candidates are cut to compare them all."""
+    cores = spark.sparkContext.defaultParallelism
+    return _block_count(n, most, min(most, 256), cores), _block_count(m, 4 * most, 4 * most, 1)
+
+
 def in_block_pairs(queries: DataFrame, candidates: DataFrame, qkey: str, ckey: str,
                    fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-                   block_rows: int | None = None) -> DataFrame:
+                   block_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``fn`` of every (query block, candidate block), as one cogrouped stage:
-    everything is compared."""
-    most = block_rows or LIMITS.query_block_rows
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    qb = _block_count(queries.count(), most, min(most, 256), cores)
-    cb = _block_count(candidates.count(), 4 * most, 4 * most, 1)
+    everything is compared. ``sizes``: rows of both sides, where they are known."""
+    n, m = sizes or (queries.count(), candidates.count())
+    qb, cb = _tiles(n, m, block_rows or LIMITS.query_block_rows, queries.sparkSession)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     q = queries.withColumn("_qb", block(qkey, qb)).select("*", every(cb).alias("_cb"))
@@ -317,21 +401,10 @@ def nearest(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vec:
             qi, ci = q["_qid"].to_numpy(np.int64), c["_cid"].to_numpy(np.int64)
             groups = c["_grp"].to_numpy(np.int64)
             qm, cm = matrix(q["_qvec"]), matrix(c["_vec"])
-            # slices of queries keep the (query, candidate) block small
-            step = max(1, int(4_000_000 // max(1, len(ci))))
-            for s in range(0, len(qi), step):
-                d = np.round(nan_distances(qm[s:s + step], cm), round_to)
-                if exclude_self:
-                    d = np.where(qi[s:s + step, None] == ci[None, :], np.inf, d)
-                for g in np.unique(groups):
-                    own = groups == g
-                    dist, ids = d[:, own], np.broadcast_to(ci[own], (len(d), int(own.sum())))
-                    order = np.lexsort((ids, dist), axis=-1)[:, :k]
-                    top = np.take_along_axis(dist, order, 1)
-                    row, col = np.nonzero(np.isfinite(top))
-                    parts.append(pd.DataFrame({"_qid": qi[s + row], "_grp": g,
-                                               "_cid": np.take_along_axis(ids, order, 1)[row, col],
-                                               "distance": top[row, col]}))
+            for g in np.unique(groups):
+                own = np.flatnonzero(groups == g)
+                row, col, dist = k_nearest(qm, cm[own], k, round_to, ci[own], qi if exclude_self else None)
+                parts.append(pd.DataFrame({"_qid": qi[row], "_grp": g, "_cid": ci[own[col]], "distance": dist}))
         return pd.concat(parts) if parts else pd.DataFrame({"_qid": [], "_grp": [], "_cid": [], "distance": []})
 
     def serves(b: Blocks) -> tuple[np.ndarray, np.ndarray]:

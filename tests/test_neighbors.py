@@ -117,3 +117,41 @@ def test_imputer_prunes_and_equals_brute_force(spark):
             lacking += 1
     receivers = len({tuple(r) for r in np.nan_to_num(x[np.isnan(x).any(1)], nan=1e9)})
     assert lacking and 0 < small.comparisons() < receivers * len(x) / 3
+
+
+def test_k_nearest_equals_measuring_every_pair():
+    rng = np.random.default_rng(4)
+    for missing, scale in ((0.0, 1.0), (0.0, 1e6), (0.1, 1.0)):
+        c, q = clustered(rng, 300, 6, missing=missing) * scale, clustered(rng, 40, 6, missing=missing) * scale
+        c[50:120] = c[0]
+        q[3], q[4] = c[0], c[0] + 1e-10
+        ids = rng.permutation(300)
+        skip = np.arange(40)
+        far = np.where(skip[:, None] == ids[None, :], np.inf, np.round(neighbors.nan_distances(q, c), 9))
+        for k in (1, 4, 1000):
+            want = [(i, j, far[i, j]) for i in range(40)
+                    for j in sorted((j for j in range(300) if np.isfinite(far[i, j])), key=lambda j: (far[i, j], ids[j]))[:k]]
+            assert list(zip(*neighbors.k_nearest(q, c, k, 9, ids, skip))) == want
+
+
+def test_visits_are_handed_on_in_bounded_pieces(spark, monkeypatch):
+    """Every block is visited by every query: the pieces stay small, and beyond
+    the bound all is compared in large blocks instead."""
+    import pandas as pd
+    from types import SimpleNamespace
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (600, 40))  # no clusters: the bounds prune next to nothing
+    group = rng.integers(0, 2, len(x))
+    index = neighbors.block_index(frame(spark, x, "cid", g=group), "cid", "v", "g", block_rows=10)
+    monkeypatch.setattr(neighbors, "PIECE_BYTES", 100 * (32 + 8 * 40))
+    run = neighbors._visits(SimpleNamespace(value=index.blocks), 1, lambda b: (np.arange(2), b.group[:, None] == np.arange(2)),
+                            lambda q, t: np.ones((len(q), len(t)), bool), True)
+    batch = pd.DataFrame({"_qid": np.arange(600), "_qvec": list(x), "_kth": [None] * 600})
+    pieces = [len(p) for p in run(iter([batch]))]
+    assert max(pieces) <= 100 and sum(pieces) > 600 * 50
+    want = brute(x, x, group, 1, exclude=True)
+    for least, whole in ((1 << 30, False), (0, True)):
+        monkeypatch.setattr(neighbors, "LEAST_VISIT_BYTES", least)
+        got = neighbors.nearest(frame(spark, x, "qid"), None, "qid", "cid", "v", group="g", exclude_self=True, index=index)
+        assert found(got) == want
+        assert bool(index.whole) == whole
