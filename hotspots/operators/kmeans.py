@@ -7,13 +7,15 @@ otherwise every point is its own cluster.
 Lloyd iterations run as Spark jobs over all groups together:
   assign  - points join their group's centre array (at most k entries, one row
             per group; broadcast after a size check, so points stay in place)
-            and pick the nearest centre with a higher-order function;
+            and pick the nearest centre in one compiled expression (above
+            ``FLAT_CENTRES`` centres with a higher-order function);
   update  - new centres are per-(group, cluster) means, a partially aggregated
             groupBy, folded back into one centre array per group.
 A group stops when its centres move by no more than ``tol`` times the mean
 variance of its coordinates (summed squared shift), as single-machine k-means
 does; only the groups that still move are assigned again. ``max_iter`` bounds
-the loop, and ``converged`` tells whether a group stopped before it.
+the loop, and ``converged`` tells whether a group stopped before it. What an
+iteration reads is only the group's number and the position of every point.
 
 A group with a third of all points is spread over many tasks (AQE splits the
 skewed join side; the centre row is replicated). Initial centres are the k
@@ -34,7 +36,8 @@ from hotspots.config import LIMITS
 ROWS_PER_SALT = 100_000
 MAX_ITER = 300
 TOLERANCE = 1e-4
-# the group columns as one key: structs compare NULL fields as equal
+FLAT_CENTRES = 64
+# the number of a group (its columns are compared as a struct, whose NULL fields are equal)
 G = "_group"
 
 
@@ -57,22 +60,41 @@ def _centre_arrays(c: DataFrame) -> DataFrame:
                  F.col("clon").alias("clon")))).alias("_centres"))
 
 
-def _assign(points: DataFrame, centres: DataFrame, small: bool) -> DataFrame:
+def _assign(points: DataFrame, centres: DataFrame, small: bool, k: int) -> DataFrame:
     # one row per group with at most k centres: broadcast where the groups were
     # counted to be few, so the points never move between iterations; above the
     # bound a shuffle join
+    lat, lon = F.col("lat"), F.col("lon")
+    if k <= FLAT_CENTRES:
+        # centres as plain columns by cluster: little generated code per point, which the
+        # JVM compiles. least leaves out NULL and takes NaN last; the first centre at the
+        # least distance is the nearest
+        flat = [F.get("_centres", F.lit(i)) for i in range(k)]
+        c = centres.select(G, *[flat[i][x].alias(f"_{x}{i}") for i in range(k) for x in ("clat", "clon")])
+        j = points.join(F.broadcast(c) if small else c, G)
+        d = [(lat - F.col(f"_clat{i}")) * (lat - F.col(f"_clat{i}")) + (lon - F.col(f"_clon{i}")) * (lon - F.col(f"_clon{i}"))
+             for i in range(k)]
+        j = j.select(*points.columns, *[d[i].alias(f"_d{i}") for i in range(k)])
+        least = F.least(F.lit(float("inf")), *[f"_d{i}" for i in range(k)])
+        j = j.select(*points.columns, *[f"_d{i}" for i in range(k)], least.alias("_d"))
+        best = F.when(F.col("_d") == F.lit(float("inf")), -1)
+        for i in range(k):
+            best = best.when(F.col(f"_d{i}") == F.col("_d"), i)
+        return j.select(*points.columns, best.cast("bigint").alias("cluster"))
     c = centres.select(G, "_centres")
     j = points.join(F.broadcast(c) if small else c, G)
-    lat, lon = F.col("lat"), F.col("lon")
+
+    def distance(c):
+        return (lat - c["clat"]) * (lat - c["clat"]) + (lon - c["clon"]) * (lon - c["clon"])
+
     init = F.struct(F.lit(float("inf")).alias("d"), F.lit(-1).cast("bigint").alias("cluster"))
 
     def step(acc, c):
-        d = (lat - c["clat"]) * (lat - c["clat"]) + (lon - c["clon"]) * (lon - c["clon"])
+        d = distance(c)
         better = d < acc["d"]
         return F.struct(F.when(better, d).otherwise(acc["d"]).alias("d"),
                         F.when(better, c["cluster"]).otherwise(acc["cluster"]).alias("cluster"))
-    best = F.aggregate("_centres", init, step)
-    return j.withColumn("cluster", best["cluster"]).drop("_centres")
+    return j.withColumn("cluster", F.aggregate("_centres", init, step)["cluster"]).drop("_centres")
 
 
 def kmeans_groups(points: DataFrame, group: list[str], k: int, max_iter: int = MAX_ITER,
@@ -80,14 +102,18 @@ def kmeans_groups(points: DataFrame, group: list[str], k: int, max_iter: int = M
     """points: group columns + _pid (unique) + lat + lon. Returns points with
     ``cluster`` (0..k-1 for clustered groups; 0.. per point in groups of at most
     k points, and the point's own id for k <= 1) and ``converged``."""
-    keyed = points.withColumn(G, F.struct(*group))
     columns = [*points.columns, "cluster", "converged"]
     if k <= 1:
-        return (keyed.withColumn("cluster", F.col("_pid").cast("bigint"))
+        return (points.withColumn("cluster", F.col("_pid").cast("bigint"))
                 .withColumn("converged", F.lit(True)).select(*columns))
+    keyed = points.withColumn("_key", F.struct(*group))
     spread = (F.var_pop("lat") + F.var_pop("lon")) / 2
-    sizes = keyed.groupBy(G).agg(F.count(F.lit(1)).alias("_n"), (spread * tol).alias("_tol"))
-    p = keyed.join(sizes, G).persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per group; its number stands for the struct in all that follows
+    sizes = (keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), (spread * tol).alias("_tol"))
+             .withColumn(G, F.monotonically_increasing_id()).checkpoint(eager=True))
+    clustered = sizes.filter(F.col("_n") > k)
+    few = clustered.count() * (64 + 32 * k) <= LIMITS.broadcast_bytes
+    p = keyed.join(sizes.drop("_tol"), "_key").drop("_key").persist(StorageLevel.MEMORY_AND_DISK)
     small, big = p.filter(F.col("_n") <= k), p.filter(F.col("_n") > k)
     ws = Window.partitionBy(G).orderBy("_pid")  # at most k rows
     small = (small.withColumn("cluster", (F.row_number().over(ws) - 1).cast("bigint"))
@@ -96,30 +122,33 @@ def kmeans_groups(points: DataFrame, group: list[str], k: int, max_iter: int = M
     first = _topk_by_hash(big, k, seed).select(
         G, (F.col("_r") - 1).cast("bigint").alias("cluster"),
         F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    limits = big.groupBy(G).agg(F.first("_tol").alias("_tol"))
-    centres = (_centre_arrays(first).join(limits, G)
+    centres = (_centre_arrays(first).join(clustered.select(G, "_tol"), G)
                .withColumn("converged", F.lit(False)).checkpoint(eager=True))
-    few = centres.count() * (64 + 32 * k) <= LIMITS.broadcast_bytes
+    spots = big.select(G, "lat", "lon")
     for _ in range(max_iter):
         moving = centres.filter(~F.col("converged"))
         if moving.isEmpty():
             break
-        new = _assign(big.drop("_tol"), moving, few).groupBy(G, "cluster").agg(
+        new = _assign(spots, moving, few, k).groupBy(G, "cluster").agg(
             F.avg("lat").alias("nlat"), F.avg("lon").alias("nlon"))
+        # the means are folded into a row per group before they meet the old centres: a
+        # join on the cluster would put its whole expression, expanded, into a filter
+        # below the aggregation
+        folded = new.groupBy(G).agg(F.map_from_entries(F.collect_list(
+            F.struct("cluster", F.struct("nlat", "nlon").alias("to")))).alias("_new"))
         # clusters that lost every point keep their previous centre
-        old = moving.select(G, "_tol", F.explode("_centres").alias("_c")).select(
-            G, "_tol", "_c.cluster", "_c.clat", "_c.clon")
-        merged = old.join(new, [G, "cluster"], "left").select(
-            G, "_tol", "cluster", "clat", "clon",
-            F.coalesce("nlat", "clat").alias("nlat"), F.coalesce("nlon", "clon").alias("nlon"))
-        shift = F.sum((F.col("nlat") - F.col("clat")) ** 2 + (F.col("nlon") - F.col("clon")) ** 2)
-        moved = merged.groupBy(G).agg(
-            F.sort_array(F.collect_list(F.struct("cluster", F.col("nlat").alias("clat"),
-                                                 F.col("nlon").alias("clon")))).alias("_centres"),
-            F.first("_tol").alias("_tol"), (shift <= F.first("_tol")).alias("converged"))
-        centres = centres.filter("converged").unionByName(moved).checkpoint(eager=True)
+        to = lambda c, x: F.coalesce(F.try_element_at("_new", c["cluster"])[f"n{x}"], c[f"c{x}"]).alias(f"c{x}")
+        moved = moving.join(folded, G, "left").withColumn("_next", F.transform(
+            "_centres", lambda c: F.struct(c["cluster"].alias("cluster"), to(c, "lat"), to(c, "lon"))))
+        step = F.zip_with("_centres", "_next", lambda a, b: F.coalesce(
+            (b["clat"] - a["clat"]) ** 2 + (b["clon"] - a["clon"]) ** 2, F.lit(0.0)))
+        shift = F.aggregate(step, F.lit(0.0), lambda n, x: n + x)
+        moved = moved.select(G, F.col("_next").alias("_centres"), "_tol", (shift <= F.col("_tol")).alias("converged"))
+        centres = centres.filter("converged").unionByName(moved)
+        # a union keeps the partitions of both sides: few rows stay in one
+        centres = (centres.coalesce(1) if few else centres).checkpoint(eager=True)
     done = centres.select(G, "converged")
-    assigned = _assign(big, centres, few).join(F.broadcast(done) if few else done, G)
+    assigned = _assign(big, centres, few, k).join(F.broadcast(done) if few else done, G)
     out = assigned.select(*columns).unionByName(small.select(*columns)).checkpoint(eager=True)
     p.unpersist()
     return out

@@ -142,3 +142,21 @@ def test_explainer_weights_solve_the_weighted_least_squares(spark):
         ridge = np.diag([0.0, 1.0, 1.0, 1.0])
         want = np.linalg.solve(X.T @ (X * w[:, None]) + ridge, X.T @ (w * y))
         assert len(own) == 700 and np.allclose([intercept, *coef], want, atol=1e-8)
+
+
+def test_kmeans_iteration_does_not_expand_the_assignment(spark, monkeypatch):
+    """The expression that picks a cluster stands once in an iteration's plan, not
+    in a filter below the aggregation, where it is too long to be compiled."""
+    from pyspark.sql import DataFrame
+    plans, real = [], DataFrame.checkpoint
+
+    def spy(df, *a, **k):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, *a, **k)
+
+    pts = spark.range(60).selectExpr("id AS _pid", "id % 2 AS day", "CAST(id * 7 % 31 AS double) AS lat", "CAST(id * 5 % 29 AS double) AS lon")
+    monkeypatch.setattr(type(pts), "checkpoint", spy)
+    out = kmeans_groups(pts, ["day"], k=3, max_iter=4).collect()
+    assert len(out) == 60 and {r.cluster for r in out} == {0, 1, 2}
+    filters = [line for p in plans for line in p.splitlines() if "Filter" in line]
+    assert filters and not any("clat" in f or "aggregate(" in f for f in filters)
