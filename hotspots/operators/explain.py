@@ -34,6 +34,9 @@ from hotspots.config import RANDOM_STATE
 from hotspots.operators.quantiles import exact_percentiles
 
 
+SAMPLES_TOGETHER = 250  # copies of a row that one task makes
+
+
 def bin_of(x, q1, q2, q3):
     return (F.when(x > F.lit(q3), 3).when(x > F.lit(q2), 2).when(x > F.lit(q1), 1).otherwise(0))
 
@@ -115,7 +118,12 @@ class Explainer:
         copies and their seeded uniforms; a vectorised function turns those into
         a bin and a normal value truncated to it."""
         cols, quart, bins = self.cols, self.quart, self.bins
-        copies = rows.select(key, *cols, F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("sample"))
+        # the rows are few, their copies are not: runs of copies are dealt over the tasks first
+        start = F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1), F.lit(SAMPLES_TOGETHER)))
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.select(key, *cols, start.alias("_start")).repartition(parts, key, "_start")
+        last = F.least(F.col("_start") + (SAMPLES_TOGETHER - 1), F.lit(num_samples - 1))
+        copies = dealt.select(key, *cols, F.explode(F.sequence("_start", last)).alias("sample"))
 
         def uniform(c, stream):
             return (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("sample"), F.lit(c), F.lit(stream)),
@@ -162,13 +170,16 @@ class Explainer:
         return F.sqrt(F.exp(-(F.lit(float(d)) - F.bit_count("_z")) / F.lit(width ** 2)))
 
     def coefficients(self, rows: DataFrame, key: str, predict: Callable[[DataFrame, list[str]], DataFrame],
-                     num_samples: int = 5000, seed: int = RANDOM_STATE) -> DataFrame:
+                     num_samples: int = 5000, seed: int = RANDOM_STATE, scored: DataFrame | None = None) -> DataFrame:
         """(key, features, coef, intercept): weighted ridge (alpha 1) of the
         predictions on the flags, per row. The sums of its normal equations are
-        partially aggregated; one row of sums per explained row is solved."""
+        partially aggregated; one row of sums per explained row is solved. ``scored``:
+        the rows' ``scored_copies``, where they are made already."""
         cols, d = self.cols, len(self.cols)
         given = rows.select(key, *[F.coalesce(F.col(c), F.lit(self.means.get(c, 0.0))).cast("double").alias(c) for c in cols])
-        scored = self.scored_copies(given, key, predict, num_samples, seed).withColumn("_w", self.weight())
+        if scored is None:
+            scored = self.scored_copies(given, key, predict, num_samples, seed)
+        scored = scored.withColumn("_w", self.weight())
         w, y = F.col("_w"), F.col("y_hat")
         z = [self.flag(i) for i in range(d)]
         sums = [F.sum(w), F.sum(w * y), *[F.sum(w * x) for x in z], *[F.sum(w * x * y) for x in z],
@@ -197,11 +208,11 @@ class Explainer:
 
     def explain(self, rows: DataFrame, key: str, predict: Callable[[DataFrame, list[str]], DataFrame],
                 num_features: int | None = None, num_samples: int = 5000,
-                seed: int = RANDOM_STATE) -> DataFrame:
+                seed: int = RANDOM_STATE, scored: DataFrame | None = None) -> DataFrame:
         """One row per explained row: (key, explanation array<struct<rule,weight>>),
         by absolute weight. ``key`` identifies a row. A missing value is explained
         as the training mean of its feature, in the same-bin flags as in the rule texts."""
-        found = self.coefficients(rows, key, predict, num_samples, seed)
+        found = self.coefficients(rows, key, predict, num_samples, seed, scored)
         k = num_features or len(self.cols)
 
         def text(i: int, c: str):

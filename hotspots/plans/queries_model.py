@@ -430,15 +430,17 @@ def q_m12e(spark, sf):
     rows = (_period(f, TE).filter("fire_count >= 9")
             .withColumn("row_id", F.concat_ws("|", "grid_cell", F.col("acq_date").cast("string"))))
     given = rows.select("row_id", *[F.coalesce(F.col(c), F.lit(ex.means[c])).cast("double").alias(c) for c in FEATURES])
-    explained = ex.explain(rows, "row_id", predict, num_samples=2000).checkpoint()
+    # made and scored once, for the explanation, its coefficients and the check
+    scored = ex.scored_copies(given, "row_id", predict, 2000, RANDOM_STATE).checkpoint()
+    explained = ex.explain(rows, "row_id", predict, num_samples=2000, scored=scored).checkpoint()
     named = F.map_from_entries("explanation")
     # the weights as reported, brought back to the order of the features by their rules
-    fitted = ex.coefficients(rows, "row_id", predict, 2000).join(explained, "row_id")
+    fitted = ex.coefficients(rows, "row_id", predict, 2000, scored=scored).join(explained, "row_id")
     texts = [[F.lit(r) for r in ex.rules(c)] for c in FEATURES]
     own = [F.when(named[r[0]].isNotNull(), r[0]).when(named[r[1]].isNotNull(), r[1]).when(named[r[2]].isNotNull(), r[2])
            .otherwise(r[3]) for r in texts]
     known = fitted.select("row_id", F.array(*own).alias("_rules"), F.array(*[named[r] for r in own]).alias("_b"), "intercept")
-    copies = ex.scored_copies(given, "row_id", predict, 2000, RANDOM_STATE).join(broadcast_if_small(known), "row_id")
+    copies = scored.join(broadcast_if_small(known), "row_id")
     left = F.col("y_hat") - F.col("intercept") - sum((F.col("_b")[i] * ex.flag(i) for i in range(len(FEATURES))), F.lit(0.0))
     errors = [F.abs(F.sum(ex.weight() * left)), *[F.abs(F.sum(ex.weight() * ex.flag(i) * left) - F.first(F.col("_b")[i]))
                                                   for i in range(len(FEATURES))]]

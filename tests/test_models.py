@@ -147,16 +147,41 @@ def test_explainer_weights_solve_the_weighted_least_squares(spark):
 def test_kmeans_iteration_does_not_expand_the_assignment(spark, monkeypatch):
     """The expression that picks a cluster stands once in an iteration's plan, not
     in a filter below the aggregation, where it is too long to be compiled."""
-    from pyspark.sql import DataFrame
-    plans, real = [], DataFrame.checkpoint
+    plans = []
 
     def spy(df, *a, **k):
         plans.append(df._jdf.queryExecution().optimizedPlan().toString())
         return real(df, *a, **k)
 
     pts = spark.range(60).selectExpr("id AS _pid", "id % 2 AS day", "CAST(id * 7 % 31 AS double) AS lat", "CAST(id * 5 % 29 AS double) AS lon")
+    real = type(pts).checkpoint
     monkeypatch.setattr(type(pts), "checkpoint", spy)
     out = kmeans_groups(pts, ["day"], k=3, max_iter=4).collect()
     assert len(out) == 60 and {r.cluster for r in out} == {0, 1, 2}
     filters = [line for p in plans for line in p.splitlines() if "Filter" in line]
     assert filters and not any("clat" in f or "aggregate(" in f for f in filters)
+
+
+def test_copies_of_one_row_are_dealt_over_tasks_and_scored_once(spark):
+    from hotspots.operators.explain import fit_explainer
+    rng = np.random.default_rng(6)
+    train = spark.createDataFrame([(float(a), float(b)) for a, b in rng.normal(0, 1, (200, 2))], "a double, b double")
+    ex = fit_explainer(train, ["a", "b"])
+    row = spark.createDataFrame([("r", 0.5, -0.5)], "row_id string, a double, b double").coalesce(1)
+    copies = ex.perturb(row, "row_id", 1001, 3)
+    assert sorted(r["sample"] for r in copies.select("sample").collect()) == list(range(1001))
+    used = copies.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 1
+    calls = []
+
+    def predict(df, key):
+        calls.append(1)
+        return df.select(*key, (F.col("a") * 2 + F.col("b")).alias("y_hat"))
+
+    plain = ex.explain(row, "row_id", predict, num_samples=1001, seed=3).collect()[0]["explanation"]
+    scored = ex.scored_copies(row, "row_id", predict, 1001, 3).checkpoint()
+    made = len(calls)
+    again = ex.explain(row, "row_id", predict, num_samples=1001, seed=3, scored=scored).collect()[0]["explanation"]
+    assert len(calls) == made == 2
+    assert [r["rule"] for r in plain] == [r["rule"] for r in again]
+    assert np.allclose([r["weight"] for r in plain], [r["weight"] for r in again])
